@@ -83,6 +83,16 @@ def paper_order(df: DataFrame) -> list:
     return [F.col("pubmedid").cast("bigint"), F.col("author_pos"), F.col("aff_pos")]
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records: one per order (= paper), authors from ``authorship``,
+    title from ``papers`` when the ids meet.  Orders without lines give
+    records with an empty author list."""
+    from litgraph.sources.records import build_records
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("pubmedid"))
+    titles = papers(spark, sf_dir).select(F.col("uid").alias("pubmedid"), F.col("Title").alias("title"))
+    return build_records(authorship(spark, sf_dir), ids, titles)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("id"), "embedding")

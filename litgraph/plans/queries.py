@@ -58,7 +58,7 @@ LEFT JOIN gazetteer g ON g.city IS NOT DISTINCT FROM c.city
 
 SEQ_SQL = "CAST(pubmedid AS BIGINT) * 100000 + author_pos * 100 + aff_pos"
 
-MERGED_SQL = f"""SELECT f.forename, f.lastname, coalesce(a.affiliation, '') AS affiliation, p.pubmedid,
+MERGED_SQL = f"""SELECT f.forename, f.lastname, coalesce(a.affiliation, '') AS affiliation, p.pubmedid, p.links,
        f.country, f.city, f.latitude, f.longitude
 FROM (SELECT forename, lastname, arg_min_null(country, {SEQ_SQL}) AS country,
              arg_min_null(city, {SEQ_SQL}) AS city, arg_min_null(latitude, {SEQ_SQL}) AS latitude,
@@ -68,7 +68,8 @@ LEFT JOIN (SELECT forename, lastname, string_agg(affiliation, '; ' ORDER BY s) A
            FROM (SELECT forename, lastname, affiliation, min({SEQ_SQL}) AS s FROM placed
                  WHERE affiliation IS NOT NULL AND forename IS NOT NULL AND lastname IS NOT NULL GROUP BY ALL)
            GROUP BY ALL) a USING (forename, lastname)
-JOIN (SELECT forename, lastname, string_agg(pubmedid, ', ' ORDER BY s) AS pubmedid
+JOIN (SELECT forename, lastname, string_agg(pubmedid, ', ' ORDER BY s) AS pubmedid,
+             string_agg('https://pubmed.ncbi.nlm.nih.gov/' || pubmedid || '/', ', ' ORDER BY s) AS links
       FROM (SELECT forename, lastname, pubmedid, min({SEQ_SQL}) AS s FROM placed
             WHERE forename IS NOT NULL AND lastname IS NOT NULL GROUP BY ALL)
       GROUP BY ALL) p USING (forename, lastname)"""
@@ -160,3 +161,168 @@ def q_authors_by_location(spark, sf):
     df = pl.authors_by_location(merged(spark, sf))
     return df.select(r6("latitude").alias("latitude"), r6("longitude").alias("longitude"),
                      "popup", "n_authors")
+
+
+# ------------------------------------------------------------- step 2: nested records
+
+def _bigint(*cols):
+    return [F.col(c).cast("bigint").alias(c) for c in cols]
+
+
+RECORD_ROWS_SQL = fx.with_views(
+    "SELECT pubmedid, author_pos, aff_pos, forename, lastname, affiliation FROM affiliated")
+
+
+@query("explode_authorship", RECORD_ROWS_SQL)
+def q_explode_authorship(spark, sf):
+    df = au.explode_authorship(fx.records(spark, sf))
+    return df.select("pubmedid", *_bigint("author_pos", "aff_pos"), "forename", "lastname", "affiliation")
+
+
+@query("scan_records_xml", RECORD_ROWS_SQL)
+def q_scan_records_xml(spark, sf):
+    """Records written as XML to the shared scratch folder and read back with
+    the declared schema, then exploded (round trip of S1 + N1)."""
+    from litgraph.session import scratch_path
+    from litgraph.sources.records import read_records_xml, write_records_xml
+    path = scratch_path(spark, "records-xml")
+    write_records_xml(fx.records(spark, sf), path)
+    df = au.explode_authorship(read_records_xml(spark, path))
+    return df.select("pubmedid", *_bigint("author_pos", "aff_pos"), "forename", "lastname", "affiliation")
+
+
+@query("explode_authorship_outer", fx.with_views(
+    "SELECT pubmedid, author_pos, CASE WHEN affiliation IS NULL THEN NULL ELSE aff_pos END AS aff_pos, "
+    "coalesce(forename, '') AS forename, coalesce(lastname, '') AS lastname, affiliation FROM authorship"))
+def q_explode_authorship_outer(spark, sf):
+    df = au.explode_authorship_outer(fx.records(spark, sf))
+    return df.select("pubmedid", *_bigint("author_pos", "aff_pos"), "forename", "lastname", "affiliation")
+
+
+@query("author_positions", fx.with_views(
+    "SELECT pubmedid, author_pos, forename, lastname, count(*) OVER (PARTITION BY pubmedid) AS n_authors, "
+    "author_pos = 1 AS is_first, author_pos = count(*) OVER (PARTITION BY pubmedid) AS is_last FROM authorship"))
+def q_author_positions(spark, sf):
+    df = au.author_positions(fx.records(spark, sf))
+    return df.select("pubmedid", *_bigint("author_pos"), "forename", "lastname", "n_authors",
+                     "is_first", "is_last")
+
+
+def _sql_name(fore, last):
+    return f"coalesce({fore}, '') || ' ' || coalesce({last}, '')"
+
+
+@query("main_authors", fx.with_views(
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS uid,
+       {sql_strip("split_part(fa, ':', 1)")} AS first_author,
+       {sql_strip("split_part(la, ':', 1)")} AS last_author
+FROM orders LEFT JOIN (
+  SELECT pubmedid, arg_min({_sql_name('forename', 'lastname')}, author_pos) AS fa,
+         arg_max({_sql_name('forename', 'lastname')}, author_pos) AS la
+  FROM authorship GROUP BY pubmedid) a ON a.pubmedid = CAST(o_orderkey AS VARCHAR)"""))
+def q_main_authors(spark, sf):
+    return au.main_authors(fx.records(spark, sf))
+
+
+AUTHOR_STRINGS_SQL = (
+    f"SELECT pubmedid, author_pos, {_sql_name('forename', 'lastname')} || ': ' || "
+    "coalesce(affiliation, '') AS author_string FROM authorship")
+
+
+@query("author_strings", fx.with_views(AUTHOR_STRINGS_SQL))
+def q_author_strings(spark, sf):
+    df = au.author_strings(fx.records(spark, sf))
+    return df.select("pubmedid", *_bigint("author_pos"), "author_string")
+
+
+@query("clean_author_name", fx.with_views(
+    f"SELECT pubmedid, author_pos, {sql_strip(chr(39).join(['split_part(author_string, ', ':', ', 1)']))} "
+    "AS author_name FROM s", [("s", AUTHOR_STRINGS_SQL)]))
+def q_clean_author_name(spark, sf):
+    from litgraph.functions.strings import clean_author_name
+    df = au.author_strings(fx.records(spark, sf))
+    return df.select("pubmedid", *_bigint("author_pos"),
+                     clean_author_name("author_string").alias("author_name"))
+
+
+@query("records_by_id", fx.with_views(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS pubmedid, p.Title AS title, count(a.author_pos) AS n_authors
+FROM orders o
+LEFT JOIN papers p ON p.uid = CAST(o.o_orderkey AS VARCHAR)
+LEFT JOIN authorship a ON a.pubmedid = CAST(o.o_orderkey AS VARCHAR)
+WHERE CAST(o.o_orderkey AS VARCHAR) IN (SELECT uid FROM papers)
+GROUP BY ALL"""))
+def q_records_by_id(spark, sf):
+    recs = au.records_by_id(fx.records(spark, sf), fx.papers(spark, sf), "uid")
+    return recs.select(
+        F.col("MedlineCitation.PMID._VALUE").alias("pubmedid"),
+        F.col("MedlineCitation.Article.ArticleTitle").alias("title"),
+        F.size("MedlineCitation.Article.AuthorList.Author").cast("bigint").alias("n_authors"))
+
+
+@query("dedupe_authors_first", author_sql(
+    f"""SELECT forename, lastname, arg_min(affiliation, {SEQ_SQL}) AS affiliation,
+       arg_min(pubmedid, {SEQ_SQL}) AS pubmedid, arg_min(country, {SEQ_SQL}) AS country,
+       arg_min(city, {SEQ_SQL}) AS city, round(arg_min(latitude, {SEQ_SQL}), 6) AS latitude,
+       round(arg_min(longitude, {SEQ_SQL}), 6) AS longitude
+FROM placed WHERE forename IS NOT NULL AND lastname IS NOT NULL GROUP BY ALL"""))
+def q_dedupe_authors_first(spark, sf):
+    df = au.dedupe_authors_first(placed(spark, sf), fx.paper_order(None),
+                                 ["affiliation", "pubmedid", "country", "city", "latitude", "longitude"])
+    return merged_scalar(df)
+
+
+@query("flatten_documents", fx.with_views("SELECT page_content, uid, Title, Published FROM papers"))
+def q_flatten_documents(spark, sf):
+    from litgraph.sources.records import flatten_documents, to_documents
+    return flatten_documents(to_documents(fx.papers(spark, sf)))
+
+
+# ------------------------------------------------------------- step 3: display tables and filters
+
+LINK = '"Link to Paper in Database"'
+
+
+@query("paper_table", fx.with_views(
+    f"SELECT Title, page_content AS Abstract, Published, "
+    f"'https://pubmed.ncbi.nlm.nih.gov/' || uid || '/' AS {LINK} FROM papers"))
+def q_paper_table(spark, sf):
+    from litgraph.operators.tables import paper_table
+    return paper_table(fx.papers(spark, sf))
+
+
+@query("author_table", author_sql(
+    f"SELECT forename AS Forename, lastname AS Lastname, affiliation AS Affiliation, country AS Country, "
+    f"city AS City, links AS {LINK} FROM merged"))
+def q_author_table(spark, sf):
+    from litgraph.operators.tables import author_table
+    return author_table(merged(spark, sf))
+
+
+COUNTRY_SET = ["Canada", "Norway", "Kenya"]
+
+
+@query("filter_country_set", author_sql(
+    "SELECT forename, lastname, affiliation, pubmedid, country, city, round(latitude, 6) AS latitude, "
+    "round(longitude, 6) AS longitude FROM merged WHERE country IN ('Canada', 'Norway', 'Kenya')"))
+def q_filter_country_set(spark, sf):
+    from litgraph.operators.tables import filter_in
+    return merged_scalar(filter_in(merged(spark, sf), "country", COUNTRY_SET))
+
+
+MULTI_FILTER = {
+    "country": {"in": ["Canada", "Norway", "Kenya", "Germany", "France"]},
+    "lastname": {"starts_with": "b"},
+    "affiliation": {"contains": "dept a"},
+    "forename": {"not_in": ["red"]},
+}
+
+
+@query("filter_table_multi", author_sql(
+    "SELECT forename, lastname, affiliation, pubmedid, country, city, round(latitude, 6) AS latitude, "
+    "round(longitude, 6) AS longitude FROM merged WHERE country IN ('Canada', 'Norway', 'Kenya', 'Germany', "
+    "'France') AND starts_with(lower(lastname), 'b') AND contains(lower(affiliation), 'dept a') "
+    "AND forename NOT IN ('red')"))
+def q_filter_table_multi(spark, sf):
+    from litgraph.operators.tables import filter_table
+    return merged_scalar(filter_table(merged(spark, sf), MULTI_FILTER))
