@@ -326,3 +326,148 @@ MULTI_FILTER = {
 def q_filter_table_multi(spark, sf):
     from litgraph.operators.tables import filter_table
     return merged_scalar(filter_table(merged(spark, sf), MULTI_FILTER))
+
+
+# ------------------------------------------------------------- step 4: search
+
+TOKENS_SQL = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+def sql_tokens(x: str) -> str:
+    return TOKENS_SQL.format(x=x)
+
+
+def sql_term(spec: str) -> str:
+    from litgraph.functions.predicates import DEFAULT_FIELDS, parse_term, term_pattern
+    t = parse_term(spec)
+    cols = [c for c in DEFAULT_FIELDS.get(t.tag, ()) if c in ("Title", "page_content", "Published")]
+    cols = cols or ["Title", "page_content"]
+    return f"regexp_matches(lower(concat_ws(' ', {', '.join(cols)})), '{term_pattern(t)}')"
+
+
+def sql_boolean(groups, exclude=()) -> str:
+    pred = " AND ".join("(" + " OR ".join(sql_term(t) for t in g) + ")" for g in groups)
+    if exclude:
+        pred += " AND NOT (" + " OR ".join(sql_term(t) for t in exclude) + ")"
+    return pred
+
+
+def _boolean_query(name, groups, exclude=()):
+    sql = fx.with_views(f"SELECT uid, Title FROM papers WHERE {sql_boolean(groups, exclude)}")
+
+    @query(name, sql)
+    def run(spark, sf):
+        from litgraph.operators.search import boolean_search
+        return boolean_search(fx.papers(spark, sf), groups, exclude).select("uid", "Title")
+    return run
+
+
+BOOL_GROUPS = [["thtion", "thing"], ["erat", "ertion", "attion"]]
+_boolean_query("boolean_search", BOOL_GROUPS)
+_boolean_query("boolean_search_not", BOOL_GROUPS, ["de", "que"])
+_boolean_query("term_wildcard_search", [["thth*", '"of the"'], ["er?n"]])
+_boolean_query("field_search", [["thon[Title]", "erin[Title]"], ["thre*[All Fields]"]], ["la[Abstract]"])
+
+BM25_SQL = """docs AS (SELECT uid, {toks} AS toks FROM papers),
+stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(toks)) AS avgdl FROM docs),
+q AS (SELECT DISTINCT qid, term FROM (SELECT {qid} AS qid, unnest({qtoks}) AS term FROM {qsrc})),
+tf AS (SELECT uid, dl, term, count(*) AS tf
+       FROM (SELECT uid, len(toks) AS dl, unnest(toks) AS term FROM docs)
+       WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + ((SELECT n FROM stats) - count(*) + 0.5) / (count(*) + 0.5)) AS idf
+        FROM tf GROUP BY term),
+scores AS (SELECT q.qid, tf.uid,
+                  sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / (SELECT avgdl FROM stats)))) AS score
+           FROM tf JOIN idf USING (term) JOIN q USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, uid) AS rank
+           FROM scores)"""
+
+BM25_TOPIC = "thtion thing erat ertion attion"
+BM25_K = 30
+
+
+BM25_CTE_NAMES = ["docs", "stats", "q", "tf", "idf", "scores", "ranked"]
+
+
+def _bm25_sql(qid, qtoks, qsrc, body):
+    """BM25 oracle: the CTE block above, split into named parts for with_views."""
+    text = BM25_SQL.format(toks=sql_tokens("concat_ws(' ', Title, page_content)"), qid=qid,
+                           qtoks=qtoks, qsrc=qsrc)
+    parts = []
+    for i, name in enumerate(BM25_CTE_NAMES):
+        start = text.index(f"{name} AS (") + len(name) + 5
+        end = (text.index(f",\n{BM25_CTE_NAMES[i + 1]} AS (") if i + 1 < len(BM25_CTE_NAMES)
+               else len(text))
+        parts.append((name, text[start:end].rstrip()[:-1]))
+    return fx.with_views(body, parts)
+
+
+@query("search_topk_bm25", _bm25_sql(
+    "0", sql_tokens(f"'{BM25_TOPIC}'"), "(SELECT 1)",
+    f"SELECT uid, round(score, 6) AS score, rank FROM ranked WHERE rank <= {BM25_K}"))
+def q_search_topk_bm25(spark, sf):
+    from litgraph.operators.search import search_bm25
+    df = search_bm25(fx.papers(spark, sf), BM25_TOPIC, BM25_K)
+    return df.select("uid", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+TOPIC_K = 5
+
+
+@query("search_topk_per_topic", _bm25_sql(
+    "item_id", sql_tokens("text"), "benchmark",
+    f"SELECT qid AS topic_id, uid, round(score, 6) AS score, rank FROM ranked WHERE rank <= {TOPIC_K}"))
+def q_search_topk_per_topic(spark, sf):
+    from litgraph.operators.search import search_bm25_per_topic
+    topics = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("topic_id"),
+                                                     F.col("text").alias("topic"))
+    df = search_bm25_per_topic(fx.papers(spark, sf), topics, TOPIC_K)
+    return df.select("topic_id", "uid", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def part_topics(spark, sf):
+    return fx.table(spark, sf, "part").select(F.col("p_name").alias("topic")).distinct()
+
+
+def part_thesaurus(spark, sf):
+    return fx.table(spark, sf, "part").select(
+        F.split_part("p_name", F.lit(" "), F.lit(1)).alias("term"), F.col("p_type").alias("synonym"))
+
+
+EXPAND_SQL = [
+    ("topics", "SELECT DISTINCT p_name AS topic FROM part"),
+    ("thes", "SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS word, lower(p_type) AS term FROM part"),
+    ("tw", f"""SELECT topic, w, min(i) AS fi FROM (
+  SELECT topic, unnest(toks) AS w, unnest(range(1, len(toks) + 1)) AS i
+  FROM (SELECT topic, {sql_tokens('topic')} AS toks FROM topics)) GROUP BY ALL"""),
+    ("words", "SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY fi) AS concept_pos, w AS word FROM tw"),
+    ("both_terms", """SELECT topic, concept_pos, word AS term, 'tiab' AS kind, 0 AS o FROM words
+UNION ALL
+SELECT w.topic, w.concept_pos, s.term, 'all' AS kind, 1 AS o FROM words w JOIN thes s ON s.word = w.word
+WHERE s.term <> w.word"""),
+    ("expanded", """SELECT topic, concept_pos, row_number() OVER (PARTITION BY topic, concept_pos ORDER BY o, term)
+  AS term_pos, term, kind FROM both_terms"""),
+]
+
+
+@query("expand_synonyms", fx.with_views(
+    "SELECT topic, concept_pos, term_pos, term, kind FROM expanded", EXPAND_SQL))
+def q_expand_synonyms(spark, sf):
+    from litgraph.operators.search import expand_synonyms
+    df = expand_synonyms(part_topics(spark, sf), part_thesaurus(spark, sf))
+    return df.select("topic", *_bigint("concept_pos", "term_pos"), "term", "kind")
+
+
+@query("compose_query", fx.with_views(
+    """SELECT topic, '(' || string_agg(c, ' AND ' ORDER BY concept_pos) || ')' AS query, count(*) AS n_concepts
+FROM (SELECT topic, concept_pos, '(' || string_agg(fmt, ' OR ' ORDER BY term_pos) || ')' AS c
+      FROM (SELECT *, CASE kind WHEN 'mesh' THEN '"' || lower(term) || '"[Mesh]'
+                                WHEN 'all' THEN qt || '[All Fields]'
+                                ELSE qt || '[Title/Abstract]' END AS fmt
+            FROM (SELECT *, CASE WHEN contains(term, ' ') THEN '"' || term || '"' ELSE term END AS qt
+                  FROM expanded))
+      GROUP BY ALL)
+GROUP BY topic""", EXPAND_SQL))
+def q_compose_query(spark, sf):
+    from litgraph.operators.search import compose_query, expand_synonyms
+    return compose_query(expand_synonyms(part_topics(spark, sf), part_thesaurus(spark, sf)))
