@@ -471,3 +471,127 @@ GROUP BY topic""", EXPAND_SQL))
 def q_compose_query(spark, sf):
     from litgraph.operators.search import compose_query, expand_synonyms
     return compose_query(expand_synonyms(part_topics(spark, sf), part_thesaurus(spark, sf)))
+
+
+# ------------------------------------------------------------- step 5: graph base
+
+MAINS_SQL = f"""SELECT pubmedid AS uid,
+       {sql_strip("split_part(arg_min(" + _sql_name('forename', 'lastname') + ", author_pos), ':', 1)")}
+       AS first_author
+FROM authorship GROUP BY pubmedid"""
+
+GRAPH_CTES = [
+    ("author_pids", f"""SELECT forename, lastname, pubmedid,
+       row_number() OVER (PARTITION BY forename, lastname ORDER BY s) AS paper_idx
+FROM (SELECT forename, lastname, pubmedid, min({SEQ_SQL}) AS s FROM placed
+      WHERE forename IS NOT NULL AND lastname IS NOT NULL GROUP BY ALL)"""),
+    ("joined", """SELECT m.forename, m.lastname, m.affiliation, ap.pubmedid, ap.paper_idx,
+       concat_ws(' ', p.Title, p.page_content) AS research, p.Title
+FROM merged m JOIN author_pids ap USING (forename, lastname) JOIN papers p ON p.uid = ap.pubmedid"""),
+    ("fused", """SELECT research,
+       string_agg(forename, ', ' ORDER BY forename, lastname, paper_idx) AS forename,
+       string_agg(lastname, ', ' ORDER BY forename, lastname, paper_idx) AS lastname,
+       string_agg(affiliation, '; ' ORDER BY forename, lastname, paper_idx) AS affiliation,
+       first(pubmedid ORDER BY forename, lastname, paper_idx) AS pubmedid,
+       count(*) AS n_authors
+FROM joined GROUP BY research"""),
+    ("mains", MAINS_SQL),
+    ("nodes", """SELECT f.*, row_number() OVER (ORDER BY f.research) - 1 AS node_id, m.first_author,
+       coalesce(m.first_author, 'Unknown Author') || ' et al.' AS label,
+       ln(f.n_authors) * 10 AS size
+FROM fused f LEFT JOIN mains m ON m.uid = f.pubmedid"""),
+]
+
+
+def graph_sql(body: str, extra: list[tuple[str, str]] | None = None) -> str:
+    return author_sql(body, GRAPH_CTES + list(extra or []))
+
+
+def main_authors_df(spark, sf):
+    return au.main_authors(fx.records(spark, sf))
+
+
+def fused_df(spark, sf):
+    from litgraph.operators.graph import fuse_by_research
+    return fuse_by_research(merged(spark, sf), fx.papers(spark, sf))
+
+
+def nodes_df(spark, sf):
+    from litgraph.operators.graph import node_table
+    return node_table(fused_df(spark, sf), main_authors_df(spark, sf))
+
+
+@query("authors_join_papers", graph_sql("SELECT forename, lastname, pubmedid, paper_idx, Title FROM joined"))
+def q_authors_join_papers(spark, sf):
+    from litgraph.operators.graph import authors_join_papers
+    df = authors_join_papers(merged(spark, sf), fx.papers(spark, sf))
+    return df.select("forename", "lastname", "pubmedid", *_bigint("paper_idx"), "Title")
+
+
+@query("research_text", fx.with_views("SELECT uid, concat_ws(' ', Title, page_content) AS research FROM papers"))
+def q_research_text(spark, sf):
+    from litgraph.functions.strings import research_text
+    return fx.papers(spark, sf).select("uid", research_text("Title", "page_content").alias("research"))
+
+
+@query("fuse_by_research", graph_sql(
+    "SELECT research, forename, lastname, affiliation, pubmedid, n_authors FROM fused"))
+def q_fuse_by_research(spark, sf):
+    return fused_df(spark, sf).select("research", "forename", "lastname", "affiliation", "pubmedid", "n_authors")
+
+
+@query("table_to_documents", graph_sql(
+    "SELECT research AS page_content, forename, lastname, affiliation, pubmedid, n_authors FROM fused"))
+def q_table_to_documents(spark, sf):
+    from litgraph.sources.records import flatten_documents, table_to_documents
+    fused = fused_df(spark, sf).select("research", "forename", "lastname", "affiliation", "pubmedid", "n_authors")
+    return flatten_documents(table_to_documents(fused, "research"))
+
+
+@query("node_ids", graph_sql("SELECT node_id, pubmedid FROM nodes"))
+def q_node_ids(spark, sf):
+    from litgraph.operators.graph import dense_ids
+    return dense_ids(fused_df(spark, sf), "research").select("node_id", "pubmedid")
+
+
+@query("node_labels", graph_sql("SELECT node_id, pubmedid, label FROM nodes"))
+def q_node_labels(spark, sf):
+    return nodes_df(spark, sf).select("node_id", "pubmedid", "label")
+
+
+@query("node_size", graph_sql("SELECT node_id, n_authors, round(size, 6) AS size FROM nodes"))
+def q_node_size(spark, sf):
+    return nodes_df(spark, sf).select("node_id", "n_authors", r6("size").alias("size"))
+
+
+HOVER_LINE = ("CASE WHEN j.forename || ' ' || j.lastname = coalesce(n.first_author, '') "
+              "THEN '*' || upper(j.forename) || ' ' || upper(j.lastname) || '* (First Author): ' || aff "
+              "ELSE upper(j.forename) || ' ' || upper(j.lastname) || ': ' || aff END")
+
+
+@query("node_hover", graph_sql(
+    f"""SELECT n.node_id, string_agg({HOVER_LINE}, chr(10) ORDER BY j.forename, j.lastname, j.paper_idx) AS title
+FROM nodes n JOIN (SELECT *, CASE WHEN coalesce(affiliation, '') = '' THEN 'No affiliation'
+                                  ELSE affiliation END AS aff FROM joined) j USING (research)
+GROUP BY n.node_id"""))
+def q_node_hover(spark, sf):
+    return nodes_df(spark, sf).select("node_id", "title")
+
+
+GRADIENT = ((0.85, 0.93, 0.80), (0.16, 0.20, 0.40))
+
+
+def _sql_channel(a, b):
+    t = "CAST(node_id AS DOUBLE) / (n - 1)"
+    ch = f"(CAST({a} AS DOUBLE) + (CAST({b} AS DOUBLE) - CAST({a} AS DOUBLE)) * {t})"
+    return f"lpad(lower(hex(CAST(trunc({ch} * 255) AS BIGINT))), 2, '0')"
+
+
+@query("rgb_to_hex", graph_sql(
+    "SELECT node_id, '#' || " + " || ".join(_sql_channel(a, b) for a, b in zip(*GRADIENT)) +
+    " AS color FROM nodes, (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes) c"))
+def q_rgb_to_hex(spark, sf):
+    from litgraph.operators.graph import gradient_color
+    nodes = nodes_df(spark, sf).select("node_id")
+    n = nodes.select(F.count(F.lit(1)).cast("double")).scalar()
+    return nodes.select("node_id", gradient_color(F.col("node_id"), n, *GRADIENT).alias("color"))
