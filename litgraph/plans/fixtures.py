@@ -131,8 +131,8 @@ FROM lineitem JOIN part ON l_partkey = p_partkey JOIN iso ON l_suppkey % 25 = k"
 ORACLE_ORDER = ["iso", "gazetteer", "papers", "authorship", "affiliated", "vectors"]
 
 
-def with_views(sql: str, extra: list[tuple[str, str]] | None = None) -> str:
+def with_views(sql: str, extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
     """Prefix ``sql`` with the fixture views (plus ``extra`` named CTEs)."""
     ctes = [(n, ORACLE_VIEWS[n]) for n in ORACLE_ORDER] + list(extra or [])
     head = ",\n".join(f"{name} AS (\n{body}\n)" for name, body in ctes)
-    return f"WITH {head}\n{sql}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{head}\n{sql}"

@@ -595,3 +595,171 @@ def q_rgb_to_hex(spark, sf):
     nodes = nodes_df(spark, sf).select("node_id")
     n = nodes.select(F.count(F.lit(1)).cast("double")).scalar()
     return nodes.select("node_id", gradient_color(F.col("node_id"), n, *GRADIENT).alias("color"))
+
+
+# ------------------------------------------------------------- step 6-8: similarity, clusters, neighbourhoods
+
+SIM_T = 0.4
+EPS = 0.6
+
+
+def emb_vectors(spark, sf):
+    return fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def sql_pairs(cond: str) -> str:
+    sim = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+    return (f"SELECT a.vec_id AS src, b.vec_id AS dst, {sim} AS similarity FROM embeddings a "
+            f"JOIN embeddings b ON a.vec_id < b.vec_id WHERE {cond.format(sim=sim)}")
+
+
+PAIRS_04 = sql_pairs(f"{{sim}} >= {SIM_T}")
+SIM_EDGES_SQL = fx.with_views(f"SELECT src, dst, round(similarity, 6) AS similarity FROM ({PAIRS_04})")
+
+
+def sim_edges(spark, sf, t=SIM_T):
+    from litgraph.operators.similarity import similarity_edges
+    return similarity_edges(emb_vectors(spark, sf), t)
+
+
+@query("similarity_edges", SIM_EDGES_SQL)
+def q_similarity_edges(spark, sf):
+    return sim_edges(spark, sf).select("src", "dst", r6("similarity").alias("similarity"))
+
+
+@query("similarity_edges_lsh", SIM_EDGES_SQL)
+def q_similarity_edges_lsh(spark, sf):
+    from litgraph.operators.similarity import similarity_edges_lsh
+    df = similarity_edges_lsh(emb_vectors(spark, sf), SIM_T)
+    return df.select("src", "dst", r6("similarity").alias("similarity"))
+
+
+@query("eps_neighbors", fx.with_views(
+    f"SELECT src, dst, round(1 - similarity, 6) AS distance FROM ({sql_pairs(f'1 - {{sim}} <= {EPS}')})"))
+def q_eps_neighbors(spark, sf):
+    from litgraph.operators.similarity import eps_neighbors
+    return eps_neighbors(emb_vectors(spark, sf), EPS).select("src", "dst", r6("distance").alias("distance"))
+
+
+NODE_VEC_CTES = [("node_pairs", """SELECT a.node_id AS src, b.node_id AS dst,
+       list_cosine_similarity(CAST(ea.embedding AS DOUBLE[]), CAST(eb.embedding AS DOUBLE[])) AS similarity
+FROM nodes a JOIN embeddings ea ON CAST(ea.vec_id AS VARCHAR) = a.pubmedid
+JOIN nodes b ON a.node_id < b.node_id JOIN embeddings eb ON CAST(eb.vec_id AS VARCHAR) = b.pubmedid""")]
+
+
+def node_graph(spark, sf, t=SIM_T):
+    from litgraph.operators.similarity import attach_vectors, similarity_edges
+    nodes = nodes_df(spark, sf)
+    vecs = attach_vectors(nodes.select("node_id", "pubmedid"), fx.vectors(spark, sf))
+    return nodes, similarity_edges(vecs, t, id_col="node_id")
+
+
+@query("attach_vectors", graph_sql(
+    "SELECT n.node_id, n.pubmedid, len(e.embedding) AS dims FROM nodes n "
+    "JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = n.pubmedid"))
+def q_attach_vectors(spark, sf):
+    from litgraph.operators.similarity import attach_vectors
+    df = attach_vectors(nodes_df(spark, sf).select("node_id", "pubmedid"), fx.vectors(spark, sf))
+    return df.select("node_id", "pubmedid", F.size("embedding").cast("bigint").alias("dims"))
+
+
+@query("edge_titles", graph_sql(
+    f"""SELECT p.src, p.dst, round(p.similarity, 6) AS similarity, a.label AS src_label, b.label AS dst_label,
+       CAST(0.1 AS DOUBLE) AS value, '#a6a6a6' AS color
+FROM node_pairs p JOIN nodes a ON a.node_id = p.src JOIN nodes b ON b.node_id = p.dst
+WHERE p.similarity >= {SIM_T}""", NODE_VEC_CTES))
+def q_edge_titles(spark, sf):
+    from litgraph.operators.graph import edge_titles
+    nodes, edges = node_graph(spark, sf)
+    df = edge_titles(edges, nodes)
+    return df.select("src", "dst", r6("similarity").alias("similarity"), "src_label", "dst_label",
+                     "value", "color")
+
+
+COMPONENT_CTES = [
+    ("pairs", PAIRS_04),
+    ("sym", "SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs"),
+    ("reach", """SELECT src AS id, src AS comp FROM sym
+UNION
+SELECT s.dst AS id, r.comp FROM reach r JOIN sym s ON s.src = r.id"""),
+]
+
+
+@query("connected_components", fx.with_views(
+    "SELECT id, min(comp) AS component FROM reach GROUP BY id", COMPONENT_CTES, recursive=True))
+def q_connected_components(spark, sf):
+    from litgraph.operators.cluster import connected_components
+    return connected_components(sim_edges(spark, sf))
+
+
+def dbscan_sql(min_samples: int) -> str:
+    ctes = [
+        ("pairs", sql_pairs(f"1 - {{sim}} <= {EPS}")),
+        ("sym", "SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs"),
+        ("deg", "SELECT e.vec_id AS id, count(s.dst) AS deg FROM embeddings e LEFT JOIN sym s ON s.src = e.vec_id "
+                "GROUP BY e.vec_id"),
+        ("core", f"SELECT id FROM deg WHERE deg + 1 >= {min_samples}"),
+        ("ce", "SELECT src, dst FROM sym WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)"),
+        ("reach", """SELECT id, id AS comp FROM core
+UNION
+SELECT c.dst AS id, r.comp FROM reach r JOIN ce c ON c.src = r.id"""),
+        ("comp", "SELECT id, min(comp) AS comp FROM reach GROUP BY id"),
+        ("num", "SELECT id, dense_rank() OVER (ORDER BY comp) - 1 AS cluster FROM comp"),
+        ("border", """SELECT s.src AS id, min(n.cluster) AS cluster FROM sym s JOIN num n ON n.id = s.dst
+WHERE s.src NOT IN (SELECT id FROM core) GROUP BY s.src"""),
+    ]
+    return fx.with_views(
+        "SELECT e.vec_id AS id, coalesce(n.cluster, b.cluster, -1) AS cluster FROM embeddings e "
+        "LEFT JOIN num n ON n.id = e.vec_id LEFT JOIN border b ON b.id = e.vec_id", ctes, recursive=True)
+
+
+def _dbscan(spark, sf, m):
+    from litgraph.operators.cluster import dbscan
+    from litgraph.operators.similarity import eps_neighbors
+    vecs = emb_vectors(spark, sf)
+    return dbscan(vecs.select("id"), eps_neighbors(vecs, EPS), m)
+
+
+@query("dbscan_clusters", dbscan_sql(2))
+def q_dbscan_clusters(spark, sf):
+    return _dbscan(spark, sf, 2)
+
+
+@query("dbscan_general", dbscan_sql(3))
+def q_dbscan_general(spark, sf):
+    return _dbscan(spark, sf, 3)
+
+
+KHOP = 2
+
+
+@query("khop_neighbors", fx.with_views(
+    f"SELECT seed, node_id, min(hop) AS hop FROM walk GROUP BY ALL",
+    COMPONENT_CTES[:2] + [("walk", f"""SELECT src AS seed, src AS node_id, 0 AS hop FROM sym
+UNION
+SELECT w.seed, s.dst AS node_id, w.hop + 1 AS hop FROM walk w JOIN sym s ON s.src = w.node_id
+WHERE w.hop < {KHOP}""")], recursive=True))
+def q_khop_neighbors(spark, sf):
+    from litgraph.operators.graph import khop_neighbors, undirected
+    edges = sim_edges(spark, sf)
+    seeds = undirected(edges).select(F.col("src").alias("seed"), F.col("src").alias("node_id")).distinct()
+    df = khop_neighbors(edges, seeds, KHOP)
+    return df.select("seed", "node_id", F.col("hop").cast("bigint").alias("hop"))
+
+
+BANDS = [4, 5]
+
+
+@query("edge_filter_nodes", fx.with_views(
+    "SELECT DISTINCT node_id FROM (SELECT unnest([src, dst]) AS node_id FROM ("
+    + sql_pairs("{sim} >= 0.2") + ") WHERE CAST(floor(similarity * 10) AS INTEGER) IN (4, 5))"))
+def q_edge_filter_nodes(spark, sf):
+    from litgraph.operators.graph import edge_filter_nodes
+    edges = sim_edges(spark, sf, 0.2).withColumn("band", F.floor(F.col("similarity") * 10).cast("int"))
+    return edge_filter_nodes(edges, "band", BANDS)
+
+
+@query("graph_node_filter", graph_sql("SELECT node_id, label, n_authors FROM nodes WHERE n_authors IN (3, 4)"))
+def q_graph_node_filter(spark, sf):
+    from litgraph.operators.graph import node_filter
+    return node_filter(nodes_df(spark, sf), "n_authors", [3, 4]).select("node_id", "label", "n_authors")
