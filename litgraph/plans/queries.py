@@ -692,25 +692,34 @@ def q_connected_components(spark, sf):
     return connected_components(sim_edges(spark, sf))
 
 
-def dbscan_sql(min_samples: int) -> str:
-    ctes = [
-        ("pairs", sql_pairs(f"1 - {{sim}} <= {EPS}")),
-        ("sym", "SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs"),
-        ("deg", "SELECT e.vec_id AS id, count(s.dst) AS deg FROM embeddings e LEFT JOIN sym s ON s.src = e.vec_id "
-                "GROUP BY e.vec_id"),
-        ("core", f"SELECT id FROM deg WHERE deg + 1 >= {min_samples}"),
-        ("ce", "SELECT src, dst FROM sym WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)"),
-        ("reach", """SELECT id, id AS comp FROM core
+def dbscan_ctes(min_samples: int, points_sql: str, pairs_sql: str, prefix: str = "") -> list[tuple[str, str]]:
+    """DBSCAN over a neighbour-pair table, in SQL (recursive components)."""
+    p = prefix
+    return [
+        (f"{p}pairs", pairs_sql),
+        (f"{p}points", points_sql),
+        (f"{p}sym", f"SELECT src, dst FROM {p}pairs UNION SELECT dst, src FROM {p}pairs"),
+        (f"{p}deg", f"SELECT e.id, count(s.dst) AS deg FROM {p}points e LEFT JOIN {p}sym s ON s.src = e.id "
+                    "GROUP BY e.id"),
+        (f"{p}core", f"SELECT id FROM {p}deg WHERE deg + 1 >= {min_samples}"),
+        (f"{p}ce", f"SELECT src, dst FROM {p}sym WHERE src IN (SELECT id FROM {p}core) "
+                   f"AND dst IN (SELECT id FROM {p}core)"),
+        (f"{p}reach", f"""SELECT id, id AS comp FROM {p}core
 UNION
-SELECT c.dst AS id, r.comp FROM reach r JOIN ce c ON c.src = r.id"""),
-        ("comp", "SELECT id, min(comp) AS comp FROM reach GROUP BY id"),
-        ("num", "SELECT id, dense_rank() OVER (ORDER BY comp) - 1 AS cluster FROM comp"),
-        ("border", """SELECT s.src AS id, min(n.cluster) AS cluster FROM sym s JOIN num n ON n.id = s.dst
-WHERE s.src NOT IN (SELECT id FROM core) GROUP BY s.src"""),
+SELECT c.dst AS id, r.comp FROM {p}reach r JOIN {p}ce c ON c.src = r.id"""),
+        (f"{p}comp", f"SELECT id, min(comp) AS comp FROM {p}reach GROUP BY id"),
+        (f"{p}num", f"SELECT id, dense_rank() OVER (ORDER BY comp) - 1 AS cluster FROM {p}comp"),
+        (f"{p}border", f"""SELECT s.src AS id, min(n.cluster) AS cluster FROM {p}sym s JOIN {p}num n ON n.id = s.dst
+WHERE s.src NOT IN (SELECT id FROM {p}core) GROUP BY s.src"""),
+        (f"{p}clusters", f"""SELECT e.id, coalesce(n.cluster, b.cluster, -1) AS cluster FROM {p}points e
+LEFT JOIN {p}num n ON n.id = e.id LEFT JOIN {p}border b ON b.id = e.id"""),
     ]
-    return fx.with_views(
-        "SELECT e.vec_id AS id, coalesce(n.cluster, b.cluster, -1) AS cluster FROM embeddings e "
-        "LEFT JOIN num n ON n.id = e.vec_id LEFT JOIN border b ON b.id = e.vec_id", ctes, recursive=True)
+
+
+def dbscan_sql(min_samples: int) -> str:
+    ctes = dbscan_ctes(min_samples, "SELECT vec_id AS id FROM embeddings",
+                       sql_pairs(f"1 - {{sim}} <= {EPS}"))
+    return fx.with_views("SELECT id, cluster FROM clusters", ctes, recursive=True)
 
 
 def _dbscan(spark, sf, m):
@@ -763,3 +772,78 @@ def q_edge_filter_nodes(spark, sf):
 def q_graph_node_filter(spark, sf):
     from litgraph.operators.graph import node_filter
     return node_filter(nodes_df(spark, sf), "n_authors", [3, 4]).select("node_id", "label", "n_authors")
+
+
+# ------------------------------------------------------------- step 8-9: sinks, embeddings, network
+
+@query("vectors_roundtrip", fx.with_views(
+    "SELECT id, len(embedding) AS dims, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), "
+    "lambda x: x * x))), 6) AS norm FROM vectors"))
+def q_vectors_roundtrip(spark, sf):
+    from litgraph.functions.vectors import norm
+    from litgraph.session import scratch_path
+    from litgraph.sources.sinks import load_vectors, save_vectors
+    path = scratch_path(spark, "vectors")
+    save_vectors(fx.vectors(spark, sf), path)
+    v = load_vectors(spark, path)
+    return v.select("id", F.size("embedding").cast("bigint").alias("dims"), r6(norm("embedding")).alias("norm"))
+
+
+@query("graph_roundtrip", fx.with_views(
+    "SELECT p.src, p.dst, round(p.similarity, 6) AS similarity, c.component "
+    "FROM pairs p JOIN (SELECT id, min(comp) AS component FROM reach GROUP BY id) c ON c.id = p.src",
+    COMPONENT_CTES, recursive=True))
+def q_graph_roundtrip(spark, sf):
+    from litgraph.operators.cluster import connected_components
+    from litgraph.session import scratch_path
+    from litgraph.sources.sinks import load_graph, save_graph
+    edges = sim_edges(spark, sf).checkpoint()
+    nodes = connected_components(edges)
+    path = scratch_path(spark, "graph")
+    save_graph(nodes, edges, path)
+    n, e = load_graph(spark, path)
+    return e.join(n.withColumnRenamed("id", "src"), "src").select(
+        "src", "dst", r6("similarity").alias("similarity"), "component")
+
+
+@query("place_features", author_sql(
+    "SELECT to_json({'type': 'Feature', 'geometry': {'type': 'Point', 'coordinates': [longitude, latitude]}, "
+    "'properties': {'popup': popup, 'n_authors': n_authors}}) AS value FROM ("
+    "SELECT latitude, longitude, string_agg('<b>' || forename || ' ' || lastname || '</b>: ' || affiliation, "
+    "'<br>' ORDER BY forename, lastname) AS popup, count(*) AS n_authors FROM merged "
+    "WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY ALL)"))
+def q_place_features(spark, sf):
+    from litgraph.session import scratch_path
+    from litgraph.sources.sinks import save_place_features
+    path = scratch_path(spark, "places")
+    save_place_features(pl.authors_by_location(merged(spark, sf)), path)
+    return spark.read.text(path)
+
+
+@query("embed_tfidf")
+def q_embed_tfidf(spark, sf):
+    """Rows-only: hashing TF-IDF cannot be written in SQL; checked by unit tests."""
+    from litgraph.functions.vectors import norm
+    from litgraph.operators.vectors import embed_tfidf
+    docs = fx.papers(spark, sf)
+    docs = docs.select("uid", F.concat_ws(" ", "Title", "page_content").alias("research"))
+    v = embed_tfidf(docs, "research")
+    return v.select("uid", F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("nnz"),
+                    r6(norm("embedding")).alias("norm"))
+
+
+NETWORK_EPS = 0.6
+
+
+@query("similarity_network", graph_sql(
+    "SELECT n.node_id, n.label, n.n_authors, round(n.size, 6) AS size, c.cluster "
+    "FROM nodes n JOIN net_clusters c ON c.id = n.node_id",
+    NODE_VEC_CTES + dbscan_ctes(2, "SELECT node_id AS id FROM nodes",
+                                f"SELECT src, dst FROM node_pairs WHERE 1 - similarity <= {NETWORK_EPS}",
+                                prefix="net_"),
+) .replace("WITH ", "WITH RECURSIVE ", 1))
+def q_similarity_network(spark, sf):
+    from litgraph.plans.pipeline import similarity_network
+    nodes, _ = similarity_network(merged(spark, sf), fx.papers(spark, sf), main_authors_df(spark, sf),
+                                  threshold=SIM_T, vectors_df=fx.vectors(spark, sf), eps=NETWORK_EPS)
+    return nodes.select("node_id", "label", "n_authors", r6("size").alias("size"), "cluster")
