@@ -98,6 +98,16 @@ def main_authors(records: DataFrame) -> DataFrame:
     )
 
 
+def main_authors_from_rows(rows: DataFrame) -> DataFrame:
+    """A4 from authorship rows (``pubmedid, author_pos, forename, lastname``,
+    authors without affiliation included): one partial aggregate per paper,
+    no nested records needed."""
+    name = clean_author_name(full_name(F.col("forename"), F.col("lastname")))
+    return rows.groupBy(F.col("pubmedid").alias("uid")).agg(
+        F.min_by(name, F.col("author_pos")).alias("first_author"),
+        F.max_by(name, F.col("author_pos")).alias("last_author"))
+
+
 def author_strings(records: DataFrame) -> DataFrame:
     """``"Fore Last: aff1, aff2"`` for every author of every record, one
     row per author (the reference keeps them as a list per record)."""

@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     label changes (no round cap).  ``vertices`` (column ``id``) adds
     isolated vertices as their own components.
     """
-    sym = undirected(edges)
+    sym = undirected(edges).checkpoint()  # read by every round: materialise once
     verts = sym.select(F.col("src").alias("id"))
     if vertices is not None:
         verts = verts.unionByName(vertices.select("id"))
@@ -56,7 +56,7 @@ def dbscan(points: DataFrame, neighbor_pairs: DataFrame, min_samples: int = 2) -
        among its core neighbours
     4. clusters are numbered 0, 1, ... in order of their smallest core id
     """
-    sym = undirected(neighbor_pairs)
+    sym = undirected(neighbor_pairs).checkpoint()  # read four times below
     degree = sym.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_deg"))
     pts = points.select("id").distinct().join(degree, "id", "left").fillna(0, ["_deg"])
     core = pts.filter(F.col("_deg") + 1 >= min_samples).select("id")

@@ -174,7 +174,7 @@ def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int = 2, checkpoint_ev
     nodes not seen before (anti join) and stops early when nothing is new.
     Lineage is cut with ``checkpoint()`` into the shared checkpoint folder.
     """
-    sym = undirected(edges)
+    sym = undirected(edges).checkpoint()  # read once per round
     seen = seeds.select("seed", "node_id", F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, k + 1):

@@ -508,7 +508,9 @@ def graph_sql(body: str, extra: list[tuple[str, str]] | None = None) -> str:
 
 
 def main_authors_df(spark, sf):
-    return au.main_authors(fx.records(spark, sf))
+    """First authors for node labels, straight from the authorship rows
+    (the records-based path is the ``main_authors`` query)."""
+    return au.main_authors_from_rows(fx.authorship(spark, sf))
 
 
 def fused_df(spark, sf):
