@@ -1,0 +1,10 @@
+"""Streaming.
+
+The reference has no streaming part: no event time, watermark, window or
+state anywhere (its staged progress bar is UI only).  So this package holds
+no operator.  The batch operators are plain DataFrame -> DataFrame
+functions, so a user who receives records continuously can apply them per
+micro-batch with Structured Streaming's ``foreachBatch``; nothing here needs
+state across batches except the author merge, which is re-run over the
+accumulated authorship table (merging is idempotent, see tests).
+"""
