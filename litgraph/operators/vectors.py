@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,6 @@ def embed_tfidf(df: DataFrame, text_col: str, out_col: str = "embedding",
 def embed_with(df: DataFrame, text_col: str, fn: Callable, out_col: str = "embedding") -> DataFrame:
     """Embed with a user model: ``fn(pandas.Series of text) -> sequence of
     float lists``.  Runs per Arrow batch on the executors."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def _embed(texts: pd.Series) -> pd.Series:
         return pd.Series(list(fn(texts)))
