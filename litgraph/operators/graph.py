@@ -85,7 +85,7 @@ def dense_ids(df: DataFrame, order_col: str, id_col: str = "node_id", partitions
     partition its offset, which is added to the local position.  The sorted
     rows are checkpointed (the node table is reused by every later step).
     """
-    n_parts = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = (df.repartitionByRange(n_parts, F.col(order_col)).sortWithinPartitions(order_col)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))

@@ -59,9 +59,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "uid",
     Returns ``(qid, <id_col>, score)``.
     """
     toks = docs.select(F.col(id_col).alias("_id"), tokenize(_doc_text(docs, text_cols)).alias("_t"))
-    stats = toks.select(F.size("_t").alias("dl"))
-    n_docs = stats.select(F.count(F.lit(1)).cast("double")).scalar()
-    avgdl = stats.select(F.avg("dl")).scalar()
+    # one scalar subquery (used twice, planned once) for the corpus statistics
+    stats = toks.select(F.struct(F.count(F.lit(1)).cast("double").alias("n"),
+                                 F.avg(F.size("_t")).alias("avgdl"))).scalar()
+    n_docs, avgdl = stats.getField("n"), stats.getField("avgdl")
 
     vocab = queries.select("term").distinct()
     tf = (toks.select("_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
