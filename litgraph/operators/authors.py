@@ -204,20 +204,24 @@ def merge_authors(df: DataFrame, order: Sequence, keep: Sequence[str] = PLACE_CO
             F.struct(F.lit("p").alias("tag"), F.col("pubmedid").cast("string").alias("value")),
         )).alias("_tv"))
     distinct_values = keyed.groupBy(*NAME_KEY, "_tv").agg(
-        F.min("_seq").alias("_seq"), F.min_by("_keep", "_seq").alias("_keep"))
+        F.min(F.struct("_seq", "_keep")).alias("_first"))
+    # Second aggregate: only collect_list (object hash aggregate, no lambdas):
+    # affiliations and paper ids in separate lists; the paper list carries the
+    # place, and its first element after sorting is the group's first row.
+    tag, value = F.col("_tv.tag"), F.col("_tv.value")
     grouped = distinct_values.groupBy(*NAME_KEY).agg(
-        F.array_sort(F.collect_list(F.struct("_seq", "_tv"))).alias("_vals"),
-        F.min_by("_keep", "_seq").alias("_keep"))
-
-    def values(tag):
-        picked = F.filter(F.col("_vals"), lambda x: (x["_tv"]["tag"] == tag) & x["_tv"]["value"].isNotNull())
-        return F.transform(picked, lambda x: x["_tv"]["value"])
-
+        F.collect_list(F.when((tag == "a") & value.isNotNull(),
+                              F.struct(F.col("_first._seq").alias("s"), value.alias("v")))).alias("_a"),
+        F.collect_list(F.when(tag == "p", F.struct(F.col("_first._seq").alias("s"), value.alias("v"),
+                                                   F.col("_first._keep").alias("k")))).alias("_p"))
     out = grouped.select(
         *NAME_KEY,
-        values("a").alias("affiliations"),
-        values("p").alias("paper_ids"),
-        *[F.col("_keep")[c].alias(c) for c in keep],
+        F.array_sort("_a")["v"].alias("affiliations"),
+        F.array_sort("_p").alias("_p"),
+    ).select(
+        *NAME_KEY, "affiliations",
+        F.filter(F.col("_p")["v"], lambda v: v.isNotNull()).alias("paper_ids"),
+        *[F.element_at("_p", 1)["k"][c].alias(c) for c in keep],
     )
     return out.select(
         *NAME_KEY,

@@ -68,10 +68,10 @@ def fuse_by_research(authors: DataFrame, papers: DataFrame, compat: bool = False
     m = F.col("members")
     return fused.select(
         "research",
-        F.array_join(F.transform(m, lambda x: x["forename"]), ", ").alias("forename"),
-        F.array_join(F.transform(m, lambda x: x["lastname"]), ", ").alias("lastname"),
-        F.array_join(F.transform(m, lambda x: x["affiliation"]), "; ").alias("affiliation"),
-        F.filter(m, lambda x: x["pubmedid"].isNotNull())[0]["pubmedid"].alias("pubmedid"),
+        F.array_join(m["forename"], ", ").alias("forename"),
+        F.array_join(m["lastname"], ", ").alias("lastname"),
+        F.array_join(m["affiliation"], "; ").alias("affiliation"),
+        F.element_at(F.array_compact(m["pubmedid"]), 1).alias("pubmedid"),
         F.size(m).cast("bigint").alias("n_authors"),
         "members",
     )

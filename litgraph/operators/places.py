@@ -36,6 +36,6 @@ def authors_by_location(authors: DataFrame, salt_buckets: int = 16) -> DataFrame
         F.flatten(F.collect_list("_ps")).alias("_ps"), F.sum("_n").alias("n_authors"))
     return places.select(
         "latitude", "longitude",
-        F.array_join(F.transform(F.array_sort("_ps"), lambda p: p["popup"]), POPUP_SEPARATOR).alias("popup"),
+        F.array_join(F.array_sort("_ps")["popup"], POPUP_SEPARATOR).alias("popup"),
         "n_authors",
     )
