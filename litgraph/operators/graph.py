@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,13 +87,17 @@ def dense_ids(df: DataFrame, order_col: str, id_col: str = "node_id", partitions
     rows are checkpointed (the node table is reused by every later step).
     """
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = (df.repartitionByRange(n_parts, F.col(order_col)).sortWithinPartitions(order_col)
+    # The range partitioner samples its input before the shuffle reads it;
+    # keep the input for those two passes instead of computing it twice.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = (src.repartitionByRange(n_parts, F.col(order_col)).sortWithinPartitions(order_col)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     # Materialise once (reliable checkpoint): the count and the numbering then
     # read the same rows in the same partitions, whatever AQE or a lost
     # executor does to a recomputation.
     ranged = ranged.checkpoint()
+    src.unpersist()
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     offsets = counts.select(
         "_pid", "_first",
@@ -126,13 +131,14 @@ def node_table(fused: DataFrame, main_authors: DataFrame) -> DataFrame:
     ``main_authors`` grows with the corpus, so it is joined, not broadcast;
     it is reduced to one row per id first (a dict keeps one value per key).
     """
-    firsts = main_authors.groupBy(F.col("uid").alias("_uid")).agg(F.max("first_author").alias("_first"))
-    nodes = dense_ids(fused, "research")
-    nodes = nodes.join(firsts, nodes.pubmedid == firsts._uid, "left")
+    firsts = main_authors.groupBy(F.col("uid").alias("_uid")).agg(F.max("first_author").alias("_fa"))
+    # label before numbering: one plan, so shared inputs are computed once
+    labelled = fused.join(firsts, fused.pubmedid == firsts._uid, "left")
+    nodes = dense_ids(labelled, "research")
     return nodes.select(
         "node_id", "pubmedid",
-        node_label(F.col("_first")).alias("label"),
-        hover_text(F.col("members"), F.col("_first")).alias("title"),
+        node_label(F.col("_fa")).alias("label"),
+        hover_text(F.col("members"), F.col("_fa")).alias("title"),
         node_size("n_authors").alias("size"),
         "n_authors", "research", "forename", "lastname", "affiliation", "members",
     )
