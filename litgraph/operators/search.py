@@ -35,7 +35,7 @@ MIN_TOP_K, MAX_TOP_K, DEFAULT_TOP_K = 3, 30, 3
 def tokenize(text) -> Column:
     """Lower-cased word tokens (letters and digits), empty ones dropped."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(c), TOKEN_SPLIT), "")
 
 
 def check_top_k(k: int, upper: int | None = None) -> int:
