@@ -58,24 +58,21 @@ def build_records(authorship: DataFrame, paper_ids: DataFrame,
     papers without authors get an empty author list.  ``titles`` is an
     optional ``(pubmedid, title)`` table.
 
-    One shuffle on the paper id: rows are collected per paper, then the
-    author list is assembled with array functions inside the group.
+    One shuffle on the paper id; both aggregates below (per author, then per
+    paper) reuse that partitioning.  Lists are ordered by sorting structs
+    whose first field is the position, and fields are picked from the
+    sorted arrays directly (no per-element lambdas).
     """
-    rows = authorship.groupBy("pubmedid").agg(F.array_sort(F.collect_list(F.struct(
-        "author_pos", "aff_pos", "forename", "lastname", "affiliation"))).alias("_rows"))
-
-    def author_at(p):
-        mine = F.filter(F.col("_rows"), lambda r: r["author_pos"] == p)
-        head = F.element_at(mine, 1)
-        affs = F.transform(F.filter(mine, lambda r: r["affiliation"].isNotNull()),
-                           lambda r: F.struct(r["affiliation"].alias("Affiliation")))
-        return F.struct(head["forename"].alias("ForeName"), head["lastname"].alias("LastName"),
-                        affs.alias("AffiliationInfo"))
-
-    nested = rows.select(
-        "pubmedid",
-        F.transform(F.array_distinct(F.transform("_rows", lambda r: r["author_pos"])),
-                    author_at).alias("_authors"))
+    by_paper = authorship.repartition("pubmedid")
+    info = F.when(F.col("affiliation").isNotNull(), F.struct(F.col("affiliation").alias("Affiliation")))
+    per_author = by_paper.groupBy("pubmedid", "author_pos").agg(F.array_sort(F.collect_list(
+        F.struct("aff_pos", "forename", "lastname", info.alias("info")))).alias("_r"))
+    head = F.element_at("_r", 1)
+    author = F.struct(head["forename"].alias("ForeName"), head["lastname"].alias("LastName"),
+                      F.array_compact(F.col("_r")["info"]).alias("AffiliationInfo"))
+    nested = per_author.groupBy("pubmedid").agg(
+        F.array_sort(F.collect_list(F.struct("author_pos", author.alias("a")))).alias("_s"))
+    nested = nested.select("pubmedid", F.col("_s")["a"].alias("_authors"))
     ids = paper_ids.select(F.col("pubmedid").cast("string").alias("pubmedid")).distinct()
     out = ids.join(nested, "pubmedid", "left")
     if titles is not None:
