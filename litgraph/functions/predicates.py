@@ -94,20 +94,30 @@ def _columns(term: Term, fields: Mapping[str, Sequence[str]], available: Iterabl
 
 
 def term_predicate(spec: str | Term, fields: Mapping[str, Sequence[str]] = DEFAULT_FIELDS,
-                   available: Iterable[str] | None = None) -> Column:
+                   available: Iterable[str] | None = None,
+                   array_cols: Iterable[str] = ()) -> Column:
+    """One term over its fields.  Text columns are joined and matched with
+    one ``rlike``; a keyword array column (e.g. MeSH headings) matches when
+    one of its elements matches the term as a whole word."""
     term = parse_term(spec)
     cols = _columns(term, fields, available)
-    text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in cols]))
-    return text.rlike(term_pattern(term))
+    pattern = term_pattern(term)
+    arrays = [c for c in cols if c in set(array_cols)]
+    texts = [c for c in cols if c not in set(arrays)]
+    preds = [F.exists(F.col(c), lambda x: F.lower(x).rlike(pattern)) for c in arrays]
+    if texts:
+        preds.append(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in texts])).rlike(pattern))
+    return reduce(lambda a, b: a | b, preds)
 
 
 def boolean_predicate(groups: Sequence[Sequence[str | Term]],
                       exclude: Sequence[str | Term] = (),
                       fields: Mapping[str, Sequence[str]] = DEFAULT_FIELDS,
-                      available: Iterable[str] | None = None) -> Column:
+                      available: Iterable[str] | None = None,
+                      array_cols: Iterable[str] = ()) -> Column:
     """P10 + P11: AND over groups of OR-ed terms, minus any excluded term."""
     def any_of(terms):
-        return reduce(lambda a, b: a | b, [term_predicate(t, fields, available) for t in terms])
+        return reduce(lambda a, b: a | b, [term_predicate(t, fields, available, array_cols) for t in terms])
     pred = reduce(lambda a, b: a & b, [any_of(g) for g in groups if g], F.lit(True))
     if exclude:
         pred = pred & ~any_of(exclude)

@@ -121,8 +121,11 @@ def search_bm25_per_topic(docs: DataFrame, topics: DataFrame, k: int = DEFAULT_T
 
 def boolean_search(docs: DataFrame, groups: Sequence[Sequence[str]], exclude: Sequence[str] = (),
                    fields: Mapping[str, Sequence[str]] = DEFAULT_FIELDS) -> DataFrame:
-    """Documents matching ``(g1 OR ...) AND (g2 OR ...) NOT (x ...)``."""
-    return docs.filter(boolean_predicate(groups, exclude, fields, available=docs.columns))
+    """Documents matching ``(g1 OR ...) AND (g2 OR ...) NOT (x ...)``.
+    Array columns (keyword lists such as MeSH headings) match per element."""
+    from pyspark.sql.types import ArrayType
+    arrays = [f.name for f in docs.schema.fields if isinstance(f.dataType, ArrayType)]
+    return docs.filter(boolean_predicate(groups, exclude, fields, available=docs.columns, array_cols=arrays))
 
 
 # ---------------------------------------------------------------- query composition

@@ -28,9 +28,10 @@ def paper_table(papers: DataFrame) -> DataFrame:
         paper_link(F.col("uid")).alias(LINK_HEADER)))
 
 
-def author_table(authors: DataFrame, one_link_per_paper: bool = True) -> DataFrame:
+def author_table(authors: DataFrame, one_link_per_paper: bool = True, ordered: bool = False) -> DataFrame:
     """``Forename, Lastname, Affiliation, Country, City, Link to Paper in
-    Database``, columns picked by name.
+    Database``, columns picked by name.  ``ordered`` sorts by name, the
+    order the reference's group-by gives (T3; a range-partitioned sort).
 
     With ``one_link_per_paper`` (default) a merged author with several papers
     gets one link per paper, joined by ', '.  ``False`` keeps the reference's
@@ -40,8 +41,10 @@ def author_table(authors: DataFrame, one_link_per_paper: bool = True) -> DataFra
         link = F.array_join(F.transform("paper_ids", paper_link), ", ")
     else:
         link = paper_link(F.col("pubmedid"))
-    return _capitalized(authors.select(
-        "forename", "lastname", "affiliation", "country", "city", link.alias(LINK_HEADER)))
+    out = authors.select("forename", "lastname", "affiliation", "country", "city", link.alias(LINK_HEADER))
+    if ordered:
+        out = out.orderBy("forename", "lastname")
+    return _capitalized(out)
 
 
 def filter_in(df: DataFrame, col: str, values) -> DataFrame:

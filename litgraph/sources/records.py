@@ -38,8 +38,8 @@ ROOT_TAG = "PubmedArticleSet"
 
 
 def read_records_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Records from XML files (one ``PubmedArticle`` element per record).
-    Splittable per file; nested pruning keeps unused branches unread."""
+    """Records from XML files (one ``PubmedArticle`` element per record),
+    read in parallel per file with the declared schema."""
     return (spark.read.format("xml").option("rowTag", ROW_TAG)
             .schema(RECORD_SCHEMA).load(path))
 

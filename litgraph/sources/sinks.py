@@ -46,3 +46,14 @@ def place_features(places: DataFrame) -> DataFrame:
 def save_place_features(places: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write features as JSON lines (one feature per line)."""
     place_features(places).write.mode(mode).text(path)
+
+
+def save_results(results: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
+    """Keep the pipeline's tables between reruns: one parquet folder per
+    table on shared storage (the reference keeps them in session memory)."""
+    for name, df in results.items():
+        df.write.mode(mode).parquet(f"{path}/{name}")
+
+
+def load_results(spark: SparkSession, path: str, names) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}

@@ -127,3 +127,14 @@ def test_empty_search_raises(spark):
     from litgraph.operators.tables import require_rows
     with pytest.raises(ValueError):
         require_rows(spark.range(0), "documents")
+
+
+def test_merge_with_a_hot_name(spark):
+    """One name holds a third of all rows: the result stays whole and exact."""
+    rows = [(str(p), 1, 1, "Hot", "Name", f"aff{p % 7}") for p in range(1, 301)]
+    rows += [(str(p), a, 1, f"f{p}", f"l{a}", "x") for p in range(1, 301) for a in (2, 3)]
+    out = {(r.forename, r.lastname): r for r in _merge(spark, rows, 50).collect()}
+    hot = out[("Hot", "Name")]
+    assert hot.paper_ids == [str(p) for p in range(1, 301)]
+    assert hot.affiliations == [f"aff{i}" for i in [1, 2, 3, 4, 5, 6, 0]]
+    assert len(out) == 1 + 300 * 2

@@ -106,3 +106,13 @@ def test_compose_and_expand(spark):
     mesh = spark.createDataFrame([("t", 1, 1, "Drug Repositioning", "mesh"), ("t", 1, 2, "covid 19", "tiab")],
                                  "topic string, concept_pos int, term_pos int, term string, kind string")
     assert se.compose_query(mesh).first().query == '(("drug repositioning"[Mesh] OR "covid 19"[Title/Abstract]))'
+
+
+def test_mesh_terms_match_keyword_arrays(spark):
+    docs = spark.createDataFrame([
+        ("1", "A", "text", ["Drug Repositioning", "Mice"]),
+        ("2", "B", "drug repositioning in text only", ["Rats"]),
+    ], "uid string, Title string, page_content string, mesh array<string>")
+    assert _ids(se.boolean_search(docs, [['"drug repositioning"[Mesh]']])) == ["1"]
+    assert _ids(se.boolean_search(docs, [["rat*[Mesh]"]])) == ["2"]
+    assert _ids(se.boolean_search(docs, [['"drug repositioning"[Title/Abstract]']])) == ["2"]

@@ -48,3 +48,12 @@ def test_place_features_geojson(spark):
     f = json.loads(place_features(places).first().value)
     assert f["geometry"] == {"type": "Point", "coordinates": [-2.0, 1.5]}
     assert f["properties"]["popup"] == "<b>A B</b>: lab"
+
+
+def test_results_round_trip(spark):
+    from litgraph.sources.sinks import load_results, save_results
+    path = tempfile.mkdtemp(prefix="litgraph-res-")
+    res = {"a": spark.range(3), "b": spark.range(5)}
+    save_results(res, path)
+    back = load_results(spark, path, ["a", "b"])
+    assert back["a"].count() == 3 and back["b"].count() == 5
