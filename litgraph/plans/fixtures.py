@@ -19,8 +19,22 @@ from pyspark.sql import functions as F
 from litgraph.sources.dimensions import country_codes, gazetteer_from_codes
 
 
+# Tables whose rows carry long texts: per-row work (tokenising, regex
+# matching, hashing features) dominates their plans.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table.  A small text file can be a single row group, i.e. a
+    single busy scan task for all the text work; such a scan is spread over
+    the cores with one round-robin shuffle.  Large inputs (many files / row
+    groups) and narrow tables are read as they are."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def iso(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
