@@ -42,7 +42,8 @@ def sql_strip(x: str) -> str:
 
 
 def sql_country(aff: str) -> str:
-    return sql_strip(f"split_part({sql_strip(f'string_split({aff}, {chr(39)},{chr(39)})[-1]')}, '.', 1)")
+    last_field = sql_strip("string_split(" + aff + ", ',')[-1]")
+    return sql_strip(f"split_part({last_field}, '.', 1)")
 
 
 def sql_city(aff: str) -> str:
@@ -77,8 +78,8 @@ JOIN (SELECT forename, lastname, string_agg(pubmedid, ', ' ORDER BY s) AS pubmed
 AUTHOR_CTES = [("placed", PLACED_SQL), ("merged", MERGED_SQL)]
 
 
-def author_sql(body: str, extra: list[tuple[str, str]] | None = None) -> str:
-    return fx.with_views(body, AUTHOR_CTES + list(extra or []))
+def author_sql(body: str, extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
+    return fx.with_views(body, AUTHOR_CTES + list(extra or []), recursive=recursive)
 
 
 # ------------------------------------------------------------- shared plans
@@ -224,6 +225,8 @@ def q_main_authors(spark, sf):
     return au.main_authors(fx.records(spark, sf))
 
 
+SPLIT_AT_COLON = "split_part(author_string, ':', 1)"
+
 AUTHOR_STRINGS_SQL = (
     f"SELECT pubmedid, author_pos, {_sql_name('forename', 'lastname')} || ': ' || "
     "coalesce(affiliation, '') AS author_string FROM authorship")
@@ -236,7 +239,7 @@ def q_author_strings(spark, sf):
 
 
 @query("clean_author_name", fx.with_views(
-    f"SELECT pubmedid, author_pos, {sql_strip(chr(39).join(['split_part(author_string, ', ':', ', 1)']))} "
+    f"SELECT pubmedid, author_pos, {sql_strip(SPLIT_AT_COLON)} "
     "AS author_name FROM s", [("s", AUTHOR_STRINGS_SQL)]))
 def q_clean_author_name(spark, sf):
     from litgraph.functions.strings import clean_author_name
@@ -503,8 +506,8 @@ FROM fused f LEFT JOIN mains m ON m.uid = f.pubmedid"""),
 ]
 
 
-def graph_sql(body: str, extra: list[tuple[str, str]] | None = None) -> str:
-    return author_sql(body, GRAPH_CTES + list(extra or []))
+def graph_sql(body: str, extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
+    return author_sql(body, GRAPH_CTES + list(extra or []), recursive=recursive)
 
 
 def main_authors_df(spark, sf):
@@ -841,7 +844,7 @@ NETWORK_EPS = 0.6
     NODE_VEC_CTES + dbscan_ctes(2, "SELECT node_id AS id FROM nodes",
                                 f"SELECT src, dst FROM node_pairs WHERE 1 - similarity <= {NETWORK_EPS}",
                                 prefix="net_"),
-) .replace("WITH ", "WITH RECURSIVE ", 1))
+    recursive=True))
 def q_similarity_network(spark, sf):
     from litgraph.plans.pipeline import similarity_network
     nodes, _ = similarity_network(merged(spark, sf), fx.papers(spark, sf), main_authors_df(spark, sf),
