@@ -20,9 +20,6 @@ from litgraph.functions.strings import (
     EDGE_COLOR, EDGE_VALUE, NO_AFFILIATION, edge_title, full_name, node_label, node_size,
     research_text)
 
-MEMBER_ORDER = ["forename", "lastname", "paper_idx"]
-
-
 def authors_join_papers(authors: DataFrame, papers: DataFrame, compat: bool = False) -> DataFrame:
     """One row per (merged author, paper) with the paper's columns.
 

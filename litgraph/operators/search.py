@@ -29,7 +29,7 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 K1 = 1.2
 B = 0.75
 RANK_DIGITS = 9
-MIN_TOP_K, MAX_TOP_K, DEFAULT_TOP_K = 3, 30, 3
+DEFAULT_TOP_K = 3          # the reference's default; its UI allows 3-30
 
 
 def tokenize(text) -> Column:
@@ -130,13 +130,8 @@ def boolean_search(docs: DataFrame, groups: Sequence[Sequence[str]], exclude: Se
 
 # ---------------------------------------------------------------- query composition
 
-KIND_FORMATS = {
-    "tiab": "{t}[Title/Abstract]",
-    "mesh": '"{t}"[Mesh]',
-    "all": "{t}[All Fields]",
-}
-
-
+# Term kinds of the composed query: tiab -> term[Title/Abstract],
+# mesh -> "term"[Mesh] (lower case), all -> term[All Fields].
 def _formatted_term(term: Column, kind: Column) -> Column:
     quoted = F.when(F.contains(term, F.lit(" ")), F.concat(F.lit('"'), term, F.lit('"'))).otherwise(term)
     return (F.when(kind == "mesh", F.concat(F.lit('"'), F.lower(term), F.lit('"[Mesh]')))
@@ -188,4 +183,5 @@ def concept_groups(terms: DataFrame) -> DataFrame:
 
 
 __all__ = ["tokenize", "bm25_scores", "search_bm25", "search_bm25_per_topic", "boolean_search",
-           "compose_query", "expand_synonyms", "concept_groups", "topk_per_group", "parse_term"]
+           "compose_query", "expand_synonyms", "concept_groups", "topk_per_group", "parse_term",
+           "check_top_k"]

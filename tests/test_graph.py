@@ -54,3 +54,16 @@ def test_edge_titles(spark):
     r = g.edge_titles(edges, nodes).first()
     assert r.title == "Edge from 'a et al.' to 'b et al.'. Similarity: 0.46"
     assert (r.value, r.color) == (0.1, "#a6a6a6")
+
+
+def test_compat_rule_loses_multi_paper_authors(spark):
+    """Q2: the literal rule joins the ', '-joined id text, so an author with
+    two papers meets neither; the default joins every paper."""
+    authors = spark.createDataFrame([("Ann", "Lee", "A", ["1", "2"], "1, 2"), ("Bo", "Kim", "B", ["1"], "1")],
+                                    AUTH + ", pubmedid string")
+    papers = spark.createDataFrame([("1", "T", "x"), ("2", "U", "y")], PAPERS)
+    fixed = g.authors_join_papers(authors, papers)
+    literal = g.authors_join_papers(authors, papers, compat=True)
+    assert sorted((r.forename, r.pubmedid) for r in fixed.collect()) == [("Ann", "1"), ("Ann", "2"), ("Bo", "1")]
+    assert sorted((r.forename, r.pubmedid) for r in literal.collect()) == [("Bo", "1")]
+    assert g.fuse_by_research(authors, papers, compat=True).count() == 1

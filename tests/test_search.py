@@ -6,7 +6,6 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from litgraph.functions.predicates import parse_term, term_pattern
 from litgraph.operators import search as se

@@ -3,7 +3,6 @@
 import tempfile
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from litgraph.operators.vectors import embed, embed_tfidf
 from litgraph.sources.sinks import load_graph, load_vectors, place_features, save_graph, save_vectors
