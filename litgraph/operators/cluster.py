@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litgraph.operators.graph import dense_ids, undirected
+from litgraph.session import checkpoint
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -25,18 +26,17 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     label changes (no round cap).  ``vertices`` (column ``id``) adds
     isolated vertices as their own components.
     """
-    sym = undirected(edges).checkpoint()  # read by every round: materialise once
+    sym = checkpoint(undirected(edges))  # read by every round: materialise once
     verts = sym.select(F.col("src").alias("id"))
     if vertices is not None:
         verts = verts.unionByName(vertices.select("id"))
-    labels = verts.distinct().select("id", F.col("id").alias("label")).checkpoint()
+    labels = checkpoint(verts.distinct().select("id", F.col("id").alias("label")))
     while True:
         offers = sym.join(labels, sym.src == labels.id).select(F.col("dst").alias("id"), "label")
         best = labels.unionByName(offers).groupBy("id").agg(F.min("label").alias("label"))
         hop = best.select(F.col("id").alias("_l"), F.col("label").alias("_ll"))
-        jumped = (best.join(hop, best.label == hop._l, "left")
-                  .select("id", F.least("label", F.coalesce("_ll", "label")).alias("label"))
-                  .checkpoint())
+        jumped = checkpoint(best.join(hop, best.label == hop._l, "left")
+                            .select("id", F.least("label", F.coalesce("_ll", "label")).alias("label")))
         changed = (jumped.join(labels.withColumnRenamed("label", "_old"), "id")
                    .filter(F.col("label") != F.col("_old")).limit(1).count())
         labels = jumped
@@ -56,7 +56,7 @@ def dbscan(points: DataFrame, neighbor_pairs: DataFrame, min_samples: int = 2) -
        among its core neighbours
     4. clusters are numbered 0, 1, ... in order of their smallest core id
     """
-    sym = undirected(neighbor_pairs).checkpoint()  # read four times below
+    sym = checkpoint(undirected(neighbor_pairs))  # read four times below
     degree = sym.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_deg"))
     pts = points.select("id").distinct().join(degree, "id", "left").fillna(0, ["_deg"])
     core = pts.filter(F.col("_deg") + 1 >= min_samples).select("id")

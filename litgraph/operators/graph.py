@@ -16,6 +16,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from litgraph.session import checkpoint
+
 from litgraph.functions.strings import (
     EDGE_COLOR, EDGE_VALUE, NO_AFFILIATION, edge_title, full_name, node_label, node_size,
     research_text)
@@ -93,7 +95,7 @@ def dense_ids(df: DataFrame, order_col: str, id_col: str = "node_id", partitions
     # Materialise once (reliable checkpoint): the count and the numbering then
     # read the same rows in the same partitions, whatever AQE or a lost
     # executor does to a recomputation.
-    ranged = ranged.checkpoint()
+    ranged = checkpoint(ranged)
     src.unpersist()
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     offsets = counts.select(
@@ -177,7 +179,7 @@ def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int = 2, checkpoint_ev
     nodes not seen before (anti join) and stops early when nothing is new.
     Lineage is cut with ``checkpoint()`` into the shared checkpoint folder.
     """
-    sym = undirected(edges).checkpoint()  # read once per round
+    sym = checkpoint(undirected(edges))  # read once per round
     seen = seeds.select("seed", "node_id", F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, k + 1):
@@ -185,7 +187,7 @@ def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int = 2, checkpoint_ev
                 .select("seed", F.col("dst").alias("node_id")).distinct())
         new = step.join(seen, ["seed", "node_id"], "left_anti").withColumn("hop", F.lit(hop))
         if hop % checkpoint_every == 0:
-            new = new.checkpoint()
+            new = checkpoint(new)
         if new.isEmpty():
             break
         seen = seen.unionByName(new)

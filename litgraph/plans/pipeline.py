@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from litgraph.operators import authors as au
 from litgraph.operators import cluster, graph, places, search, similarity, tables, vectors
 from litgraph.sources import records as rec
+from litgraph.session import checkpoint
 from litgraph.sources.records import flatten_documents  # noqa: F401  (M3)
 
 DEFAULT_THRESHOLD = 0.4
@@ -92,7 +93,7 @@ def similarity_network(authors: DataFrame, papers: DataFrame, mains: DataFrame,
         node_vecs = vectors.embed(nodes.select("node_id", "research"), "research", embed_fn)
     low = min(threshold, 1.0 - eps)
     pairs = similarity.similarity_edges(node_vecs.select("node_id", "embedding"), low, id_col="node_id")
-    pairs = pairs.checkpoint()  # reused by the graph edges and the clustering
+    pairs = checkpoint(pairs)  # reused by the graph edges and the clustering
     graph_edges = pairs.filter(F.col("similarity") >= threshold)
     near = pairs.filter(F.lit(1.0) - F.col("similarity") <= eps)
     clusters = cluster.dbscan(nodes.select(F.col("node_id").alias("id")), near, min_samples)

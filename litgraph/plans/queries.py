@@ -802,7 +802,8 @@ def q_graph_roundtrip(spark, sf):
     from litgraph.operators.cluster import connected_components
     from litgraph.session import scratch_path
     from litgraph.sources.sinks import load_graph, save_graph
-    edges = sim_edges(spark, sf).checkpoint()
+    from litgraph.session import checkpoint
+    edges = checkpoint(sim_edges(spark, sf))
     nodes = connected_components(edges)
     path = scratch_path(spark, "graph")
     save_graph(nodes, edges, path)
