@@ -98,3 +98,16 @@ def test_components_chain_and_isolated(spark):
     comp = {r.id: r.component for r in cluster.connected_components(edges, verts).collect()}
     assert all(comp[i] == 0 for i in range(41))
     assert comp[101] == 100 and comp[200] == 200
+
+
+def test_empty_inputs(spark):
+    from litgraph.operators.graph import khop_neighbors
+    none = spark.createDataFrame([], "id long, embedding array<float>")
+    assert similarity.similarity_edges(none, 0.5).count() == 0
+    pts = spark.range(5).select("id")
+    no_pairs = spark.createDataFrame([], "src long, dst long")
+    assert sorted(r.cluster for r in cluster.dbscan(pts, no_pairs, 2).collect()) == [-1] * 5
+    assert sorted(r.cluster for r in cluster.dbscan(pts, no_pairs, 1).collect()) == [0, 1, 2, 3, 4]
+    assert cluster.connected_components(no_pairs).count() == 0
+    seeds = spark.createDataFrame([(1, 1)], "seed long, node_id long")
+    assert [(r.node_id, r.hop) for r in khop_neighbors(no_pairs, seeds, 2).collect()] == [(1, 0)]
