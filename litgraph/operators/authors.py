@@ -193,34 +193,41 @@ def merge_authors(df: DataFrame, order: Sequence, keep: Sequence[str] = PLACE_CO
     Plan: every row is split into two tagged values (affiliation, paper id)
     and de-duplicated on ``(name, tag, value)`` with the first position; the
     map-side partial aggregate collapses repeats before the shuffle, so a hot
-    name only ships its distinct values.  A second aggregate on the name
-    orders the distinct values by first position.
+    name only ships its distinct values.  A paper value also carries the
+    row's ``keep`` columns in its key, so the group's first row (smallest
+    position of all paper values) brings its place along.  A second aggregate
+    on the name orders the distinct values by first position.
+
+    ``order`` of one integral column (e.g. a packed rank) keeps both
+    aggregates hash-based: the only aggregation buffer is that number.  A
+    multi-column order is compared as a struct (sort-based aggregate).
     """
-    seq = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
     keyed = df.filter(F.col("forename").isNotNull() & F.col("lastname").isNotNull()).select(
-        *NAME_KEY, seq.alias("_seq"), F.struct(*keep).alias("_keep"),
+        *NAME_KEY, _order_key(order).alias("_seq"),
         F.explode(F.array(
-            F.struct(F.lit("a").alias("tag"), F.col("affiliation").cast("string").alias("value")),
-            F.struct(F.lit("p").alias("tag"), F.col("pubmedid").cast("string").alias("value")),
+            F.struct(F.lit("a").alias("tag"), F.col("affiliation").cast("string").alias("value"),
+                     F.lit(None).cast(df.select(F.struct(*keep)).schema[0].dataType).alias("keep")),
+            F.struct(F.lit("p").alias("tag"), F.col("pubmedid").cast("string").alias("value"),
+                     F.struct(*keep).alias("keep")),
         )).alias("_tv"))
-    distinct_values = keyed.groupBy(*NAME_KEY, "_tv").agg(
-        F.min(F.struct("_seq", "_keep")).alias("_first"))
+    distinct_values = keyed.groupBy(*NAME_KEY, "_tv").agg(F.min("_seq").alias("_s"))
     # Second aggregate: only collect_list (object hash aggregate, no lambdas):
     # affiliations and paper ids in separate lists; the paper list carries the
     # place, and its first element after sorting is the group's first row.
     tag, value = F.col("_tv.tag"), F.col("_tv.value")
     grouped = distinct_values.groupBy(*NAME_KEY).agg(
         F.collect_list(F.when((tag == "a") & value.isNotNull(),
-                              F.struct(F.col("_first._seq").alias("s"), value.alias("v")))).alias("_a"),
-        F.collect_list(F.when(tag == "p", F.struct(F.col("_first._seq").alias("s"), value.alias("v"),
-                                                   F.col("_first._keep").alias("k")))).alias("_p"))
+                              F.struct(F.col("_s").alias("s"), value.alias("v")))).alias("_a"),
+        F.collect_list(F.when(tag == "p", F.struct(F.col("_s").alias("s"), value.alias("v"),
+                                                   F.col("_tv.keep").alias("k")))).alias("_p"))
     out = grouped.select(
         *NAME_KEY,
         F.array_sort("_a")["v"].alias("affiliations"),
         F.array_sort("_p").alias("_p"),
     ).select(
         *NAME_KEY, "affiliations",
-        F.filter(F.col("_p")["v"], lambda v: v.isNotNull()).alias("paper_ids"),
+        # one entry per (paper, place): keep each paper at its first position
+        F.array_distinct(F.array_compact(F.col("_p")["v"])).alias("paper_ids"),
         *[F.element_at("_p", 1)["k"][c].alias(c) for c in keep],
     )
     return out.select(
@@ -233,11 +240,16 @@ def merge_authors(df: DataFrame, order: Sequence, keep: Sequence[str] = PLACE_CO
     )
 
 
+def _order_key(order: Sequence) -> Column:
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    return cols[0] if len(cols) == 1 else F.struct(*cols)
+
+
 def dedupe_authors_first(df: DataFrame, order: Sequence,
                          cols: Sequence[str] | None = None) -> DataFrame:
     """A5: per (forename, lastname), the first non-null value of every other
     column in order of appearance."""
-    seq = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    seq = _order_key(order)
     cols = [c for c in (cols or df.columns) if c not in NAME_KEY]
     keyed = df.filter(F.col("forename").isNotNull() & F.col("lastname").isNotNull()).withColumn("_seq", seq)
     return keyed.groupBy(*NAME_KEY).agg(

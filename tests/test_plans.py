@@ -38,3 +38,20 @@ def test_scan_prunes_columns(spark):
     df = Q.QUERIES["affiliation_country"](spark, SF_SMALL)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "l_quantity" not in p and "l_shipdate" not in p
+
+
+def test_merge_with_integral_order_is_hash_aggregated(spark):
+    """A one-number order key keeps the merge's de-duplication a hash
+    aggregate (a struct min would need a sort per stage)."""
+    p = _plan(Q.merged(spark, SF_SMALL).select("forename", "lastname", "affiliation", "pubmedid"))
+    assert "SortAggregate" not in p.split("BroadcastExchange")[0]
+    assert "HashAggregate" in p
+
+
+def test_authorship_strings_after_the_shuffle(spark):
+    """The fixture's text columns are built after the window's exchange, so
+    the (few) scan tasks only join and shuffle narrow rows."""
+    from litgraph.plans import fixtures as fx
+    p = fx.authorship(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    below_exchange = p[p.index("Exchange hashpartitioning"):]
+    assert "mail@x.org" not in below_exchange
