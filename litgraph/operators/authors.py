@@ -143,10 +143,15 @@ def add_country_city(df: DataFrame, affiliation: str = "affiliation") -> DataFra
 
 
 def normalize_country(df: DataFrame, iso: DataFrame, col: str = "country") -> DataFrame:
-    """Alpha-3 code (any case) -> country name; other values stay."""
-    codes = broadcast_if_small(
-        iso.groupBy(F.col("alpha3").alias("_alpha3")).agg(F.max("name").alias("_cname")),
-        max_rows=100_000)
+    """Alpha-3 code (any case) -> country name; other values stay.
+
+    Only three-letter codes can meet ``upper(country)``, so the code table is
+    cut to them and reduced to one row per code: at most 26^3 = 17,576 rows,
+    whatever file is given.  That bound makes the broadcast safe without a
+    counting job."""
+    codes = F.broadcast(
+        iso.filter(F.col("alpha3").rlike("^[A-Z]{3}$"))
+        .groupBy(F.col("alpha3").alias("_alpha3")).agg(F.max("name").alias("_cname")))
     out = df.join(codes, F.upper(F.col(col)) == F.col("_alpha3"), "left")
     return out.withColumn(col, F.coalesce(F.col("_cname"), F.col(col))).drop("_alpha3", "_cname")
 

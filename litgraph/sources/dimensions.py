@@ -25,11 +25,14 @@ def country_codes(spark: SparkSession, path: str | None = None) -> DataFrame:
         return spark.read.option("header", True).schema(ISO_SCHEMA).csv(path)
     text = resources.files("litgraph.resources").joinpath("iso3166_alpha3.csv").read_text()
     rows = [(int(r["k"]), r["alpha3"], r["name"]) for r in csv.DictReader(text.splitlines())]
-    # A literal table: the optimizer folds it into a JVM-local relation, so no
-    # Python worker is involved when a query reads it.
-    structs = [F.struct(F.lit(k).cast("int").alias("k"), F.lit(a).alias("alpha3"), F.lit(n).alias("name"))
-               for k, a, n in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    # A VALUES literal: one call builds a JVM-local relation (no Python worker
+    # reads it, no per-cell gateway round trips while building it).
+    values = ", ".join(f"({k}, {_sql_string(a)}, {_sql_string(n)})" for k, a, n in rows)
+    return spark.sql(f"SELECT CAST(k AS INT) AS k, alpha3, name FROM VALUES {values} AS t(k, alpha3, name)")
+
+
+def _sql_string(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def gazetteer(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
