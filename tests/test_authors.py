@@ -138,3 +138,18 @@ def test_merge_with_a_hot_name(spark):
     assert hot.paper_ids == [str(p) for p in range(1, 301)]
     assert hot.affiliations == [f"aff{i}" for i in [1, 2, 3, 4, 5, 6, 0]]
     assert len(out) == 1 + 300 * 2
+
+
+def test_merge_packed_order_equals_struct_order(spark):
+    """A one-number order key (hash aggregates) gives the same merge as the
+    struct of its parts (sort aggregates), places included."""
+    rows = [(str(p), a, f, f"f{a % 3}", f"l{(a + p) % 2}", f"aff{(p * a + f) % 5}")
+            for p in range(1, 25) for a in range(1, 6) for f in range(1, 3)]
+    df = spark.createDataFrame(rows, ROWS).withColumns(
+        {"country": F.col("pubmedid"), "city": F.col("affiliation"), "latitude": F.col("author_pos") * 1.0,
+         "longitude": F.col("aff_pos") * 1.0}).repartition(7)
+    p = F.col("pubmedid").cast("bigint")
+    cols = ["forename", "lastname", "affiliation", "pubmedid", "country", "city", "latitude", "longitude"]
+    a = au.merge_authors(df, [p, "author_pos", "aff_pos"]).select(*cols).collect()
+    b = au.merge_authors(df, [p * 100000 + F.col("author_pos") * 100 + F.col("aff_pos")]).select(*cols).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 6
