@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from litgraph.llm.common import documents
 from litgraph.llm.near_dedup import near_duplicates
+from litgraph.llm.toxicity import toxicity
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=2, percent=80)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
