@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from litgraph.llm import secrets
 from litgraph.llm.common import documents
 from litgraph.llm.near_dedup import near_duplicates
 from litgraph.llm.toxicity import toxicity
@@ -19,9 +20,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE: dict[str, str] = {}
