@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litgraph.session import scratch_path
@@ -38,3 +38,16 @@ def word_count(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Rows whose crc32 of the id as text leaves 2 modulo 4 (null id: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``n``, its row number from 1 in the given order, without
+    one task that sees all rows: ranges are numbered apart, then shifted by
+    the counts of the ranges before (one row per range)."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__rows"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    here = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("__here", here).join(F.broadcast(shift), "__range").withColumn(
+        "n", F.col("__here") + F.col("__before")).drop("__range", "__here", "__before")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgraph.llm import secrets
+from litgraph.llm import mixing, packing, secrets
 from litgraph.llm.common import documents
 from litgraph.llm.near_dedup import near_duplicates
 from litgraph.llm.toxicity import toxicity
@@ -16,18 +16,57 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=2, percent=80)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
+    "op6_source_mixing": op6_source_mixing,
     "op10_secret_scans": op10_secret_scans,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_source_mixing": r"""
+WITH base AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+  FROM documents),
+src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM base GROUP BY source),
+capped AS (   -- sources in the order in which they reach their bound
+  SELECT *, coalesce(sum(3 * source_size) OVER o, 0) AS full_before, coalesce(sum(w) OVER o, 0) AS w_before,
+         sum(source_size) OVER () AS total, sum(w) OVER () AS w_all
+  FROM src WINDOW o AS (ORDER BY 3.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lev AS (
+  SELECT max(CAST(total - full_before AS DOUBLE) / CAST(w_all - w_before AS DOUBLE)) AS level FROM capped),
+goal AS (
+  SELECT source, source_size, least(CAST(w AS DOUBLE) * level, CAST(3 * source_size AS DOUBLE)) AS target
+  FROM src, lev),
+placed AS (
+  SELECT b.doc_id, b.size, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS budget,
+         CAST(coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.k, b.doc_id, b.size
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bef
+  FROM base b JOIN goal g ON b.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0
+            ELSE (budget // source_size) * size + greatest(least(budget % source_size - bef, size), 0) END AS BIGINT)
+         AS taken
+FROM placed""",
+}
