@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgraph.llm import mixing, packing, secrets
+from litgraph.llm import bitplanes, langid, mixing, packing, quality, secrets, sharding, winnow
 from litgraph.llm.common import documents
 from litgraph.llm.near_dedup import near_duplicates
 from litgraph.llm.toxicity import toxicity
@@ -24,10 +24,31 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op4_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(documents(spark, sf_dir))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir, "pages"), documents(spark, sf_dir))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bitplanes.token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(documents(spark, sf_dir))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -36,7 +57,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_minimax_sharding": op4_minimax_sharding,
+    "op5_language_id": op5_language_id,
     "op6_source_mixing": op6_source_mixing,
+    "op7_bit_planes": op7_bit_planes,
+    "op8_winnowing": op8_winnowing,
+    "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
 }
 
