@@ -20,9 +20,10 @@ Steps, all partitioned:
 4. candidates pass two filters (set sizes; number of equal MinHashes, whose
    chance to lose a link at the threshold is below 1e-5) and are then verified
    on full sets; links make components;
-5. keys that still hold nodes of several components are taken again, first as
-   a star around another node, then as all pairs between different
-   components: no link that joins two components is left out.
+5. keys that still hold nodes of several components are open: their nodes are
+   compared in blocks of bounded size, on full sets, and only links between
+   components are given out.  So no link that joins two components is left
+   out, and no group emits its pairs.
 
 Defined results: rows with a null id take part, but cannot name a component
 (``component_id`` is the smallest non-null id; a document linked with nothing
@@ -50,6 +51,8 @@ HASHES = 2 * HALVES * PER_BLOCK
 #: Bits of the filter that says which rows' sets are needed: a fixed size, so
 #: what is broadcast never grows; a fuller filter only prunes less.
 FILTER_BITS = 1 << 24
+#: Nodes in a block of the comparison of open keys.
+BLOCK = 128
 
 _rng = np.random.default_rng(11)
 _MUL = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -278,14 +281,11 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     links = verified(hits.where("node <> hub").groupBy("node").agg(F.min("hub").alias("a"))
                      .withColumnRenamed("node", "b"))
     comps = components(links)
-    for pairs in (_star, _cross):
-        open_keys = _open_keys(hits, comps)
-        if open_keys.isEmpty():
-            break
-        more = verified(pairs(open_keys))
+    open_pairs = _open_pairs(hits, comps)
+    if not open_pairs.isEmpty():
+        more = _block_links(open_pairs, sketches.select("node", "n"), sets, percent)
         if not more.isEmpty():
-            links = links.union(more)
-            comps = components(links)
+            comps = components(links.union(more))
 
     named = classes.select("node", "rep").join(comps, "node", "left").select(
         "node", "rep", F.coalesce("comp", "node").alias("comp"))
@@ -297,27 +297,83 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     ).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
-def _open_keys(hits: DataFrame, comps: DataFrame) -> DataFrame:
-    """``(key, node, comp)`` of the keys whose nodes lie in several components."""
-    at = hits.select("key", "node").join(comps, "node", "left").select(
-        "key", "node", F.coalesce("comp", "node").alias("comp"))
-    several = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    return materialize(at.join(several.select("key"), "key", "left_semi"), "open")
-
-
-def _star(open_keys: DataFrame) -> DataFrame:
-    """Every node with one other node of its key in another component: the one
-    of the lowest hash, so hubs are other ones than in the first round."""
-    hub = open_keys.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("node").alias("h"), "node", "comp")).alias("hub"))
-    pairs = open_keys.join(hub, "key").where(F.col("comp") != F.col("hub.comp")).select(
-        F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    return pairs.distinct()
+def _open_pairs(hits: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(node, comp, hub, hub_comp)``: all nodes that share a key with its
+    smallest node (hub), for hubs that have such a node in another component.
+    A key whose nodes lie in several components has one."""
+    pairs = hits.where("node <> hub").select("node", "hub").distinct()
+    pairs = pairs.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "hub")
+    far = comps.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    pairs = materialize(pairs.join(far, "hub", "left").select(
+        "node", "comp", "hub", F.coalesce("hub_comp", "hub").alias("hub_comp")), "pairs")
+    several = pairs.where("comp <> hub_comp").select("hub").distinct()
+    return materialize(pairs.join(several, "hub", "left_semi"), "open")
+
+
+def _dense_links(percent: int):
+    """A block pair's sets -> links that join what belongs together, as stars:
+    fewer than the block pair has nodes."""
+    def run(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        comp = table.column("comp").to_numpy()
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("items")]
+        size = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        new = np.r_[True, flat[1:] != flat[:-1]]
+        shared = np.diff(np.r_[np.flatnonzero(new), len(flat)]) > 1
+        item = np.cumsum(new) - 1
+        ok = shared[item]
+        item, row = (np.cumsum(shared) - 1)[item[ok]], row[ok]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        width = max(1, 4_000_000 // len(sets))  # items per slice: bounds the dense matrix
+        for lo in range(0, int(item[-1]) + 1 if len(item) else 0, width):
+            i, j = np.searchsorted(item, (lo, lo + width))
+            x = np.zeros((len(sets), width), np.float32)
+            x[row[i:j], item[i:j] - lo] = 1
+            both += x @ x.T
+        union = size[:, None] + size[None, :] - both
+        joined = (100 * both >= percent * union) | (comp[:, None] == comp[None, :])
+        label = np.arange(len(sets))
+        while True:  # smallest row that can be reached
+            low = np.where(joined, label[None, :], len(sets)).min(axis=1)
+            low = np.minimum(low, label)
+            if (low == label).all():
+                break
+            label = low[low]
+        i = np.flatnonzero(label != np.arange(len(sets)))
+        return pa.table({"a": pa.array(node[label[i]], pa.int64()), "b": pa.array(node[i], pa.int64())})
+    return run
 
 
-def _cross(open_keys: DataFrame) -> DataFrame:
-    """All pairs of nodes of one key in different components."""
-    x = open_keys.select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    y = open_keys.select("key", F.col("node").alias("y"), F.col("comp").alias("cy"))
-    return x.join(y, "key").where("cx < cy").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _block_links(open_pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components among nodes that share keys.
+
+    Nodes that hang together by open pairs are a family.  A family's nodes are
+    dealt into classes of set size, such that linked nodes are of the same or of
+    neighbouring classes, and large classes into blocks of about BLOCK nodes.
+    Each pair of blocks that can hold links is one group of bounded size, whose
+    sets are compared at once; only links leave it."""
+    family = components(open_pairs, "node", "hub")
+    base = F.log(F.lit(100.0 / percent)) * 1.001  # a little wider, so neighbours suffice in spite of rounding
+    nodes = open_pairs.select("node", "comp").union(open_pairs.select("hub", "hub_comp")).distinct().join(sizes, "node").join(
+        family.withColumnRenamed("comp", "family"), "node")
+    nodes = nodes.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / base).cast("int"))
+    counts = nodes.groupBy("family", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    nodes = materialize(nodes.join(counts, ["family", "class"]).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")), "nodes")
+    blocks = counts.select("family", "class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    x = blocks.select("family", F.struct("class", "block").alias("x"))
+    y = blocks.select("family", F.struct("class", "block").alias("y"))
+    pairs = x.join(y, "family").where((F.col("x") <= F.col("y")) & (F.col("y.class") - F.col("x.class") <= 1))
+    pairs = pairs.select("family", "x", "y", F.xxhash64("family", "x", "y").alias("pair"))
+    sides = pairs.select("family", "pair", F.explode(F.array_distinct(F.array("x", "y"))).alias("at"))
+    members = nodes.join(sides.select("family", "pair", F.col("at.class").alias("class"), F.col("at.block").alias("block")),
+                         ["family", "class", "block"]).select("pair", "node", "comp")
+    several = members.groupBy("pair").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    members = materialize(members.join(several.select("pair"), "pair", "left_semi"), "members")
+    wanted = sets.join(members.select("node").distinct(), "node", "left_semi")
+    return materialize(members.join(wanted, "node").select("pair", "node", "comp", "items").groupBy("pair").applyInArrow(
+        _dense_links(percent), "a long, b long").distinct(), "links")
