@@ -263,7 +263,7 @@ def _tree(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def fit_label_model(votes: np.ndarray, counts: np.ndarray, share: float, rounds: int = 30) -> LabelModel:
     """EM over vote patterns and how many documents have each; it begins from
-    the majority of the lexicon voters."""
+    the documents on which a lexicon voter votes toxic."""
     v = votes.astype(np.int64)
     toxic = (v[:, :len(LEXICONS)] == 2).sum(axis=1)
     p1 = np.where(toxic > 0, 0.9, 0.02)
