@@ -10,7 +10,6 @@ operators  DataFrame -> DataFrame operators: author extraction and merge,
            places, display tables, ranked search, embeddings, similarity
            join, graph, clustering
 plans      the end-to-end pipeline and the registry of named queries
-streaming  incremental (file-stream) driver for the author-profile plan
 
 Every operator is a plain function that takes and returns DataFrames, so it
 composes with ``df.transform``.  No operator collects rows to the driver;

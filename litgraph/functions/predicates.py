@@ -84,12 +84,14 @@ def term_pattern(term: Term) -> str:
 
 
 def _columns(term: Term, fields: Mapping[str, Sequence[str]], available: Iterable[str] | None):
-    cols = list(term.fields or fields.get(term.tag, fields["title/abstract"]))
+    if not term.fields and term.tag not in fields:
+        raise ValueError(f"unknown field tag [{term.tag}]; known: {sorted(fields)}")
+    cols = list(term.fields or fields[term.tag])
     if available is not None:
         have = set(available)
-        kept = [c for c in cols if c in have]
-        # [Mesh] without a keyword column falls back to title and abstract
-        cols = kept or [c for c in fields["title/abstract"] if c in have]
+        cols = [c for c in cols if c in have]
+        if not cols:
+            raise ValueError(f"no column for field tag [{term.tag}]")
     return cols
 
 

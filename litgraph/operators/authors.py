@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from litgraph.functions.strings import (
     affiliation_city, affiliation_country, clean_author_name, full_name)
-from litgraph.session import broadcast_if_small
 
 PLACE_COLS = ["country", "city", "latitude", "longitude"]
 NAME_KEY = ["forename", "lastname"]
@@ -143,15 +142,12 @@ def add_country_city(df: DataFrame, affiliation: str = "affiliation") -> DataFra
 
 
 def normalize_country(df: DataFrame, iso: DataFrame, col: str = "country") -> DataFrame:
-    """Alpha-3 code (any case) -> country name; other values stay.
-
-    Only three-letter codes can meet ``upper(country)``, so the code table is
-    cut to them and reduced to one row per code: at most 26^3 = 17,576 rows,
-    whatever file is given.  That bound makes the broadcast safe without a
-    counting job."""
-    codes = F.broadcast(
-        iso.filter(F.col("alpha3").rlike("^[A-Z]{3}$"))
-        .groupBy(F.col("alpha3").alias("_alpha3")).agg(F.max("name").alias("_cname")))
+    """Code (any case on either side) -> country name; other values stay.
+
+    The code table is reduced to one row per upper-case code; all its codes
+    count.  Spark chooses the join from its real size."""
+    codes = iso.filter(F.col("alpha3").isNotNull()).groupBy(
+        F.upper("alpha3").alias("_alpha3")).agg(F.max("name").alias("_cname"))
     out = df.join(codes, F.upper(F.col(col)) == F.col("_alpha3"), "left")
     return out.withColumn(col, F.coalesce(F.col("_cname"), F.col(col))).drop("_alpha3", "_cname")
 
@@ -162,12 +158,12 @@ def geocode_places(df: DataFrame, gazetteer: DataFrame, city: str = "city",
 
     Keys match null-safely: a null city only meets a gazetteer row whose city
     is null (the reference looked up the text 'None').  The gazetteer is
-    reduced to one point per place, then broadcast behind a size check.
+    reduced to one point per place; Spark chooses the join from its real size
+    and may split the rows of a place that is too frequent for one task.
     """
     points = gazetteer.groupBy(
         F.col("city").alias("_gcity"), F.col("country").alias("_gcountry")
     ).agg(F.min(F.struct("latitude", "longitude")).alias("_ll"))
-    points = broadcast_if_small(points)
     cond = F.col(city).eqNullSafe(F.col("_gcity")) & F.col(country).eqNullSafe(F.col("_gcountry"))
     return (df.join(points, cond, "left")
             .withColumns({"latitude": F.col("_ll.latitude"), "longitude": F.col("_ll.longitude")})

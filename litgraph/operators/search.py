@@ -77,17 +77,12 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "uid",
 
 
 def topk_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k: int,
-                   rank_col: str = "rank", salt_buckets: int = 16, salt_col: str | None = None) -> DataFrame:
-    """Top-k rows per group in two rounds: top-k inside ``(group, salt)``
-    buckets, then top-k over the at most ``salt_buckets * k`` survivors, so a
-    hot group is never sorted whole in one task."""
-    salt = F.pmod(F.xxhash64(F.col(salt_col) if salt_col else F.struct(*df.columns)),
-                  F.lit(salt_buckets))
-    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
-    w2 = Window.partitionBy(*group_cols).orderBy(*order)
-    first = (df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w1))
-             .filter(F.col("_r") <= k).drop("_r", "_salt"))
-    return first.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
+                   rank_col: str = "rank") -> DataFrame:
+    """Top-k rows per group.  Spark limits each group to k rows in every map
+    task before the shuffle (WindowGroupLimit), so a hot group's task gets k
+    rows from each of them."""
+    rank = F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order))
+    return df.withColumn(rank_col, rank).filter(F.col(rank_col) <= k)
 
 
 def _rank_order(id_col: str) -> list[Column]:
@@ -115,7 +110,7 @@ def search_bm25_per_topic(docs: DataFrame, topics: DataFrame, k: int = DEFAULT_T
     q = topics.select(F.col(topic_id).alias("qid"),
                       F.explode(F.array_distinct(tokenize(F.col(topic_text)))).alias("term"))
     scores = bm25_scores(docs, q, id_col, text_cols)
-    ranked = topk_per_group(scores, ["qid"], _rank_order(id_col), k, salt_col=id_col)
+    ranked = topk_per_group(scores, ["qid"], _rank_order(id_col), k)
     return ranked.select(F.col("qid").alias(topic_id), id_col, "score", "rank")
 
 

@@ -16,33 +16,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from litgraph.sources.dimensions import country_codes, gazetteer_from_codes
-
-
-# Tables whose rows carry long texts: per-row work (tokenising, regex
-# matching, hashing features) dominates their plans.
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+from litgraph.sources.dimensions import gazetteer_from_codes, sample_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.  A small text file can be a single row group, i.e. a
-    single busy scan task for all the text work; such a scan is spread over
-    the cores with one round-robin shuffle.  Large inputs (many files / row
-    groups) and narrow tables are read as they are."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    return df
+    """A driver table, read as it is."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def iso(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    return country_codes(spark)
+    return sample_codes(spark)
 
 
 def gazetteer(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    return gazetteer_from_codes(country_codes(spark))
+    return gazetteer_from_codes(sample_codes(spark))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +84,10 @@ def affiliated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paper_order(df: DataFrame) -> list:
     """Order of appearance used by 'first' / 'unique' semantics: records in id
     order, then author position, then affiliation position, packed into one
-    bigint (the oracle's ``SEQ_SQL``).  In these views an order has at most 7
-    lines (author_pos < 1000) and one affiliation per author (aff_pos < 100),
-    so the packing keeps the struct order; one number keeps the merge's
-    aggregates hash-based."""
-    return [F.col("pubmedid").cast("bigint") * 100000 + F.col("author_pos") * 100 + F.col("aff_pos")]
+    bigint (the oracle's ``SEQ_SQL``): 31 bits of the id, 20 of the author (a
+    million authors a paper), 12 of the affiliation.  One number keeps the
+    merge's aggregates hash-based."""
+    return [F.col("pubmedid").cast("bigint") * 4294967296 + F.col("author_pos") * 4096 + F.col("aff_pos")]
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ LEFT JOIN iso i ON upper(c.country0) = i.alpha3
 LEFT JOIN gazetteer g ON g.city IS NOT DISTINCT FROM c.city
                      AND g.country IS NOT DISTINCT FROM coalesce(i.name, c.country0)"""
 
-SEQ_SQL = "CAST(pubmedid AS BIGINT) * 100000 + author_pos * 100 + aff_pos"
+SEQ_SQL = "CAST(pubmedid AS BIGINT) * 4294967296 + author_pos * 4096 + aff_pos"
 
 MERGED_SQL = f"""SELECT f.forename, f.lastname, coalesce(a.affiliation, '') AS affiliation, p.pubmedid, p.links,
        f.country, f.city, f.latitude, f.longitude

@@ -1,9 +1,8 @@
 """Dimension tables: country codes (S4) and the gazetteer.
 
-Both are small lookup tables.  The country-code table is bounded by the ISO
-3166 list (under 300 rows), so it is always safe to broadcast.  A gazetteer
-can be large (every populated place of the world is a few million rows), so
-operators that join it use a size-checked broadcast.
+The country-code table has a row per country.  A gazetteer can be large (every
+populated place of the world is a few million rows).  Operators join both
+without hints; Spark broadcasts what its sizes allow.
 """
 
 from __future__ import annotations
@@ -20,9 +19,29 @@ GAZETTEER_SCHEMA = "city string, country string, latitude double, longitude doub
 
 def country_codes(spark: SparkSession, path: str | None = None) -> DataFrame:
     """``alpha3 -> name`` table.  ``path`` is a CSV with header ``k,alpha3,name``
-    on shared storage; without it the packaged table is used."""
+    on shared storage; without it all ISO 3166 countries as the JVM's locale
+    data has them."""
     if path:
         return spark.read.option("header", True).schema(ISO_SCHEMA).csv(path)
+    rows = ", ".join(f"({_sql_string(a)}, {_sql_string(n)})" for a, n in _locale_countries(spark))
+    return spark.sql(f"SELECT alpha3, name FROM VALUES {rows} AS t(alpha3, name)")
+
+
+_countries: list[tuple[str, str]] = []
+
+
+def _locale_countries(spark: SparkSession) -> list[tuple[str, str]]:
+    if not _countries:
+        locale = spark.sparkContext._jvm.java.util.Locale
+        english = locale.ENGLISH
+        for code in locale.getISOCountries():
+            country = locale("", code)
+            _countries.append((country.getISO3Country(), country.getDisplayCountry(english)))
+    return _countries
+
+
+def sample_codes(spark: SparkSession) -> DataFrame:
+    """The 25 numbered countries of the test views."""
     text = resources.files("litgraph.resources").joinpath("iso3166_alpha3.csv").read_text()
     rows = [(int(r["k"]), r["alpha3"], r["name"]) for r in csv.DictReader(text.splitlines())]
     # A VALUES literal: one call builds a JVM-local relation (no Python worker

@@ -153,3 +153,15 @@ def test_merge_packed_order_equals_struct_order(spark):
     a = au.merge_authors(df, [p, "author_pos", "aff_pos"]).select(*cols).collect()
     b = au.merge_authors(df, [p * 100000 + F.col("author_pos") * 100 + F.col("aff_pos")]).select(*cols).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 6
+
+
+def test_paper_order_holds_for_large_consortia(spark):
+    """The packed order key keeps the order of (paper, author, affiliation)
+    for 1,500 authors and 150 affiliations."""
+    from pyspark.sql import functions as F
+
+    from litgraph.plans import fixtures as fx
+    df = spark.createDataFrame([("1", 1500, 150), ("1", 1500, 1), ("1", 2, 150), ("2", 1, 1), ("10", 1, 1)],
+                               "pubmedid string, author_pos int, aff_pos int")
+    rows = df.orderBy(*fx.paper_order(None)).collect()
+    assert [tuple(r) for r in rows] == [("1", 2, 150), ("1", 1500, 1), ("1", 1500, 150), ("2", 1, 1), ("10", 1, 1)]

@@ -61,15 +61,16 @@ def test_capitalize_header():
         ["Forename", "Page_content", S.LINK_HEADER]
 
 
-def test_country_codes_three_letters_only(spark):
-    """J3 maps alpha-3 codes only (any case); other code shapes in a user
-    table never match, and names keep their quotes."""
+def test_country_codes_of_any_case_and_shape(spark):
+    """J3 maps all codes of a user's table (any case on either side), names
+    keep their quotes, and the default table has all countries."""
     from litgraph.operators.authors import normalize_country
     from litgraph.sources.dimensions import _sql_string, country_codes
     iso = spark.createDataFrame([(0, "CIV", "Côte d'Ivoire"), (1, "UK", "United Kingdom"),
-                                 (2, "DEU", "Germany")], "k int, alpha3 string, name string")
+                                 (2, "deu", "Germany")], "k int, alpha3 string, name string")
     df = spark.createDataFrame([("civ",), ("uk",), ("Deu",), ("France",), (None,)], "country string")
     got = sorted((r.country or "") for r in normalize_country(df, iso).collect())
-    assert got == ["", "Côte d'Ivoire", "France", "Germany", "uk"]
+    assert got == ["", "Côte d'Ivoire", "France", "Germany", "United Kingdom"]
     assert spark.sql(f"SELECT {_sql_string(chr(39) + 'a' + chr(92))} AS v").first().v == "'a\\"
-    assert country_codes(spark).count() == 25
+    codes = {r.alpha3: r.name for r in country_codes(spark).collect()}
+    assert len(codes) > 240 and codes["KOR"] == "South Korea" and codes["DEU"] == "Germany"

@@ -11,6 +11,19 @@ from pathlib import Path
 ROOT = Path(__file__).resolve().parents[1]
 
 
+def test_cluster_session_without_shared_folder_raises():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from litgraph.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077",
+                         getConf=lambda: SimpleNamespace(get=lambda *_: None))
+    spark = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(spark)
+
+
 def test_queries_in_fresh_session_without_checkpoint_dir():
     code = textwrap.dedent(f"""
         import sys

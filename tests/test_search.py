@@ -43,8 +43,10 @@ def test_boolean_wildcard_phrase_fields(papers):
     assert _ids(se.boolean_search(papers, [['"drug repositioning"']], exclude=["mice"])) == ["2", "4"]
     assert _ids(se.boolean_search(papers, [["toxins[Title]"]])) == ["4"]
     assert _ids(se.boolean_search(papers, [["toxic[Abstract]"]])) == []
-    # [Mesh] without a keyword column falls back to title and abstract
-    assert _ids(se.boolean_search(papers, [["women[Mesh]"]])) == ["2"]
+    # [Mesh] without a keyword column, or an unknown tag, is an error
+    for spec in ("women[Mesh]", "women[Nowhere]"):
+        with pytest.raises(ValueError):
+            se.boolean_search(papers, [[spec]])
 
 
 def _bm25_brute(docs, topic, k1=1.2, b=0.75):
