@@ -31,6 +31,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,8 @@ from litgraph.session import scratch_path
 MAGIC = b"BPLANES1"
 BLOCK_IDS = 1 << 16
 FOOTER = struct.Struct("<QQ8s")
-CACHE = 1 << 19       # stretches kept by a worker
+CACHE = 1 << 20       # stretches kept by a worker
+ENCODE_BLOCK = 2 * textnum.BLOCK
 NULL_ID = -2**63
 
 
@@ -166,11 +168,13 @@ class Reader:
 
 # ---- encoding -------------------------------------------------------------
 
-_ASCII_WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+# the pre-tokenizer's pattern over ASCII and the Latin letters up to U+024F
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PIECE = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_OTHER = re.compile(rf"[^\x00-\x1b\x20-\x7f{_LATIN}]")
 #: Printable characters stand for themselves, other bytes for characters from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHAR = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_ASCII_MAP = {b: c for b, c in _BYTE_CHAR.items() if b < 128}
 #: First bytes of the characters that are white space beyond ASCII.
 _MAYBE_SPACE = np.zeros(256, bool)
 _MAYBE_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -191,12 +195,23 @@ class Encoder:
         self.cache: dict[bytes, bytes] = {}
 
     def _stretch(self, raw: bytes) -> bytes:
-        if raw.isascii() and not any(0x1C <= c < 0x20 for c in raw):
-            pieces = [w.translate(_ASCII_MAP) for w in _ASCII_WORD.findall(raw.decode())]
-        else:
-            pieces = [w for w, _ in self.pre.pre_tokenize_str(raw.decode())]
-        ids = [t.id for w in pieces for t in self.model.tokenize(w)]
-        return np.array(ids, "<u4").tobytes()
+        text = raw.decode()
+        if _OTHER.search(text):
+            return b"".join(self._piece(w) for w, _ in self.pre.pre_tokenize_str(text))
+        pieces = _PIECE.findall(text)
+        if len(pieces) == 1:
+            return self._piece(raw.decode("latin-1").translate(_BYTE_CHAR))
+        out = []
+        for w in pieces:  # a piece is a stretch that can stand elsewhere too
+            key = w.encode()
+            ids = self.cache.get(key)
+            if ids is None:
+                ids = self.cache[key] = self._piece(key.decode("latin-1").translate(_BYTE_CHAR))
+            out.append(ids)
+        return b"".join(out)
+
+    def _piece(self, mapped: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _block(self, b: textnum.Block) -> Iterator[np.ndarray]:
         data = b.data
@@ -241,7 +256,7 @@ class Encoder:
             yield ids[upto[i]:upto[i + 1]]
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
-        for b in textnum.blocks(column):
+        for b in textnum.blocks(column, ENCODE_BLOCK):
             raw = b.data.tobytes()
             if any(s in raw for s in self.special):
                 whole = [raw[s:e].decode() for s, e in zip(b.offsets[:-1], b.offsets[1:], strict=True)]
