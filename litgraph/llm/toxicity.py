@@ -1,8 +1,8 @@
 """Operator 3: toxicity scores by weak supervision.
 
 1. **Lexicons.**  From a bounded sample of the labelled training rows (the
-   ``SAMPLE`` rows of the lowest hash), terms are mined that occur in toxic
-   rows far more often than in others: words, and word beginnings of 4, 5 and
+   ``SAMPLE`` rows of the lowest hash, each text once), terms are mined that
+   occur in toxic rows and hardly ever in others: words, and word beginnings of 4, 5 and
    6 bytes, which reach inflected and compound forms.  A term is taken when its
    toxic share is improbable under independence even after correcting for
    the number of candidate terms.
@@ -11,7 +11,8 @@
    document: 2 toxic, 1 clean, 0 abstain.
 3. **Label model.**  Vote patterns are counted over *all* documents.  A
    generative model with one latent class and a dependency tree over the
-   voters is fitted to the counts by expectation-maximisation: the class-wise
+   voters is fitted to the counts by expectation-maximisation, anchored by the votes on
+   the labelled sample: the class-wise
    tables hold each voter's accuracy, the tree (maximum class-conditional
    mutual information) its correlation with another voter.
 4. **Classifier.**  A logistic regression on the mined terms, their number and
@@ -159,7 +160,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
            .where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
            .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy(
+        F.xxhash64("text").alias("hash")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select(
+        "text", "toxic")  # copies would make their chance words look like evidence
 
 
 def mine(sample: DataFrame) -> tuple[Lexicon, float]:
@@ -195,7 +198,7 @@ def mine(sample: DataFrame) -> tuple[Lexicon, float]:
     q = F.least(F.col("p") / F.col("n"), F.lit(1 - 1e-9))
     div = F.col("n") * (q * F.log(q / share_tox) + (1 - q) * F.log((1 - q) / (1 - share_tox)))
     # 13.8: a chance below one in a million for each candidate term
-    got = (terms.where("p >= 3 and 2 * p > n").withColumn("w", div).where("w > 13.8")
+    got = (terms.where("p >= 3 and 10 * (n - p) <= p").withColumn("w", div).where("w > 13.8")
            .orderBy(F.desc("w"), "h").limit(TERMS).toPandas())
     h = got["h"].to_numpy(np.int64).view(np.uint64)
     kind = got["kind"].to_numpy(np.int64)
@@ -261,19 +264,26 @@ def _tree(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return parent
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, share: float, rounds: int = 30) -> LabelModel:
-    """EM over vote patterns and how many documents have each; it begins from
-    the documents on which a lexicon voter votes toxic."""
-    v = votes.astype(np.int64)
-    toxic = (v[:, :len(LEXICONS)] == 2).sum(axis=1)
-    p1 = np.where(toxic > 0, 0.9, 0.02)
-    model = None
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, share: float, known: np.ndarray, toxic: np.ndarray,
+                    rounds: int = 30) -> LabelModel:
+    """EM over vote patterns and how many documents have each.  The votes on
+    the labelled sample (``known``, with classes ``toxic``) begin it and anchor
+    it: they weigh as much as all documents together, so that the class found
+    is the labelled one."""
+    v = np.concatenate((known, votes)).astype(np.int64)
+    weight = np.concatenate((np.full(len(known), counts.sum() / max(1, len(known))), counts))
+    sure = toxic.astype(np.float64)
+    w = np.stack((1 - sure, sure), axis=1)
+    k = known.astype(np.int64)
+    parent = _tree(k, w)
+    model = LabelModel(np.array([1 - share, share]), parent, _tables(k, w, parent))
+    p1 = np.concatenate((sure, model.posterior(votes)))
     for _ in range(rounds):
-        w = np.stack((1 - p1, p1), axis=1) * counts[:, None]
+        w = np.stack((1 - p1, p1), axis=1) * weight[:, None]
         prior = (w.sum(axis=0) + np.array([1 - share, share]) * 10) / (w.sum() + 10)
         parent = _tree(v, w)
         model = LabelModel(prior, parent, _tables(v, w, parent))
-        new = model.posterior(v)
+        new = np.concatenate((sure, model.posterior(votes)))
         if np.abs(new - p1).max() < 1e-6:
             break
         p1 = new
@@ -353,20 +363,26 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     # the number of vote patterns is bounded by the voters, not by the documents
     got = docs.select("text").mapInArrow(patterns, "votes binary, n long").groupBy("votes").agg(
         F.sum("n").alias("n")).orderBy("votes").toPandas()
-    votes = np.frombuffer(b"".join(map(bytes, got["votes"])), np.uint8).reshape(-1, VOTERS)
-    label_model = fit_label_model(votes, got["n"].to_numpy(np.float64), share)
+    patterns_seen = np.frombuffer(b"".join(map(bytes, got["votes"])), np.uint8).reshape(-1, VOTERS)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            first = 0
             for votes, terms in evidence(batch.column(0), lex):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v.tobytes() for v in votes], pa.binary()),
-                     pa.array([t.astype(np.int32).tobytes() for t in terms], pa.binary())], names=["votes", "terms"])
-
-    rows = sample.select("text").mapInArrow(features, "votes binary, terms binary").orderBy(
-        "votes", "terms").toPandas()
+                     pa.array([t.astype(np.int32).tobytes() for t in terms], pa.binary()),
+                     batch.column(1).slice(first, len(terms))], names=["votes", "terms", "toxic"])
+                first += len(terms)
+
+    # the sample is bounded; sorted here, so that reruns sum in the same order
+    rows = sample.select("text", "toxic").mapInArrow(features, "votes binary, terms binary, toxic int").toPandas()
+    rows = rows.assign(votes=rows["votes"].map(bytes), terms=rows["terms"].map(bytes)).sort_values(
+        ["votes", "terms", "toxic"], kind="stable")
     votes = np.frombuffer(b"".join(map(bytes, rows["votes"])), np.uint8).reshape(-1, VOTERS)
     terms = [np.frombuffer(bytes(t), np.int32).astype(np.int64) for t in rows["terms"]]
+    label_model = fit_label_model(patterns_seen, got["n"].to_numpy(np.float64), share, votes,
+                                  rows["toxic"].to_numpy(bool))
     weights = fit_linear(votes, terms, label_model.posterior(votes), len(lex.hashes))
     return Model(lex, weights, share)
 

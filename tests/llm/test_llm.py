@@ -168,7 +168,7 @@ def test_label_model_finds_accuracies():
     for j in range(len(toxicity.LEXICONS)):
         v[:, j] = np.where(rng.random(len(y)) < 0.85, np.where(y, 2, 1), np.where(y, 1, 2))
     u, n = np.unique(v, axis=0, return_counts=True)
-    m = toxicity.fit_label_model(u, n.astype(float), 0.2)
+    m = toxicity.fit_label_model(u, n.astype(float), 0.2, v[:500], y[:500])
     assert abs(m.prior[1] - 0.2) < 0.06
     assert ((m.posterior(v) > 0.5) == y).mean() > 0.95
 
