@@ -17,8 +17,9 @@ NO_AFFILIATION = "No affiliation"
 EDGE_COLOR = "#a6a6a6"
 EDGE_VALUE = 0.1
 
-# Whitespace that Python's str.strip() removes and Java's \s matches.
-WHITESPACE = " \t\n\r\x0b\x0c"
+# The white space that Python's str.strip() removes.
+WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(c) -> Column:

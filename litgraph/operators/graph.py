@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,34 +77,34 @@ def fuse_by_research(authors: DataFrame, papers: DataFrame, compat: bool = False
 
 
 def dense_ids(df: DataFrame, order_col: str, id_col: str = "node_id", partitions: int | None = None) -> DataFrame:
-    """``id_col`` = 0-based rank of ``order_col`` (unique) in sort order.
+    """``id_col`` = 0-based rank of ``order_col`` in sort order.
 
-    No single-partition window: rows are range-partitioned and sorted inside
+    ``order_col`` is a key: unique, never null, and short, because only this
+    column is sampled for range bounds and travels through the sort; the other
+    columns are joined back by it.
+
+    No single-partition window: keys are range-partitioned and sorted inside
     each partition; a per-partition count (one row per partition) gives each
-    partition its offset, which is added to the local position.  The sorted
-    rows are checkpointed (the node table is reused by every later step).
+    partition its offset, which is added to the local position.
     """
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    # The range partitioner samples its input before the shuffle reads it;
-    # keep the input for those two passes instead of computing it twice.
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = (src.repartitionByRange(n_parts, F.col(order_col)).sortWithinPartitions(order_col)
+    rows = checkpoint(df)  # read by the range sampler, the sort and the join
+    ranged = (rows.select(order_col).repartitionByRange(n_parts, F.col(order_col)).sortWithinPartitions(order_col)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     # Materialise once (reliable checkpoint): the count and the numbering then
     # read the same rows in the same partitions, whatever AQE or a lost
     # executor does to a recomputation.
     ranged = checkpoint(ranged)
-    src.unpersist()
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     offsets = counts.select(
         "_pid", "_first",
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
         .alias("_off"))
     offsets = F.broadcast(offsets.fillna(0, ["_off"]))  # one row per partition
-    return (ranged.join(offsets, "_pid")
-            .withColumn(id_col, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint"))
-            .drop("_pid", "_mid", "_first", "_off"))
+    numbers = ranged.join(offsets, "_pid").select(
+        order_col, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint").alias(id_col))
+    return numbers if df.columns == [order_col] else rows.join(numbers, order_col)
 
 
 def hover_text(members, first_author) -> F.Column:
@@ -123,9 +122,10 @@ def hover_text(members, first_author) -> F.Column:
 
 
 def node_table(fused: DataFrame, main_authors: DataFrame) -> DataFrame:
-    """Nodes (J2, W3, F10-F12, N3): dense id in text order, label from the
-    first author of the node's first paper (``Unknown Author`` when absent),
-    hover text, size ``ln(n_authors) * 10``.
+    """Nodes (J2, W3, F10-F12, N3): dense id in the order of the node's first
+    paper id (whole texts are no sort key), label from the first author of
+    that paper (``Unknown Author`` when absent), hover text, size
+    ``ln(n_authors) * 10``.
 
     ``main_authors`` grows with the corpus, so it is joined, not broadcast;
     it is reduced to one row per id first (a dict keeps one value per key).
@@ -133,7 +133,7 @@ def node_table(fused: DataFrame, main_authors: DataFrame) -> DataFrame:
     firsts = main_authors.groupBy(F.col("uid").alias("_uid")).agg(F.max("first_author").alias("_fa"))
     # label before numbering: one plan, so shared inputs are computed once
     labelled = fused.join(firsts, fused.pubmedid == firsts._uid, "left")
-    nodes = dense_ids(labelled, "research")
+    nodes = dense_ids(labelled, "pubmedid")
     return nodes.select(
         "node_id", "pubmedid",
         node_label(F.col("_fa")).alias("label"),

@@ -123,6 +123,25 @@ def boolean_search(docs: DataFrame, groups: Sequence[Sequence[str]], exclude: Se
     return docs.filter(boolean_predicate(groups, exclude, fields, available=docs.columns, array_cols=arrays))
 
 
+def search_composed(docs: DataFrame, groups: Sequence[Sequence[str]], exclude: Sequence[str] = (),
+                    k: int = DEFAULT_TOP_K, id_col: str = "uid",
+                    text_cols: Sequence[str] = ("Title", "page_content"),
+                    fields: Mapping[str, Sequence[str]] = DEFAULT_FIELDS) -> DataFrame:
+    """A composed query (R1) run as a search: documents that match its term
+    groups (P10-P13), the ``k`` best by BM25 over the words of its terms.
+    Operators, field tags and excluded terms are not scored, nor are truncated
+    or wildcard terms, which only filter.  Returns ``(<id_col>, score, rank)``."""
+    check_top_k(k)
+    specs = [parse_term(t).text for g in groups for t in g]
+    words = " ".join(s for s in specs if not set("*?") & set(s))
+    q = docs.sparkSession.range(1).select(
+        F.lit(0).alias("qid"), F.explode(F.array_distinct(tokenize(F.lit(words)))).alias("term"))
+    scores = bm25_scores(docs, q, id_col, text_cols).select(id_col, "score")
+    found = boolean_search(docs, groups, exclude, fields).select(id_col).join(scores, id_col, "left")
+    top = found.fillna(0.0, ["score"]).orderBy(*_rank_order(id_col)).limit(k)
+    return top.select(id_col, "score", F.row_number().over(Window.orderBy(*_rank_order(id_col))).alias("rank"))
+
+
 # ---------------------------------------------------------------- query composition
 
 # Term kinds of the composed query: tiab -> term[Title/Abstract],
@@ -177,6 +196,6 @@ def concept_groups(terms: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("term_pos", "term"))), lambda x: x["term"]).alias("terms"))
 
 
-__all__ = ["tokenize", "bm25_scores", "search_bm25", "search_bm25_per_topic", "boolean_search",
+__all__ = ["tokenize", "bm25_scores", "search_bm25", "search_bm25_per_topic", "boolean_search", "search_composed",
            "compose_query", "expand_synonyms", "concept_groups", "topk_per_group", "parse_term",
            "check_top_k"]

@@ -1,9 +1,10 @@
 """Text embeddings (V1).
 
-The default model is TF-IDF from Spark ML (tokenizer -> hashing TF -> IDF ->
-L2 normaliser), fitted and applied as distributed jobs.  Any other model can
-be plugged in as a function ``pandas.Series[str] -> pandas.Series[list]``;
-it then runs as an Arrow-batched pandas UDF, one batch of texts at a time.
+The default is exact sparse TF-IDF: one row per document and term, no limit on
+the number of terms (``tfidf_rows``).  Any other model can be plugged in as a
+function ``pandas.Series[str] -> pandas.Series[list]``; it then runs as an
+Arrow-batched pandas UDF, one batch of texts at a time.  ``embed_tfidf`` folds
+TF-IDF into dense vectors of a width that the caller names.
 """
 
 from __future__ import annotations
@@ -11,17 +12,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litgraph.operators.search import TOKEN_SPLIT
+from litgraph.operators.search import TOKEN_SPLIT, tokenize
 
-DEFAULT_FEATURES = 1 << 11
 
+def tfidf_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Exact TF-IDF vectors of unit length as rows ``(<id_col>, term, weight)``;
+    tokens as in search, ``idf = ln((n + 1) / (df + 1))``.
 
-def embed_tfidf(df: DataFrame, text_col: str, out_col: str = "embedding",
-                num_features: int = DEFAULT_FEATURES, min_doc_freq: int = 0) -> DataFrame:
-    """TF-IDF vectors (unit length) as ``array<float>``; tokens as in search."""
+    Terms that stand in every document have weight 0 and no row, so a document
+    of such terms only, or without a token, has none either.  Ids are unique.
+    """
+    tf = (df.select(F.col(id_col).alias("_id"), F.explode(tokenize(text_col)).alias("term"))
+          .groupBy("_id", "term").agg(F.count(F.lit(1)).alias("_tf")))
+    n_docs = df.select(F.count(F.lit(1)).cast("double")).scalar()
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).select(
+        "term", F.log((n_docs + 1) / (F.col("_df") + 1)).alias("_idf"))
+    raw = tf.join(idf, "term").withColumn("_w", F.col("_tf") * F.col("_idf")).where(F.col("_w") > 0)
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_id")))
+    return raw.select(F.col("_id").alias(id_col), "term", (F.col("_w") / length).alias("weight"))
+
+
+def embed_tfidf(df: DataFrame, text_col: str, out_col: str = "embedding", *,
+                num_features: int, min_doc_freq: int = 0) -> DataFrame:
+    """TF-IDF folded by hash into ``num_features`` dense places (unit length,
+    ``array<float>``): terms that meet in a place are added, so similarities
+    are approximate.  ``tfidf_rows`` is the exact form."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
@@ -48,5 +66,5 @@ def embed_with(df: DataFrame, text_col: str, fn: Callable, out_col: str = "embed
 
 
 def embed(df: DataFrame, text_col: str, fn: Callable | None = None, out_col: str = "embedding", **kw) -> DataFrame:
-    """V1: TF-IDF by default, or ``fn`` when given."""
+    """V1 as dense vectors: ``fn`` when given, else folded TF-IDF (``num_features``)."""
     return embed_with(df, text_col, fn, out_col) if fn is not None else embed_tfidf(df, text_col, out_col, **kw)

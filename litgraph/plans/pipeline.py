@@ -1,7 +1,7 @@
 """The end-to-end pipeline (M1-M9): plain functions over DataFrames.
 
     papers   = search(documents, topic, k)                    M1 (+ P15)
-    query    = compose_query(expand_synonyms(topics, thes))   M2
+    query, groups = rephrase(topics, thesaurus)               M2
     flat     = flatten_documents(docs)                        M3
     shown    = paper_table(papers)                            M4
     authors  = author_profiles(records, papers, iso, gaz)     M5
@@ -16,7 +16,7 @@ of the design (checkpointed node table, edges reused by the clustering).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,21 @@ def search_papers(papers: DataFrame, topic: str, k: int = search.DEFAULT_TOP_K,
     return tables.require_rows(found, "documents")
 
 
+def rephrase(topics: DataFrame, thesaurus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M2: the composed query text of each topic (R1, R2), and its concepts as
+    term groups, which ``search_composed_papers`` takes."""
+    terms = search.expand_synonyms(topics, thesaurus)
+    return search.compose_query(terms), search.concept_groups(terms)
+
+
+def search_composed_papers(papers: DataFrame, groups: Sequence[Sequence[str]], exclude: Sequence[str] = (),
+                           k: int = search.DEFAULT_TOP_K) -> DataFrame:
+    """M1 on a composed query: papers that match the term groups, the ``k``
+    best by their terms; an empty result raises ``ValueError`` (P15)."""
+    top = search.search_composed(papers, groups, exclude, k)
+    return tables.require_rows(papers.join(top.select("uid", "rank", "score"), "uid"), "documents")
+
+
 def paper_order(papers: DataFrame) -> list:
     """Order of appearance: search rank when present, else the id."""
     first = F.col("rank") if "rank" in papers.columns else F.col("pubmedid")
@@ -77,22 +92,28 @@ def main_authors(records: DataFrame, papers: DataFrame | None = None) -> DataFra
 def similarity_network(authors: DataFrame, papers: DataFrame, mains: DataFrame,
                        threshold: float = DEFAULT_THRESHOLD, vectors_df: DataFrame | None = None,
                        eps: float = DEFAULT_EPS, min_samples: int = DEFAULT_MIN_SAMPLES,
-                       embed_fn: Callable | None = None, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+                       embed_fn: Callable | None = None, compat: bool = False,
+                       missing: str = "error") -> tuple[DataFrame, DataFrame]:
     """M9: fused paper nodes with labels, hover text, size and DBSCAN cluster;
     edges with similarity ``>= threshold`` and their titles.
 
-    Vectors: ``vectors_df`` (``id, embedding`` keyed by paper id) when given,
-    else the text of each node is embedded (``embed_fn`` or TF-IDF).
+    Vectors: ``vectors_df`` (``id, embedding`` keyed by paper id) when given;
+    a node without one raises an error, or stays without edges with
+    ``missing="drop"``.  Else the text of each node is embedded by
+    ``embed_fn``, or as exact sparse TF-IDF (thresholds above 0).
     The similarity join runs once at ``min(threshold, 1 - eps)``; the graph
     edges and the eps-neighbourhoods are filters of that one result.
     """
     nodes = graph.node_table(graph.fuse_by_research(authors, papers, compat), mains)
-    if vectors_df is not None:
-        node_vecs = similarity.attach_vectors(nodes.select("node_id", "pubmedid"), vectors_df)
-    else:
-        node_vecs = vectors.embed(nodes.select("node_id", "research"), "research", embed_fn)
     low = min(threshold, 1.0 - eps)
-    pairs = similarity.similarity_edges(node_vecs.select("node_id", "embedding"), low, id_col="node_id")
+    if vectors_df is None and embed_fn is None:
+        pairs = similarity.sparse_similarity_edges(vectors.tfidf_rows(nodes, "node_id", "research"), low, "node_id")
+    else:
+        if vectors_df is not None:
+            node_vecs = similarity.attach_vectors(nodes.select("node_id", "pubmedid"), vectors_df, missing=missing)
+        else:
+            node_vecs = vectors.embed_with(nodes.select("node_id", "research"), "research", embed_fn)
+        pairs = similarity.similarity_edges(node_vecs.select("node_id", "embedding"), low, id_col="node_id")
     pairs = checkpoint(pairs)  # reused by the graph edges and the clustering
     graph_edges = pairs.filter(F.col("similarity") >= threshold)
     near = pairs.filter(F.lit(1.0) - F.col("similarity") <= eps)
@@ -107,7 +128,9 @@ def run_all(documents_papers: DataFrame, records: DataFrame, iso: DataFrame, gaz
             topic: str, k: int = search.DEFAULT_TOP_K, threshold: float = DEFAULT_THRESHOLD,
             vectors_df: DataFrame | None = None) -> dict[str, DataFrame]:
     """Entry A + B + C of the reference in one call."""
-    papers = search_papers(documents_papers, topic, k)
+    # found once, read by every later step
+    papers = checkpoint(search_papers(documents_papers, topic, k))
+    records = checkpoint(au.records_by_id(records, papers, "uid"))
     authors = author_profiles(records, papers, iso, gazetteer)
     mains = main_authors(records, papers)
     nodes, edges = similarity_network(authors, papers, mains, threshold, vectors_df)
@@ -121,5 +144,5 @@ def run_all(documents_papers: DataFrame, records: DataFrame, iso: DataFrame, gaz
     }
 
 
-__all__ = ["search_papers", "author_profiles", "author_table", "authors_on_map", "main_authors",
+__all__ = ["search_papers", "rephrase", "search_composed_papers","author_profiles", "author_table", "authors_on_map", "main_authors",
            "similarity_network", "run_all", "flatten_documents", "rec"]

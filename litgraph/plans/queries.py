@@ -37,8 +37,12 @@ def r6(c):
 
 # ------------------------------------------------------------- SQL snippets
 
+BLANK = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
+         r"\x{3000}]")
+
+
 def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
 
 
 def sql_country(aff: str) -> str:
@@ -414,6 +418,26 @@ def q_search_topk_bm25(spark, sf):
     return df.select("uid", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+COMPOSED_GROUPS = [["thtion[Title/Abstract]", "thing[All Fields]"], ["erat", "ertion", "thre*"]]
+EDGE = "[^\\p{L}\\p{N}]"
+
+
+@query("search_composed", _bm25_sql(
+    "0", "['thtion', 'thing', 'erat', 'ertion']", "(SELECT 1)",
+    f"""SELECT uid, round(score, 6) AS score, rank FROM (
+  SELECT uid, coalesce(score, 0) AS score,
+         row_number() OVER (ORDER BY round(coalesce(score, 0), 9) DESC, uid) AS rank
+  FROM papers LEFT JOIN scores USING (uid)
+  WHERE regexp_matches(lower(concat_ws(' ', Title, page_content, Published)), '(^|{EDGE})(thtion|thing)({EDGE}|$)')
+    AND regexp_matches(lower(concat_ws(' ', Title, page_content)),
+                       '(^|{EDGE})(erat|ertion|thre[\\p{{L}}\\p{{N}}]*)({EDGE}|$)'))
+WHERE rank <= {BM25_K}"""))
+def q_search_composed(spark, sf):
+    from litgraph.operators.search import search_composed
+    df = search_composed(fx.papers(spark, sf), COMPOSED_GROUPS, k=BM25_K)
+    return df.select("uid", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 TOPIC_K = 5
 
 
@@ -499,7 +523,7 @@ FROM merged m JOIN author_pids ap USING (forename, lastname) JOIN papers p ON p.
        count(*) AS n_authors
 FROM joined GROUP BY research"""),
     ("mains", MAINS_SQL),
-    ("nodes", """SELECT f.*, row_number() OVER (ORDER BY f.research) - 1 AS node_id, m.first_author,
+    ("nodes", """SELECT f.*, row_number() OVER (ORDER BY f.pubmedid) - 1 AS node_id, m.first_author,
        coalesce(m.first_author, 'Unknown Author') || ' et al.' AS label,
        ln(f.n_authors) * 10 AS size
 FROM fused f LEFT JOIN mains m ON m.uid = f.pubmedid"""),
@@ -556,7 +580,7 @@ def q_table_to_documents(spark, sf):
 @query("node_ids", graph_sql("SELECT node_id, pubmedid FROM nodes"))
 def q_node_ids(spark, sf):
     from litgraph.operators.graph import dense_ids
-    return dense_ids(fused_df(spark, sf), "research").select("node_id", "pubmedid")
+    return dense_ids(fused_df(spark, sf).select("pubmedid"), "pubmedid").select("node_id", "pubmedid")
 
 
 @query("node_labels", graph_sql("SELECT node_id, pubmedid, label FROM nodes"))
@@ -646,6 +670,12 @@ def q_eps_neighbors(spark, sf):
     return eps_neighbors(emb_vectors(spark, sf), EPS).select("src", "dst", r6("distance").alias("distance"))
 
 
+def vector_digest(col: str):
+    """Sum of a vector's values times their places (from 1)."""
+    from litgraph.functions.vectors import as_double
+    return F.aggregate(F.transform(as_double(col), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
 NODE_VEC_CTES = [("node_pairs", """SELECT a.node_id AS src, b.node_id AS dst,
        list_cosine_similarity(CAST(ea.embedding AS DOUBLE[]), CAST(eb.embedding AS DOUBLE[])) AS similarity
 FROM nodes a JOIN embeddings ea ON CAST(ea.vec_id AS VARCHAR) = a.pubmedid
@@ -660,12 +690,14 @@ def node_graph(spark, sf, t=SIM_T):
 
 
 @query("attach_vectors", graph_sql(
-    "SELECT n.node_id, n.pubmedid, len(e.embedding) AS dims FROM nodes n "
+    "SELECT n.node_id, n.pubmedid, len(e.embedding) AS dims, round(list_sum(list_transform("
+    "CAST(e.embedding AS DOUBLE[]), lambda x, i: x * i)), 6) AS digest FROM nodes n "
     "JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = n.pubmedid"))
 def q_attach_vectors(spark, sf):
     from litgraph.operators.similarity import attach_vectors
     df = attach_vectors(nodes_df(spark, sf).select("node_id", "pubmedid"), fx.vectors(spark, sf))
-    return df.select("node_id", "pubmedid", F.size("embedding").cast("bigint").alias("dims"))
+    return df.select("node_id", "pubmedid", F.size("embedding").cast("bigint").alias("dims"),
+                     r6(vector_digest("embedding")).alias("digest"))
 
 
 @query("edge_titles", graph_sql(
@@ -826,14 +858,18 @@ def q_place_features(spark, sf):
     return spark.read.text(path)
 
 
-@query("embed_tfidf")
+@query("embed_tfidf", fx.with_views(
+    "SELECT uid, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY uid)), 6) AS weight FROM raw", [
+        ("tf", f"""SELECT uid, term, count(*) AS tf FROM (
+  SELECT uid, unnest({sql_tokens("concat_ws(' ', Title, page_content)")}) AS term FROM papers) GROUP BY ALL"""),
+        ("idf", """SELECT term, ln((CAST((SELECT count(*) FROM papers) AS DOUBLE) + 1) / (count(*) + 1)) AS idf
+FROM tf GROUP BY term"""),
+        ("raw", "SELECT uid, term, tf * idf AS w FROM tf JOIN idf USING (term) WHERE tf * idf > 0")]))
 def q_embed_tfidf(spark, sf):
-    """Rows-only: hashing TF-IDF cannot be written in SQL; checked by unit tests."""
-    from litgraph.operators.vectors import embed_tfidf
+    from litgraph.operators.vectors import tfidf_rows
     docs = fx.papers(spark, sf)
     docs = docs.select("uid", F.concat_ws(" ", "Title", "page_content").alias("research"))
-    v = embed_tfidf(docs, "research")
-    return v.select("uid", F.size("embedding").cast("bigint").alias("dims"))
+    return tfidf_rows(docs, "uid", "research").select("uid", "term", r6("weight").alias("weight"))
 
 
 NETWORK_EPS = 0.6
@@ -849,5 +885,6 @@ NETWORK_EPS = 0.6
 def q_similarity_network(spark, sf):
     from litgraph.plans.pipeline import similarity_network
     nodes, _ = similarity_network(merged(spark, sf), fx.papers(spark, sf), main_authors_df(spark, sf),
-                                  threshold=SIM_T, vectors_df=fx.vectors(spark, sf), eps=NETWORK_EPS)
+                                  threshold=SIM_T, vectors_df=fx.vectors(spark, sf), eps=NETWORK_EPS,
+                                  missing="drop")
     return nodes.select("node_id", "label", "n_authors", r6("size").alias("size"), "cluster")

@@ -17,6 +17,8 @@ AFFILIATIONS = [
     ("V, St. John's, St. Lucia", "St", "St. John's"),
     ("U, Rome, Italy; W, Bern, Switzerland.", "Switzerland", "Bern"),
     ("X, Lyon,\tFrance\n", "France", "Lyon"),
+    ("X, Hamburg\xa0, Germany\xa0", "Germany", "Hamburg"),
+    ("X, Oslo　, Norway\x85.", "Norway", "Oslo"),
     ("Lab, Kiel, Germany, mail@x.org", "mail@x", "Germany"),
     (None, None, None),
 ]

@@ -36,6 +36,14 @@ def test_dense_ids_many_partitions(spark):
     assert [got[k] for k in sorted(got)] == list(range(500))
 
 
+def test_dense_ids_sorts_the_key_alone(spark):
+    """Other columns come back by the key; an empty table gives no rows."""
+    df = spark.range(0, 40).select(F.format_string("k%02d", "id").alias("k"), F.repeat(F.lit("x"), 100).alias("text"))
+    got = {r.k: (r.node_id, r.text) for r in g.dense_ids(df, "k", partitions=3).collect()}
+    assert got == {f"k{i:02d}": (i, "x" * 100) for i in range(40)}
+    assert g.dense_ids(df.where("false"), "k").count() == 0
+
+
 def test_khop_and_filters(spark):
     edges = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.6), (3, 4, 0.7), (5, 6, 0.9)],
                                   "src long, dst long, similarity double")

@@ -45,11 +45,44 @@ def test_network_invariants(spark, results):
     assert edges.filter(F.col("src") >= F.col("dst")).count() == 0
     assert edges.filter(F.col("similarity") < 0.2).count() == 0
     assert nodes.filter(F.col("cluster").isNull()).count() == 0
-    # A10: every node has exactly one vector (TF-IDF of its text) and no vector lacks a node
-    from litgraph.operators.vectors import embed
-    vecs = embed(nodes.select("node_id", "research"), "research")
+    # A10: every node has a vector (TF-IDF of its text) and no vector lacks a node
+    from litgraph.operators.vectors import tfidf_rows
+    vecs = tfidf_rows(nodes, "node_id", "research")
     assert vecs.join(nodes, "node_id", "left_anti").count() == 0
     assert nodes.join(vecs, "node_id", "left_anti").count() == 0
+    # the edges are those of the full vectors, compared pair by pair
+    by_node = {}
+    for r in vecs.collect():
+        by_node.setdefault(r.node_id, {})[r.term] = r.weight
+    want = {(a, b) for a in by_node for b in by_node if a < b and
+            sum(w * by_node[b].get(t, 0.0) for t, w in by_node[a].items()) >= 0.2}
+    assert {(r.src, r.dst) for r in edges.collect()} == want
+
+
+def test_nodes_without_vector_raise(spark):
+    from litgraph.operators.similarity import attach_vectors
+    nodes = spark.createDataFrame([(0, "a"), (1, "b")], "node_id long, pubmedid string")
+    vecs = spark.createDataFrame([("a", [1.0])], "id string, embedding array<double>")
+    assert attach_vectors(nodes, vecs).count() == 1
+    with pytest.raises(ValueError):
+        attach_vectors(nodes, vecs, missing="error")
+
+
+def test_composed_query_runs(spark):
+    topics = spark.createDataFrame([("heart attack",)], "topic string")
+    thes = spark.createDataFrame([("heart", "cardiac")], "term string, synonym string")
+    query, groups = P.rephrase(topics, thes)
+    assert query.first().query == "((heart[Title/Abstract] OR cardiac[All Fields]) AND (attack[Title/Abstract]))"
+    terms = [r.terms for r in groups.orderBy("concept_pos").collect()]
+    papers = spark.createDataFrame([
+        ("1", "cardiac attack", "or and title abstract", "2001"), ("2", "heart failure", "and or", "2001"),
+        ("3", "heart", "attack attack cardiac", "2001")], "uid string, Title string, page_content string, Published string")
+    found = P.search_composed_papers(papers, terms, k=5)
+    assert [r.uid for r in found.orderBy("rank").collect()] == ["3", "1"]
+    assert [r.uid for r in P.search_composed_papers(papers, [["att*"]], ["failure"], k=5).orderBy("rank").collect()] == [
+        "1", "3"]
+    with pytest.raises(ValueError):
+        P.search_composed_papers(papers, [["absent"]])
 
 
 def test_map_places(results):

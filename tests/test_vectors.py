@@ -22,6 +22,41 @@ def test_tfidf_unit_length_and_near_copies(spark):
     assert float(v["1"] @ v["4"]) < 0.2
 
 
+def test_sparse_join_equals_all_pairs(spark):
+    """Exact TF-IDF rows and prefix-filtered pairs against brute force; blocks
+    of one vector split every term."""
+    import math
+    import random
+
+    import pytest
+
+    from litgraph.operators.similarity import sparse_similarity_edges
+    from litgraph.operators.vectors import tfidf_rows
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = {i: [rng.choice(words[:rng.choice((4, 30))]) for _ in range(rng.randrange(1, 9))] for i in range(40)}
+    texts[40] = []
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()] + [(41, None)], "id long, text string")
+    n = len(texts) + 1
+    freq = {w: sum(w in t for t in texts.values()) for w in words}
+    vec = {}
+    for i, t in texts.items():
+        raw = {w: t.count(w) * math.log((n + 1) / (freq[w] + 1)) for w in set(t)}
+        size = math.sqrt(sum(x * x for x in raw.values()))
+        vec[i] = {w: x / size for w, x in raw.items()}
+    rows = tfidf_rows(df, "id", "text")
+    got = {(r.id, r.term): r.weight for r in rows.collect()}
+    assert got.keys() == {(i, w) for i, v in vec.items() for w in v}
+    assert all(abs(x - vec[i][w]) < 1e-12 for (i, w), x in got.items())
+    for t in (0.15, 0.6):
+        want = {(a, b) for a in vec for b in vec if a < b and sum(x * vec[b].get(w, 0) for w, x in vec[a].items()) >= t}
+        for block in (1, 2000):
+            edges = sparse_similarity_edges(rows, t, block_rows=block).collect()
+            assert {(e.src, e.dst) for e in edges} == want and len(edges) == len(want)
+    with pytest.raises(ValueError):
+        sparse_similarity_edges(rows, 0.0)
+
+
 def test_user_model_hook(spark):
     df = spark.createDataFrame([("a",), ("bbb",)], "t string")
     out = embed(df, "t", fn=lambda s: [[float(len(x)), 1.0] for x in s]).orderBy("t").collect()
