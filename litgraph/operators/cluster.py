@@ -1,10 +1,11 @@
 """Connected components (A12) and density clustering.
 
 Both are iterative DataFrame jobs.  Each round is a join plus a partial
-(map-side combined) ``min`` aggregate, so a hub node never gathers its
-neighbours in one task; lineage is cut every round with ``checkpoint()``
-into the shared checkpoint folder.  The only value that reaches the driver
-per round is the number of labels that changed.
+(map-side combined) ``min`` aggregate, so a hub node's offers are combined
+before they meet; its own edges are one join key, which adaptive execution
+splits.  Lineage is cut every round with ``checkpoint()`` into the shared
+checkpoint folder.  All that reaches the driver per round is whether a label
+changed.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from litgraph.operators.graph import dense_ids, undirected
 from litgraph.session import checkpoint
 
+SPREAD = 16  # join keys for the vertices of one label
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``(id, component)``, component = smallest id in the component.
@@ -32,16 +34,22 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
         verts = verts.unionByName(vertices.select("id"))
     labels = checkpoint(verts.distinct().select("id", F.col("id").alias("label")))
     while True:
-        offers = sym.join(labels, sym.src == labels.id).select(F.col("dst").alias("id"), "label")
-        best = labels.unionByName(offers).groupBy("id").agg(F.min("label").alias("label"))
-        hop = best.select(F.col("id").alias("_l"), F.col("label").alias("_ll"))
-        jumped = checkpoint(best.join(hop, best.label == hop._l, "left")
-                            .select("id", F.least("label", F.coalesce("_ll", "label")).alias("label")))
-        changed = (jumped.join(labels.withColumnRenamed("label", "_old"), "id")
-                   .filter(F.col("label") != F.col("_old")).limit(1).count())
-        labels = jumped
-        if changed == 0:
-            return labels.select("id", F.col("label").alias("component"))
+        offers = sym.join(labels, sym.src == labels.id).select(
+            F.col("dst").alias("id"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("_old"))
+        own = labels.select("id", "label", F.col("label").alias("_old"))
+        best = checkpoint(own.unionByName(offers).groupBy("id").agg(
+            F.min("label").alias("label"), F.max("_old").alias("_old")))
+        if best.where(F.col("label") < F.col("_old")).isEmpty():
+            return best.select("id", F.col("label").alias("component"))
+        # Labels that have a smaller label themselves; a label's vertices are
+        # spread over SPREAD keys, so a large component is no single task's.
+        hops = (best.select(F.col("label").alias("_l")).distinct()
+                .join(best.select(F.col("id").alias("_l"), F.col("label").alias("_ll")), "_l")
+                .where(F.col("_ll") < F.col("_l"))
+                .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))))
+        spread = best.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int"))
+        labels = checkpoint(spread.join(hops, (F.col("label") == F.col("_l")) & (spread["_s"] == hops["_s"]), "left")
+                            .select("id", F.coalesce("_ll", "label").alias("label")))
 
 
 def dbscan(points: DataFrame, neighbor_pairs: DataFrame, min_samples: int = 2) -> DataFrame:

@@ -15,20 +15,25 @@ def located_authors(df: DataFrame) -> DataFrame:
     return df.na.drop(subset=["latitude", "longitude"])
 
 
+def popups(authors: DataFrame) -> DataFrame:
+    """One row ``(latitude, longitude, forename, lastname, popup)`` per located
+    author: A3 without the joined text, for places of any size."""
+    return located_authors(authors).select(
+        "latitude", "longitude", "forename", "lastname",
+        popup_text("forename", "lastname", "affiliation").alias("popup"))
+
+
 def authors_by_location(authors: DataFrame, salt_buckets: int = 16) -> DataFrame:
     """A3: one row per ``(latitude, longitude)``: the popups of all authors at
     that place, in (forename, lastname) order, joined by ``<br>``, and their
     count.  Rows without coordinates are dropped first (P4).
 
-    A popular place may hold a large share of all authors.  The popups are
-    first gathered per ``(place, salt)`` so that no single task sorts and
-    collects a whole hot place; the final step only concatenates the
-    pre-collected parts of each place.
+    A display table: a place's text is one value, so one task sorts and joins
+    it.  The salted first step only bounds what each earlier task gathers.  Jobs
+    over places that hold a large share of all authors should read ``popups``.
     """
-    rows = located_authors(authors).select(
-        "latitude", "longitude",
-        F.struct(F.col("forename"), F.col("lastname"),
-                 popup_text("forename", "lastname", "affiliation").alias("popup")).alias("_p"),
+    rows = popups(authors).select(
+        "latitude", "longitude", F.struct("forename", "lastname", "popup").alias("_p"),
         F.pmod(F.xxhash64("forename", "lastname"), F.lit(salt_buckets)).alias("_salt"))
     parts = rows.groupBy("latitude", "longitude", "_salt").agg(
         F.collect_list("_p").alias("_ps"), F.count(F.lit(1)).alias("_n"))

@@ -3,15 +3,17 @@ composition (R1, R2).
 
 BM25 (Okapi, k1 = 1.2, b = 0.75) is computed relationally:
 
-    tokens  = split(lower(text), non-word)            per document, map side
-    tf      = explode(tokens) ⋈ query vocabulary      semi join, map side
+    tokens  = "" + split(lower(text), non-word)       per document, map side
+    tf      = explode(tokens) ⋈ query vocabulary, ""  semi join, map side
               groupBy(doc, term).count()              partial agg, one shuffle
     df      = groupBy(term).count() over tf           tiny
-    N, avgdl= global aggregate over documents         scalar subqueries
+    N, avgdl= aggregate over the rows of "" in tf     scalar subquery
     score   = Σ idf · tf·(k1+1) / (tf + k1·(1 − b + b·dl/avgdl))
 
-Only tokens that are query terms ever leave the scan stage, so the shuffle
-grows with the matches, not with the corpus.  Ranks order by score rounded to
+The empty term stands for the document itself, so all statistics come from the
+one ``tf`` shuffle, which Spark reuses: the documents are read and split once.
+Only it and tokens that are query terms leave the scan stage, so the shuffle
+grows with documents and matches, not with the texts.  Ranks order by score rounded to
 9 decimals (so that equal documents tie exactly whatever the summation order)
 and then by id.
 """
@@ -59,16 +61,18 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "uid",
     Returns ``(qid, <id_col>, score)``.
     """
     toks = docs.select(F.col(id_col).alias("_id"), tokenize(_doc_text(docs, text_cols)).alias("_t"))
-    # one scalar subquery (used twice, planned once) for the corpus statistics
-    stats = toks.select(F.struct(F.count(F.lit(1)).cast("double").alias("n"),
-                                 F.avg(F.size("_t")).alias("avgdl"))).scalar()
-    n_docs, avgdl = stats.getField("n"), stats.getField("avgdl")
-
-    vocab = queries.select("term").distinct()
-    tf = (toks.select("_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    own = docs.sparkSession.range(1).select(F.lit("").alias("term"))
+    vocab = queries.select("term").union(own).distinct()
+    tf = (toks.select("_id", F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
           .join(vocab, "term", "left_semi")
           .groupBy("_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
+    # Each reader of tf uses all its columns and filters none of them, so that
+    # the plans below stay equal and the shuffle is reused.
+    rows = F.when(F.col("term") == "", F.col("tf"))
+    stats = tf.select(F.struct(F.sum(rows).cast("double").alias("n"),
+                               (F.sum(rows * F.col("dl")) / F.sum(rows)).alias("avgdl"))).scalar()
+    n_docs, avgdl = stats.getField("n"), stats.getField("avgdl")
+    idf = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df")).select(
         "term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))

@@ -57,9 +57,13 @@ def search_composed_papers(papers: DataFrame, groups: Sequence[Sequence[str]], e
 
 
 def paper_order(papers: DataFrame) -> list:
-    """Order of appearance: search rank when present, else the id."""
-    first = F.col("rank") if "rank" in papers.columns else F.col("pubmedid")
-    return [first, F.col("author_pos"), F.col("aff_pos")]
+    """Order of appearance: search rank when present, packed with the author's
+    and the affiliation's place into one number (2^20 authors a paper, 2^12
+    affiliations an author), which keeps the merge hash-based.  Without a rank
+    the id, as a number where it is one."""
+    if "rank" in papers.columns:
+        return [F.col("rank").cast("bigint") * 4294967296 + F.col("author_pos") * 4096 + F.col("aff_pos")]
+    return [F.col("pubmedid").try_cast("bigint"), F.col("pubmedid"), F.col("author_pos"), F.col("aff_pos")]
 
 
 def author_profiles(records: DataFrame, papers: DataFrame, iso: DataFrame, gazetteer: DataFrame) -> DataFrame:

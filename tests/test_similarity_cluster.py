@@ -30,11 +30,12 @@ def _brute(x, t):
     return out
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 7])
-def test_blocked_equals_brute_force(spark, blocks):
+@pytest.mark.parametrize("block_rows,pivots,t", [(2000, 1, 0.5), (40, 3, 0.5), (10, 8, 0.5), (10, 8, 0.95)])
+def test_blocked_equals_brute_force(spark, block_rows, pivots, t):
     df, x = _vectors(spark)
-    want = _brute(x, 0.5)
-    got = {(r.src, r.dst): r.similarity for r in similarity.similarity_edges(df, 0.5, blocks=blocks).collect()}
+    want = _brute(x, t)
+    got = {(r.src, r.dst): r.similarity
+           for r in similarity.similarity_edges(df, t, block_rows=block_rows, pivots=pivots).collect()}
     assert set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert all(a < b for a, b in got)
@@ -49,6 +50,34 @@ def test_threshold_monotone_and_lsh_subset(spark):
     assert lsh <= high
 
 
+def test_far_blocks_never_meet(spark):
+    """Tight clusters at a high threshold: fewer block pairs than all."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(8, 16))
+    x = base[np.arange(400) % 8] + 0.02 * rng.normal(size=(400, 16))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, embedding array<double>")
+    keyed = similarity.block_pairs(df, 0.9, block_rows=20, pivots=8).cache()
+    blocks = keyed.select("_blk").distinct().count()
+    met = keyed.groupBy("_bi", "_bj").agg(F.count_distinct("_blk").alias("n")).where("_bi = _bj or n = 2").count()
+    assert blocks > 8 and met < blocks * (blocks + 1) // 2 * 0.7
+    got = {(r.src, r.dst) for r in similarity.similarity_edges(df, 0.9, block_rows=20).collect()}
+    assert got == set(_brute(x, 0.9))
+
+
+def test_zero_null_and_no_vectors(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None)], "id long, embedding array<double>")
+    assert similarity.similarity_edges(df, 0.1).collect() == []
+    assert [tuple(r) for r in similarity.similarity_edges(df, 0.0).collect()] == [(1, 2, 0.0)]
+    assert similarity.similarity_edges(df.limit(0), 0.1).collect() == []
+
+
+def test_components_of_one_long_chain(spark):
+    n = 3000
+    edges = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = cluster.connected_components(edges)
+    assert got.count() == n and got.where("component <> 0").count() == 0
+
+
 def test_equal_to_threshold_is_kept(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "id long, embedding array<float>")
     got = {(r.src, r.dst) for r in similarity.similarity_edges(df, 1.0).collect()}
