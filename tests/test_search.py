@@ -117,3 +117,15 @@ def test_mesh_terms_match_keyword_arrays(spark):
     assert _ids(se.boolean_search(docs, [['"drug repositioning"[Mesh]']])) == ["1"]
     assert _ids(se.boolean_search(docs, [["rat*[Mesh]"]])) == ["2"]
     assert _ids(se.boolean_search(docs, [['"drug repositioning"[Title/Abstract]']])) == ["2"]
+
+
+def test_bm25_reads_the_documents_once(spark):
+    """Statistics and scores share one token shuffle."""
+    from litgraph.plans import fixtures as fx
+    from tests.conftest import SF_SMALL
+    df = se.search_bm25(fx.papers(spark, SF_SMALL), "the of", 5)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")
+    # the part before the outer plan's first, not yet adapted version
+    assert final[0].count("FileScan parquet") == 1
+    assert "ReusedExchange" in final[0] + final[1]
