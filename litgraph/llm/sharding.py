@@ -7,6 +7,11 @@ stretches so that the largest stretch is as small as possible (law
 feasible if the greedy walk, which gives each shard as many groups as fit,
 needs no more than ``shards`` shards.
 
+Many cuts can meet that capacity; the greedy ones leave the last shards small,
+or empty if one large group sets the capacity.  So of the places where a shard
+may end (neither it nor those after it above the capacity) the one nearest to
+an equal share of the rest is taken.
+
 The groups' sizes never leave Spark.  Their running sums are distributed prefix
 sums over 4096 cells (the hash's first bits); a step of the greedy walk is an
 aggregate that finds the largest running sum below a limit.  ``PROBES``
@@ -102,6 +107,26 @@ def capacity_and_cuts(sums: DataFrame, total: int, largest: int, shards: int) ->
             return high, ends
 
 
+def even_ends(sums: DataFrame, total: int, capacity: int, shards: int) -> list[int]:
+    """Where the shards end: none is above ``capacity``, and each is as near to
+    an equal share of what is left as that allows."""
+    least = [total]  # the earliest end of a shard, by the number of shards after it
+    for _ in range(shards - 1):
+        x = least[-1] - capacity
+        least.append(0 if x <= 0 else int(sums.where(F.col("upto") >= x).agg(F.min("upto")).first()[0]))
+    ends: list[int] = []
+    at = 0
+    for after in range(shards - 1, -1, -1):
+        want = at + -(-(total - at) // (after + 1))
+        below, above = sums.where((F.col("upto") > at) & (F.col("upto") <= at + capacity)).agg(
+            F.max(F.when(F.col("upto") <= want, F.col("upto"))),
+            F.min(F.when(F.col("upto") > want, F.col("upto")))).first()
+        near = [int(x) for x in (below, above) if x is not None] or [total]  # no group is left
+        at = max(min(near, key=lambda x: (abs(x - want), x)), least[after])
+        ends.append(at)
+    return ends
+
+
 def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` per row."""
     rows = materialize(_rows(docs), "rows")
@@ -110,8 +135,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     cuts: list[tuple[int, int]] = []
     if total:
         largest = rows.groupBy("k1", "k2").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0]
-        _, ends = capacity_and_cuts(sums, total, largest, shards)
-        inner = [e for e in ends[:-1] if e < total]
+        capacity, _ = capacity_and_cuts(sums, total, largest, shards)
+        inner = [e for e in even_ends(sums, total, capacity, shards)[:-1] if e < total]
         at = {r["upto"]: (r["k1"], r["k2"]) for r in sums.where(F.col("upto").isin(inner)).collect()} if inner else {}
         cuts = [at[e] for e in inner]
     k = F.struct("k1", "k2")

@@ -173,6 +173,18 @@ def test_label_model_finds_accuracies():
     assert ((m.posterior(v) > 0.5) == y).mean() > 0.95
 
 
+def test_sharding_is_even_beside_a_large_group(spark):
+    """A group of a third of all bytes fills one shard; the rest share evenly."""
+    docs = spark.createDataFrame([(i, "same " * 40 if i < 100 else f"text {i} " * 20) for i in range(400)],
+                                 "doc_id long, text string")
+    got = sharding.shard_rows(docs).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    large = got[got["doc_id"] < 100]
+    assert len(size) == 8 and large["shard"].nunique() == 1
+    others = size.drop(large["shard"].iloc[0])
+    assert others.max() < 2 * others.min()
+
+
 def test_sharding_is_minimax(spark, rows):
     docs = some_docs(spark, rows)
     got = sharding.shard_rows(docs).toPandas()
