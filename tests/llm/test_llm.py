@@ -346,6 +346,22 @@ def test_quality_measures_and_verdict(spark, rows):
     assert all(r.kept == (not r.base_failed) for r in none)
 
 
+def test_quality_score_depends_on_word_order(spark):
+    """The same words in another order are other pairs, so they get another score."""
+    good = texts(60, seed=22)
+    rnd = random.Random(23)
+    salad = [" ".join(rnd.sample(x.split(), len(x.split()))) for x in good]
+    docs = some_docs(spark, [*((i, x, "s") for i, x in enumerate(good)), *((100 + i, x, "s") for i, x in enumerate(salad))])
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    score = {r.doc_id: r.score for r in quality.quality(docs, lab).collect()}
+    assert all(abs(score[i] - score[100 + i]) > 1e-6 for i in range(60))
+    assert np.mean([score[i] - score[100 + i] for i in range(60)]) > 0.1
+    # each word and each pair counts once
+    rows = quality.with_words(some_docs(spark, [(1, "one two three", "s"), (2, "one", "s"), (3, "", "s")]))
+    table = [1.0] * quality.BUCKETS + [3.0] * quality.BUCKETS
+    assert {r.doc_id: r.score for r in quality.with_score(rows, table).collect()} == {1: 9 / 5, 2: 1.0, 3: 0.0}
+
+
 def natural(n, seed):
     """Texts whose letters are as uneven as those of a language."""
     rnd = random.Random(seed)
