@@ -400,6 +400,31 @@ def test_secrets_base_random_and_redaction(spark, rows):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_secrets_random_strings_of_every_alphabet(spark):
+    """Random strings pass the battery in each alphabet and length stratum."""
+    from pyspark.sql import functions as F
+    rnd = random.Random(12)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    up = low.upper()
+    alphabets = {"hex": digits + "abcdef", "HEX": digits + "ABCDEF", "base32": low + "234567", "BASE32": up + "234567",
+                 "base36": low + digits, "BASE36": up + digits, "base62": low + up + digits,
+                 "base64": low + up + digits + "+/", "url": low + digits + "_-", "URL": up + digits + "_-"}
+    made = [(name, n, "".join(rnd.choice(a) for _ in range(n))) for name, a in alphabets.items()
+            for n in (16, 24, 40, 64) for _ in range(150)]
+    found = secrets.tested_runs(F.col("s"))
+    got = spark.createDataFrame(made, "name string, n int, s string").select(
+        "name", "n", F.exists(found, lambda r: r["score"] < secrets.TAIL).alias("ok")).collect()
+    seen, good = Counter((r.name, r.n) for r in got), Counter((r.name, r.n) for r in got if r.ok)
+    rate = {x: good[x] / seen[x] for x in seen}
+    assert min(rate.values()) >= 0.85, rate
+    # found among natural texts, which stay without spans
+    tokens = ["".join(rnd.choice(low + digits) for _ in range(40)) for _ in range(80)]
+    docs = some_docs(spark, [*((i, x, "s") for i, x in enumerate(natural(300, 40))),
+                             *((1000 + i, f"{x} {tokens[i]}", "s") for i, x in enumerate(natural(80, 41)))])
+    n = {r.doc_id: r.n_random for r in secrets.scan(docs).collect()}
+    assert sum(n[1000 + i] for i in range(80)) >= 70 and not any(n[i] for i in range(300))
+
+
 def test_language_id(spark):
     rnd = random.Random(8)
     syll = {"en": ["the", "ing", "and", "ther"], "de": ["sch", "ung", "ich", "ein"], "fr": ["eau", "oir", "eux", "tion"]}
