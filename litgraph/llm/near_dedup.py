@@ -184,8 +184,9 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
 
 def _full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     """``(node, items)``: sorted hashes of the full shingle sets of the rows
-    whose ids stand in ``needed`` (one row a node).  The fixed-size filter
-    lets a few other rows through; joins on ``node`` drop them."""
+    whose ids stand in ``needed``, one row a node.  The fixed-size filter lets
+    other rows through: those of other nodes are dropped by joins on ``node``,
+    copies of a node here, by tags, so sets are not shuffled for it."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(needed.select("rep")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +198,12 @@ def _full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
                 [pa.array([_set_print(s) for s in sets], pa.int64()),
                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
 
-    return docs.mapInArrow(run, "node long, items binary")
+    rows = materialize(docs.mapInArrow(run, "node long, items binary").withColumn(
+        "tag", F.monotonically_increasing_id()), "sets")
+    tags = rows.select("node", "tag")
+    first = tags.groupBy("node").agg(F.min("tag").alias("tag"))
+    copies = materialize(tags.join(first, ["node", "tag"], "left_anti").select("tag"), "copies")
+    return rows.join(copies, "tag", "left_anti").select("node", "items")
 
 
 def _alike(percent: int):
@@ -275,7 +281,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
                            .mapInArrow(_alike(percent), "a long, b long").distinct(), "links")
 
     needed = hits.select("node").distinct().join(classes.select("node", "rep"), "node")
-    sets = materialize(_full_sets(docs, needed, k), "sets")
+    sets = _full_sets(docs, needed, k)
 
     # first stars: every node with the smallest node that shares a table with it
     links = verified(hits.where("node <> hub").groupBy("node").agg(F.min("hub").alias("a"))

@@ -92,6 +92,18 @@ def test_near_duplicates_chain_and_family(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, 2, 80))
 
 
+def test_full_sets_are_one_row_a_node(spark):
+    """Copies that pass the filter together (null or repeated ids) give one set."""
+    t = texts(6, seed=50)
+    rows = [(None, t[0], "s")] * 40 + [(7, t[1], "s")] * 30 + [(7, t[2], "s"), (8, t[3], "s"), (None, t[4], "s")]
+    docs = spark.createDataFrame([(d, x) for d, x, _ in rows], "doc_id long, text string").repartition(5)
+    needed = spark.createDataFrame([(None,), (7,), (8,)], "rep long")
+    sets = near_dedup._full_sets(docs, needed, 2).collect()
+    assert Counter(r.node for r in sets) == Counter({r.node: 1 for r in sets}) and len(sets) == 5
+    want = {len(shingles(x, 2)) for x in t[:5]}
+    assert {len(r["items"]) // 8 for r in sets} == want
+
+
 def test_tensored_tables_need_few_hashes():
     assert near_dedup.HASHES == 4 * near_dedup.HALVES
     sets = [np.unique(np.random.default_rng(s).integers(0, 2**64, 500, dtype=np.uint64)) for s in (1, 2)]
