@@ -60,22 +60,21 @@ def visible(html: str) -> str:
 
 
 def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """For each block: buckets of the byte 4-grams inside words with their
-    marks of beginning, the texts they belong to, and the number of texts."""
+    """For each block: buckets of the 4-grams at every byte of the words (shorter
+    at their ends; the first ones marked), the texts they belong to, and the
+    number of texts."""
     separate = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
     for b in textnum.blocks(column):
         low = textnum.LOWER[b.data]
         starts, ends, first = textnum.word_bounds(b, separate)
         sums = textnum.prefix_sums(low)
         rows = np.repeat(np.arange(b.rows), np.diff(first))
-        out, where = [], []
-        for shift in range(4):  # the first grams of a word, then its end
-            ok = ends - starts >= shift + 1
-            s = starts[ok] + shift
-            e = np.minimum(s + 4, ends[ok])
-            out.append(textnum.stretch_hash(sums, s, e) ^ np.uint64(shift == 0))
-            where.append(rows[ok])
-        yield (np.concatenate(out) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(where), b.rows
+        long = ends - starts
+        # every byte of every word, in order; the last grams of a word are its end
+        at = np.arange(long.sum()) + np.repeat(starts - (np.cumsum(long) - long), long)
+        begins = (at == np.repeat(starts, long)).astype(np.uint64)
+        h = textnum.stretch_hash(sums, at, np.minimum(at + 4, np.repeat(ends, long))) ^ begins
+        yield (h % np.uint64(BUCKETS)).astype(np.int64), np.repeat(rows, long), b.rows
 
 
 def fit_text(docs: DataFrame, bound: int = SAMPLE) -> tuple[list[str], np.ndarray]:

@@ -455,6 +455,18 @@ def test_language_id(spark):
     assert langid.identify(pages, docs.where("lang is null")).where("lang is not null").isEmpty()
 
 
+def test_language_grams_cover_whole_words():
+    """Every byte of a word begins a gram, so late parts of long words count."""
+    word = "abcdefghijklmnop"
+    got = list(langid.grams(pa.array([word + " xy", "", "x" * 7 + word, "日本語の文章です"])))
+    of = Counter(int(r) for _, row, _ in got for r in row)
+    assert of == {0: 18, 2: 23, 3: 24} and sum(n for *_, n in got) == 4
+    bucket, row = got[0][0], got[0][1]
+    assert set(bucket[row == 0][1:16]) <= set(bucket[row == 2])  # all but the marked first gram
+    one, other = (next(langid.grams(pa.array([word + x])))[0].tolist() for x in ("ung", "ing"))
+    assert one[:13] == other[:13] and one[13:] != other[13:]
+
+
 def test_empty_tables(spark):
     docs = some_docs(spark, [(1, "x", "s")]).where("doc_id < 0")
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
