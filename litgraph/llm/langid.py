@@ -32,16 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litgraph.llm import textnum
 from litgraph.llm.common import bounded_batches, materialize
 
-#: Bounds on the documents that the text model is fitted on, on the languages
-#: (the most frequent ones), and hash buckets of the text model.
+#: Bound on the documents that the text model is fitted on, and its hash buckets.
 SAMPLE = 20_000
-LANGUAGES = 64
 BUCKETS = 1 << 14
 EFFECTIVE = 40
 #: Pages that a suffix's or host's prior is worth before its own pages count more.
@@ -81,8 +79,7 @@ def fit_text(docs: DataFrame, bound: int = SAMPLE) -> tuple[list[str], np.ndarra
     """Languages and log-probabilities (languages x BUCKETS)."""
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"),
                         F.lower(F.col("lang").cast("string")).alias("lang")).where("lang is not null and text is not null")
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(
-        LANGUAGES).collect())
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not langs:
         return [], np.zeros((0, BUCKETS))
     number = {x: i for i, x in enumerate(langs)}
@@ -108,8 +105,8 @@ def fit_text(docs: DataFrame, bound: int = SAMPLE) -> tuple[list[str], np.ndarra
 
 
 def page_evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
-    """``page_id, host, suffix, declared`` and the tempered log-likelihood and
-    text-only posterior of each language (``l0, r0, l1, ...``)."""
+    """``page_id, host, suffix, declared`` and, as arrays over the languages, the
+    tempered log-likelihoods ``l`` and the text-only posteriors ``r``."""
     shipped = pages.sparkSession.sparkContext.broadcast(logs)
     k = len(langs)
 
@@ -126,17 +123,23 @@ def page_evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataF
             ll = np.concatenate(ll) if ll else np.zeros((0, k))
             p = np.exp(ll - ll.max(axis=1, keepdims=True)) if len(ll) else ll
             p = p / p.sum(axis=1, keepdims=True) if len(ll) else p
-            columns = [batch.column(0), pa.array(hosts), pa.array([h.rpartition(".")[2] for h in hosts]), pa.array(declared)]
-            for i in range(k):
-                columns += [pa.array(ll[:, i]), pa.array(p[:, i])]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            at = pa.array(np.arange(len(html) + 1, dtype=np.int32) * k)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(hosts, pa.string()), pa.array([h.rpartition(".")[2] for h in hosts], pa.string()),
+                 pa.array(declared, pa.string()), *(pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (ll, p))],
+                names=["page_id", "host", "suffix", "declared", "l", "r"])
 
-    names = ["page_id", "host", "suffix", "declared", *(x for i in range(k) for x in (f"l{i}", f"r{i}"))]
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"),
-    ).mapInArrow(run, "page_id long, host string, suffix string, declared string, " + ", ".join(
-        f"l{i} double, r{i} double" for i in range(k)))
+    ).mapInArrow(run, "page_id long, host string, suffix string, declared string, l array<double>, r array<double>")
+
+
+def _sums(e: DataFrame, key: str, tag: str) -> DataFrame:
+    """``key`` and the sums of ``r`` over its pages, as an array ``tag``."""
+    parts = e.select(key, F.posexplode("r").alias("i", "x")).groupBy(key, "i").agg(F.sum("x").alias("x"))
+    return parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("a")).select(
+        key, F.col("a.x").alias(tag))
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -148,36 +151,27 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
             F.lit(None).cast(t).alias(c) for c, t in (
                 ("lang", "string"), ("confidence", "double"), ("text_lang", "string"), ("declared", "string"),
                 ("suffix", "string"), ("host", "string"))])
-    k = range(len(langs))
     e = materialize(page_evidence(pages, langs, logs), "evidence")
-    sums = lambda tag: [F.sum(f"r{i}").alias(f"{tag}{i}") for i in k]
-    whole = e.agg(*sums("g"), F.count("*").alias("n")).first()
-    n = float(whole["n"] or 0)
-    share = [((whole[f"g{i}"] or 0.0) + 1.0) / (n + len(langs)) for i in k]
-    declared = e.groupBy("declared").agg(*sums("d"))
+    n = float(e.count())
+    got = {x["i"]: x["x"] for x in e.select(F.posexplode("r").alias("i", "x")).groupBy("i").agg(
+        F.sum("x").alias("x")).collect()}  # a row per language
+    whole = [got.get(i, 0.0) for i in range(len(langs))]
+    declared = materialize(_sums(e, "declared", "d"), "declared")
     kinds = max(1, declared.count())
-    suffix = e.groupBy("suffix").agg(F.count("*").alias("ns"), *sums("s"))
-    host = e.groupBy("host").agg(F.count("*").alias("nh"), *sums("h"))
-    j = e.join(declared, "declared").join(suffix, "suffix").join(host, "host")
-
-    def posterior(i: int) -> Column:
-        own = F.col(f"r{i}")  # the page's own share is taken out of the counts
-        by_suffix = (F.col(f"s{i}") - own + STRENGTH * share[i]) / (F.col("ns") - 1 + STRENGTH)
-        by_host = (F.col(f"h{i}") - own + STRENGTH * by_suffix) / (F.col("nh") - 1 + STRENGTH)
-        by_markup = (F.greatest(F.col(f"d{i}") - own, F.lit(0.0)) + 1.0) / ((whole[f"g{i}"] or 0.0) + kinds)
-        return F.col(f"l{i}") + F.log(by_markup) + F.log(F.greatest(by_host, F.lit(1e-12)))
-
-    j = j.select("page_id", "declared", "suffix", "host", *[posterior(i).alias(f"p{i}") for i in k],
-                 *[f"r{i}" for i in k])
-    best = lambda tag: F.greatest(*[F.col(f"{tag}{i}") for i in k]) if len(langs) > 1 else F.col(f"{tag}0")
-
-    def name_of(tag: str) -> Column:
-        out = F.lit(None).cast("string")
-        for i in reversed(k):
-            out = F.when(F.col(f"{tag}{i}") == best(tag), F.lit(langs[i])).otherwise(out)
-        return out
-
-    j = j.withColumn("top", best("p"))
-    total = sum((F.exp(F.col(f"p{i}") - F.col("top")) for i in k), F.lit(0.0))
-    return j.select("page_id", name_of("p").alias("lang"), F.round(1.0 / total, 6).alias("confidence"),
-                    name_of("r").alias("text_lang"), "declared", "suffix", "host")
+    suffix = _sums(e, "suffix", "s").join(e.groupBy("suffix").agg(F.count("*").alias("ns")), "suffix")
+    host = _sums(e, "host", "h").join(e.groupBy("host").agg(F.count("*").alias("nh")), "host")
+    text = lambda a: f"cast(split('{','.join(map(repr, a))}', ',') as array<double>)"
+    share = text([(x + 1.0) / (n + len(langs)) for x in whole])
+    marked = text([x + kinds for x in whole])
+    # the page's own share is taken out of the counts
+    by_suffix = f"(s[i] - x + {STRENGTH}D * {share}[i]) / (ns - 1 + {STRENGTH}D)"
+    by_host = f"(h[i] - x + {STRENGTH}D * {by_suffix}) / (nh - 1 + {STRENGTH}D)"
+    by_markup = f"(greatest(d[i] - x, 0D) + 1) / {marked}[i]"
+    posterior = f"transform(r, (x, i) -> l[i] + ln({by_markup}) + ln(greatest({by_host}, 1e-12D)))"
+    names = F.array(*[F.lit(x) for x in langs])
+    name_of = lambda a, top: F.element_at(names, F.array_position(a, top).cast("int"))
+    j = e.join(declared, "declared").join(suffix, "suffix").join(host, "host").withColumn(
+        "p", F.expr(posterior)).withColumn("top", F.array_max("p"))
+    total = F.expr("aggregate(p, 0D, (a, x) -> a + exp(x - top))")
+    return j.select("page_id", name_of("p", F.col("top")).alias("lang"), F.round(1.0 / total, 6).alias("confidence"),
+                    name_of("r", F.array_max("r")).alias("text_lang"), "declared", "suffix", "host")

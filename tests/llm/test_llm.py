@@ -467,6 +467,20 @@ def test_language_grams_cover_whole_words():
     assert one[:13] == other[:13] and one[13:] != other[13:]
 
 
+def test_language_id_has_no_bound_on_languages(spark):
+    """Pages of the 65th language and beyond get their own name."""
+    rnd = random.Random(14)
+    names = [f"l{i:02d}" for i in range(80)]
+    words = {x: ["".join(rnd.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(12)] for x in names}
+    make = lambda x, n: " ".join(rnd.choice(words[x]) for _ in range(n))
+    docs = spark.createDataFrame([(i, make(x, 60), x) for i, x in enumerate(names * 2 + names[:64])],
+                                 "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.example/", f"<p>{make(x, 30)}</p>") for i, x in enumerate(names)],
+                                  "page_id long, url string, html string")
+    got = {r.page_id: r for r in langid.identify(pages, docs).collect()}
+    assert [got[i].lang for i in range(80)] == names == [got[i].text_lang for i in range(80)]
+
+
 def test_empty_tables(spark):
     docs = some_docs(spark, [(1, "x", "s")]).where("doc_id < 0")
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
