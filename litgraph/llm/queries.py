@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgraph.llm import bitplanes, langid, mixing, packing, quality, secrets, sharding, winnow
+from litgraph.llm import bitplanes, fim, langid, mixing, packing, quality, secrets, sharding, winnow
 from litgraph.llm.common import documents
 from litgraph.llm.near_dedup import near_duplicates
 from litgraph.llm.toxicity import toxicity
@@ -53,6 +53,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {
@@ -95,4 +100,29 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
             ELSE (budget // source_size) * size + greatest(least(budget % source_size - bef, size), 0) END AS BIGINT)
          AS taken
 FROM placed""",
+    "op11_fill_in_middle": r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT doc_id, t, w, len(w) AS n,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(w) + 1) AS c1,
+         CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(w) + 1) AS c2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS d1, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS d2
+  FROM units),
+parts AS (
+  SELECT doc_id, t, n,
+         coalesce(array_to_string(list_slice(w, 1, least(c1, c2)), ''), '') AS p,
+         coalesce(array_to_string(list_slice(w, least(c1, c2) + 1, greatest(c1, c2)), ''), '') AS m,
+         coalesce(array_to_string(list_slice(w, greatest(c1, c2) + 1, n), ''), '') AS s,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d1 >= 90 THEN 'plain'
+              WHEN d2 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts""",
 }
