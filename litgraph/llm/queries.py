@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgraph.llm import bitplanes, fim, langid, mixing, packing, quality, secrets, sharding, winnow
+from litgraph.llm import bitplanes, bpe, fim, langid, mixing, packing, quality, secrets, sharding, winnow
 from litgraph.llm.common import documents
 from litgraph.llm.near_dedup import near_duplicates
 from litgraph.llm.toxicity import toxicity
@@ -57,6 +57,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(documents(spark, sf_dir))
 
 
+def op13_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_byte_level_bpe": op13_byte_level_bpe,
 }
 
 ORACLE: dict[str, str] = {
