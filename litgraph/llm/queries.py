@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgraph.llm import bitplanes, bpe, fim, langid, mixing, packing, quality, secrets, sharding, winnow
+from litgraph.llm import bitplanes, bpe, dialogue, fim, langid, mixing, packing, quality, secrets, sharding, winnow
 from litgraph.llm.common import documents
 from litgraph.llm.near_dedup import near_duplicates
 from litgraph.llm.toxicity import toxicity
@@ -57,6 +57,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(documents(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_digests(documents(spark, sf_dir, "conversations"))
+
+
 def op13_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_byte_level_bpe": op13_byte_level_bpe,
 }
 
