@@ -183,6 +183,27 @@ _ASCII_SPACE = textnum.SPACE.copy()
 _ASCII_SPACE[0x1C:0x20] = True
 
 
+def _distinct_stretches(data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For stretches that tile ``data``: the first of each kind, and the kind of
+    each.  Hashes propose the kinds; bytes decide."""
+    h = textnum.stretch_hash(textnum.prefix_sums(data), starts, ends)
+    _, first, where = np.unique(h, return_index=True, return_inverse=True)
+    size, twin = ends - starts, first[where]
+    if np.array_equal(size, size[twin]):
+        shift = np.repeat(starts[twin] - starts, size)
+        shift += np.arange(len(data))
+        if np.array_equal(data[shift], data):
+            return first, where
+    kinds: dict[bytes, int] = {}
+    firsts: list[int] = []
+    kind = np.empty(len(starts), np.int64)
+    for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        kind[i] = kinds.setdefault(raw[s:e], len(kinds))
+        if kind[i] == len(firsts):
+            firsts.append(i)
+    return np.array(firsts, np.int64), kind
+
+
 class Encoder:
     """Ids of whole texts, equal to those of ``tokenizer.encode``."""
 
@@ -233,9 +254,9 @@ class Encoder:
             for _ in range(b.rows):
                 yield np.zeros(0, "<u4")
             return
-        h = textnum.stretch_hash(textnum.prefix_sums(data), starts, ends)
-        _, first, where = np.unique(h, return_index=True, return_inverse=True)
-        cache, raw = self.cache, data.tobytes()
+        raw = data.tobytes()
+        first, where = _distinct_stretches(data, raw, starts, ends)
+        cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
         got = []

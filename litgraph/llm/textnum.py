@@ -25,6 +25,9 @@ _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Bytes that one sum covers, and the factor that chains several.
+PIECE = 64
+CHAIN = np.uint64(0xC2B2AE3D27D4EB4F)
 _powers: list[np.ndarray] = []
 
 
@@ -111,9 +114,25 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 
 def stretch_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Equal stretches of bytes have equal hashes, wherever they stand."""
+    """Equal stretches of bytes have equal hashes, wherever they stand.
+
+    Long stretches are hashed by pieces of ``PIECE`` bytes, whose mixed hashes
+    are chained: sums modulo 2**64 alone would make some long words of
+    regular structure (Thue-Morse words of 1024 bytes) collide.
+    """
     _, inv = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * inv[starts])
+
+    def piece(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mix((sums[hi] - sums[lo]) * inv[lo])
+    out = piece(starts, np.minimum(ends, starts + PIECE))
+    rest = np.flatnonzero(ends - starts > PIECE)
+    at = starts[rest] + PIECE
+    while len(rest):
+        stop = np.minimum(at + PIECE, ends[rest])
+        out[rest] = mix(out[rest] * CHAIN + piece(at, stop))
+        more = stop < ends[rest]
+        rest, at = rest[more], stop[more]
+    return out
 
 
 def word_hashes(b: Block) -> tuple[np.ndarray, np.ndarray]:

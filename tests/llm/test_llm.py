@@ -310,7 +310,7 @@ def test_winnow_guarantee_and_edges(spark, rows):
             want.append(at)
     assert p.tolist() == want
     ordered = sorted(((d, t or "") for d, t, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    for ranges in (1, 5):
+    for ranges in (1, 5, 5000):
         got = winnow.fingerprints(some_docs(spark, rows), ranges).collect()
         want = Counter()
         for i, (d, t) in enumerate(ordered):
@@ -324,6 +324,52 @@ def test_winnow_guarantee_and_edges(spark, rows):
         assert np.mean([r.near_edited for r in got]) > 0.5
 
 
+def test_marks_keep_their_positions(spark, rows):
+    got = winnow.marks(some_docs(spark, rows)).collect()
+    texts_of = Counter()
+    for d, t, _ in rows:
+        h, p = winnow.winnow(np.frombuffer((t or "").encode(), np.uint8))
+        texts_of[d, tuple(h.tolist()), tuple(p.tolist())] += 1
+    assert Counter((r.doc_id, tuple(r.hashes), tuple(r.positions)) for r in got) == texts_of
+
+
+def thue_morse(bits, a, b):
+    word = a
+    for _ in range(bits):
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_words_of_regular_structure_have_hashes_of_their_own(spark):
+    """Sums of powers modulo 2**64 alone do not tell these words apart."""
+    from litgraph.llm import textnum
+    words = [w for n in (6, 9, 10, 11, 12) for x, y in ("ab", "xy", "Ab") for w in (thue_morse(n, x, y), thue_morse(n, y, x))]
+    words += ["a" * 64, "a" * 65, "a" * 128, "a" * 64 + "b", "b" + "a" * 64, "a" * 64 + "b" + "a" * 63]
+    b = next(textnum.blocks(pa.array([" ".join(words + words)])))
+    h, _ = textnum.word_hashes(b)
+    kinds = {w.lower() for w in words}
+    assert len(set(h.tolist())) == len(kinds)
+    assert h[:len(words)].tolist() == h[len(words):].tolist()
+    one, two = thue_morse(11, "a", "b"), thue_morse(11, "b", "a")
+    import public_tokenizers
+    e = bitplanes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    t = [f"{one} {two} x", f"see {two}, {one}", two]
+    assert [x.tolist() for x in e.texts(pa.array(t))] == [x.ids for x in e.tokenizer.encode_batch(t, add_special_tokens=False)]
+    docs = some_docs(spark, [(1, one, "s"), (2, two, "s"), (3, one, "s")])
+    got = near_dedup.near_duplicates(docs, k=2, percent=80).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_kinds_of_stretches_are_decided_by_bytes(monkeypatch):
+    """Equal hashes of different stretches do no harm."""
+    import public_tokenizers
+    from litgraph.llm import textnum
+    monkeypatch.setattr(textnum, "stretch_hash", lambda sums, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    e = bitplanes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    t = texts(8)
+    assert [x.tolist() for x in e.texts(pa.array(t))] == [x.ids for x in e.tokenizer.encode_batch(t, add_special_tokens=False)]
+
+
 def base_measures(t):
     t = t or ""
     w = WORD.findall(t)
