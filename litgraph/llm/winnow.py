@@ -11,9 +11,11 @@ The likeness of two fingerprints is the Jaccard similarity of their hashes.
 
 ``fingerprints`` also fingerprints an edited text, which ends with the
 beginning of the next document's text.  Rows are dealt into ranges of the id
-(bounds from approximate quantiles, a fixed number of them); the first row of
-every range is also sent to the end of the range before.  So a range, read in
-the order of the ids, holds all it needs, and each text is shuffled once.
+(bounds from approximate quantiles; as many as the session's shuffle partitions,
+or one for each ``RANGE_BYTES`` of texts if that is more), a task each; the
+first row of every range is also sent to the end of the range before.  So a
+range, read in the order of the ids, holds all it needs, and each text is
+shuffled once.  ``marks`` gives the marks themselves.
 
 Defined results: a null text is an empty one; it has no marks.  Fingerprints
 without marks are alike (1.0) if both texts are empty, else 0.0.  Rows with
@@ -28,14 +30,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litgraph.llm import textnum
 from litgraph.llm.common import bounded_batches
 
 GRAM, WINDOW = 24, 32
+#: Bytes of texts in a range at least, where the session's shuffle partitions are more.
+RANGE_BYTES = 64 << 20
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double, n_marks long")
 
@@ -119,33 +124,58 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out)
 
 
+def marks(docs: DataFrame) -> DataFrame:
+    """The fingerprints themselves: ``doc_id`` and two arrays of equal length,
+    ``hashes`` and ``positions`` (in the text's UTF-8 bytes)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [winnow(_bytes(x or "")) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([h.astype(np.int64) for h, _ in found], pa.list_(pa.int64())),
+                 pa.array([p for _, p in found], pa.list_(pa.int64()))], names=["doc_id", "hashes", "positions"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+                       ).mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
+
+
+def _places(bounds: np.ndarray, kept: np.ndarray, first: np.ndarray, nulls: bool = False) -> Column:
+    """Range of the id among the ranges that have rows, and the range before if
+    the id is the first of its own (the last one is before the first); null ids,
+    if there are any, are the first of all."""
+    @F.pandas_udf("rng int, before int")
+    def place(doc_id: pd.Series, known: pd.Series) -> pd.DataFrame:
+        ids = doc_id.to_numpy()
+        rng = np.searchsorted(kept, np.where(known, np.searchsorted(bounds, ids, "left"), 0))
+        starts = np.where(nulls & (rng == 0), ~known, known & (ids == first[rng]))
+        before = np.where(starts, (rng - 1) % len(kept), -1)
+        return pd.DataFrame({"rng": rng.astype(np.int32), "before": before.astype(np.int32)})
+    return place(F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNotNull())
+
+
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprints of every row's text and edited text, and their likeness."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     q = [i / ranges for i in range(1, ranges)]
-    bounds = docs.agg(F.percentile_approx("doc_id", q, 10_000)).first()[0] if q else None
-    bounds = sorted(set(bounds or []))
-    rng = F.lit(0)
-    if bounds:  # number of bounds below the id; ids of one value stay together
-        rng = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))), F.lit(0))
-    narrow = docs.select(rng.alias("rng"), "doc_id")
-    first = {r["rng"]: r["doc_id"] for r in narrow.groupBy("rng").agg(
-        F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id"))["doc_id"].alias("doc_id")).collect()}
-    order = sorted(first)
+    found = docs.agg(F.percentile_approx("doc_id", q, max(10_000, 2 * ranges))).first()[0] if q else None
+    bounds = np.array(sorted(set(found or [])), np.int64)
+    # ranges that have rows, and the first id of each: one row per range
+    every = np.arange(len(bounds) + 1)
+    rng = _places(bounds, every, np.zeros(len(every), np.int64))["rng"]
+    known = docs.select(rng.alias("rng"), "doc_id").groupBy("rng").agg(
+        F.min("doc_id").alias("doc_id"), (F.count("*") > F.count("doc_id")).alias("nulls")).orderBy("rng").collect()
+    kept = np.array([r["rng"] for r in known], np.int64)
+    first = np.array([r["doc_id"] or 0 for r in known], np.int64)
     # the first id of each range (and so its rows) also ends the range before
-    before = F.lit(None).cast("int")
-    for i, r in enumerate(order):
-        before = F.when((F.col("rng") == r) & F.col("doc_id").eqNullSafe(F.lit(first[r]).cast("long")),
-                        F.lit(order[i - 1])).otherwise(before)
-    placed = docs.withColumn("rng", rng).withColumn("before", before)
+    placed = docs.withColumn("at", _places(bounds, kept, first, bool(known and known[0]["nulls"])))
     sent = placed.select("doc_id", "text", F.explode(F.filter(F.array(
-        F.struct(F.col("rng").alias("rng"), F.lit(0).alias("extra")),
-        F.struct(F.col("before").alias("rng"), F.lit(1).alias("extra"))), lambda x: x["rng"].isNotNull())).alias("to"))
+        F.struct(F.col("at.rng").alias("rng"), F.lit(0).alias("extra")),
+        F.struct(F.col("at.before").alias("rng"), F.lit(1).alias("extra"))), lambda x: x["rng"] >= 0)).alias("to"))
     ranged = sent.select("to.rng", "to.extra", "doc_id", "text")
-    n = max(1, len(order))
-    return ranged.repartition(n, "rng").sortWithinPartitions(
+    return ranged.repartitionById(max(1, len(kept)), F.col("rng")).sortWithinPartitions(
         "rng", "extra", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_in_order, RESULT)
