@@ -418,6 +418,22 @@ def q_search_topk_bm25(spark, sf):
     return df.select("uid", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def indexed_papers(spark, sf):
+    """The papers' inverted index, written into the shared folder."""
+    from litgraph.operators.textindex import append_to_index
+    from litgraph.session import scratch_path
+    path = scratch_path(spark, "index")
+    append_to_index(fx.papers(spark, sf), path)
+    return path
+
+
+@query("search_indexed", ORACLE["search_topk_bm25"])
+def q_search_indexed(spark, sf):
+    from litgraph.operators.textindex import search_index
+    df = search_index(spark, indexed_papers(spark, sf), BM25_TOPIC, BM25_K)
+    return df.select("uid", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 COMPOSED_GROUPS = [["thtion[Title/Abstract]", "thing[All Fields]"], ["erat", "ertion", "thre*"]]
 EDGE = "[^\\p{L}\\p{N}]"
 
@@ -452,6 +468,15 @@ def q_search_topk_per_topic(spark, sf):
     return df.select("topic_id", "uid", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("search_indexed_per_topic", ORACLE["search_topk_per_topic"])
+def q_search_indexed_per_topic(spark, sf):
+    from litgraph.operators.textindex import search_index_per_topic
+    topics = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("topic_id"),
+                                                     F.col("text").alias("topic"))
+    df = search_index_per_topic(spark.read.parquet(indexed_papers(spark, sf)), topics, TOPIC_K)
+    return df.select("topic_id", "uid", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def part_topics(spark, sf):
     return fx.table(spark, sf, "part").select(F.col("p_name").alias("topic")).distinct()
 
