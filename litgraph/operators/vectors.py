@@ -68,3 +68,18 @@ def embed_with(df: DataFrame, text_col: str, fn: Callable, out_col: str = "embed
 def embed(df: DataFrame, text_col: str, fn: Callable | None = None, out_col: str = "embedding", **kw) -> DataFrame:
     """V1 as dense vectors: ``fn`` when given, else folded TF-IDF (``num_features``)."""
     return embed_with(df, text_col, fn, out_col) if fn is not None else embed_tfidf(df, text_col, out_col, **kw)
+
+
+def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dims: int = 128) -> DataFrame:
+    """Dense vectors ``(<id_col>, embedding)`` of ``dims`` numbers without a
+    vocabulary: a term adds ``1 + ln(tf)`` at a place and with a sign that its
+    MD5 names.  Documents without tokens have no row."""
+    tf = (df.select(F.col(id_col).alias("_id"), F.explode(tokenize(text_col)).alias("_t"))
+          .groupBy("_id", "_t").agg(F.count(F.lit(1)).alias("_tf")))
+    name = F.md5(F.col("_t").cast("binary"))
+    place = F.conv(F.substring(name, 1, 4), 16, 10).cast("int") % dims
+    sign = F.when(F.substring(name, 5, 1) < "8", 1.0).otherwise(-1.0)
+    parts = tf.groupBy("_id", place.alias("_d")).agg(F.sum(sign * (1 + F.log("_tf"))).alias("_v"))
+    each = parts.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_d", "_v"))).alias("_m"))  # dims entries at most
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("_m", d), F.lit(0.0)))
+    return each.select(F.col("_id").alias(id_col), dense.alias("embedding"))
