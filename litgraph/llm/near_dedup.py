@@ -21,8 +21,8 @@ Steps, all partitioned:
    chance to lose a link at the threshold is below 1e-5) and are then verified
    on full sets; links make components;
 5. keys that still hold nodes of several components are open: their nodes are
-   compared in blocks of bounded size, on full sets, and only links between
-   components are given out.  So no link that joins two components is left
+   packed into blocks of bounded size, a row each, and compared block by block,
+   on full sets; only links between components are given out.  So no link that joins two components is left
    out, and no group emits its pairs.
 
 Defined results: rows with a null id take part, but cannot name a component
@@ -316,16 +316,31 @@ def _open_pairs(hits: DataFrame, comps: DataFrame) -> DataFrame:
     return materialize(pairs.join(several, "hub", "left_semi"), "open")
 
 
+def _pack_block(table: pa.Table) -> pa.Table:
+    """The nodes of one block as one row: their numbers, components, set sizes
+    and sets, one after the other."""
+    sets = [v.as_buffer() for v in table.column("items")]
+    comp = table.column("comp").to_numpy()
+    return pa.table({
+        "family": table.column("family").slice(0, 1), "class": table.column("class").slice(0, 1),
+        "block": table.column("block").slice(0, 1), "low": pa.array([comp.min()], pa.int64()),
+        "high": pa.array([comp.max()], pa.int64()), "nodes": pa.array([table.column("node").to_numpy().tobytes()], pa.binary()),
+        "comps": pa.array([comp.tobytes()], pa.binary()),
+        "sizes": pa.array([np.array([len(b) // 8 for b in sets], np.int64).tobytes()], pa.binary()),
+        "items": pa.array([b"".join(sets)], pa.binary())})
+
+
 def _dense_links(percent: int):
-    """A block pair's sets -> links that join what belongs together, as stars:
-    fewer than the block pair has nodes."""
+    """A block pair (one or two packed blocks) -> links that join what belongs
+    together, as stars: fewer than the block pair has nodes."""
+    def whole(table: pa.Table, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
     def run(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        comp = table.column("comp").to_numpy()
-        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("items")]
-        size = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets)
-        row = np.repeat(np.arange(len(sets)), size)
+        node, comp, size = (whole(table, name, np.int64) for name in ("nodes", "comps", "sizes"))
+        flat = whole(table, "items", np.uint64)
+        n = len(node)
+        row = np.repeat(np.arange(n), size)
         order = np.argsort(flat, kind="stable")
         flat, row = flat[order], row[order]
         new = np.r_[True, flat[1:] != flat[:-1]]
@@ -333,23 +348,23 @@ def _dense_links(percent: int):
         item = np.cumsum(new) - 1
         ok = shared[item]
         item, row = (np.cumsum(shared) - 1)[item[ok]], row[ok]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        width = max(1, 4_000_000 // len(sets))  # items per slice: bounds the dense matrix
+        both = np.zeros((n, n), np.float32)
+        width = max(1, 4_000_000 // n)  # items per slice: bounds the dense matrix
         for lo in range(0, int(item[-1]) + 1 if len(item) else 0, width):
             i, j = np.searchsorted(item, (lo, lo + width))
-            x = np.zeros((len(sets), width), np.float32)
+            x = np.zeros((n, width), np.float32)
             x[row[i:j], item[i:j] - lo] = 1
             both += x @ x.T
         union = size[:, None] + size[None, :] - both
         joined = (100 * both >= percent * union) | (comp[:, None] == comp[None, :])
-        label = np.arange(len(sets))
+        label = np.arange(n)
         while True:  # smallest row that can be reached
-            low = np.where(joined, label[None, :], len(sets)).min(axis=1)
+            low = np.where(joined, label[None, :], n).min(axis=1)
             low = np.minimum(low, label)
             if (low == label).all():
                 break
             label = low[low]
-        i = np.flatnonzero(label != np.arange(len(sets)))
+        i = np.flatnonzero(label != np.arange(n))
         return pa.table({"a": pa.array(node[label[i]], pa.int64()), "b": pa.array(node[i], pa.int64())})
     return run
 
@@ -359,9 +374,10 @@ def _block_links(open_pairs: DataFrame, sizes: DataFrame, sets: DataFrame, perce
 
     Nodes that hang together by open pairs are a family.  A family's nodes are
     dealt into classes of set size, such that linked nodes are of the same or of
-    neighbouring classes, and large classes into blocks of about BLOCK nodes.
-    Each pair of blocks that can hold links is one group of bounded size, whose
-    sets are compared at once; only links leave it."""
+    neighbouring classes, and large classes into blocks of about BLOCK nodes,
+    each packed into one row.  A pair of blocks that can hold links is one
+    group of two rows at most, whose sets are compared at once; only links
+    leave it."""
     family = components(open_pairs, "node", "hub")
     base = F.log(F.lit(100.0 / percent)) * 1.001  # a little wider, so neighbours suffice in spite of rounding
     nodes = open_pairs.select("node", "comp").union(open_pairs.select("hub", "hub_comp")).distinct().join(sizes, "node").join(
@@ -370,16 +386,20 @@ def _block_links(open_pairs: DataFrame, sizes: DataFrame, sets: DataFrame, perce
     counts = nodes.groupBy("family", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     nodes = materialize(nodes.join(counts, ["family", "class"]).withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")), "nodes")
-    blocks = counts.select("family", "class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    x = blocks.select("family", F.struct("class", "block").alias("x"))
-    y = blocks.select("family", F.struct("class", "block").alias("y"))
-    pairs = x.join(y, "family").where((F.col("x") <= F.col("y")) & (F.col("y.class") - F.col("x.class") <= 1))
-    pairs = pairs.select("family", "x", "y", F.xxhash64("family", "x", "y").alias("pair"))
-    sides = pairs.select("family", "pair", F.explode(F.array_distinct(F.array("x", "y"))).alias("at"))
-    members = nodes.join(sides.select("family", "pair", F.col("at.class").alias("class"), F.col("at.block").alias("block")),
-                         ["family", "class", "block"]).select("pair", "node", "comp")
-    several = members.groupBy("pair").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    members = materialize(members.join(several.select("pair"), "pair", "left_semi"), "members")
-    wanted = sets.join(members.select("node").distinct(), "node", "left_semi")
-    return materialize(members.join(wanted, "node").select("pair", "node", "comp", "items").groupBy("pair").applyInArrow(
-        _dense_links(percent), "a long, b long").distinct(), "links")
+    packed = materialize(
+        nodes.join(sets, "node").select("family", "class", "block", "node", "comp", "items")
+        .groupBy("family", "class", "block").applyInArrow(
+            _pack_block, "family long, class int, block int, low long, high long, "
+                         "nodes binary, comps binary, sizes binary, items binary"), "packed")
+    heads = packed.select("family", F.struct("class", "block").alias("at"), "low", "high")
+    x = heads.select("family", F.col("at").alias("x"), F.col("low").alias("low_x"), F.col("high").alias("high_x"))
+    y = heads.select("family", F.col("at").alias("y"), F.col("low").alias("low_y"), F.col("high").alias("high_y"))
+    pairs = x.join(y, "family").where(
+        (F.col("x") <= F.col("y")) & (F.col("y.class") - F.col("x.class") <= 1)
+        & (F.least("low_x", "low_y") < F.greatest("high_x", "high_y")))
+    sides = pairs.select("family", F.xxhash64("family", "x", "y").alias("pair"),
+                         F.explode(F.array_distinct(F.array("x", "y"))).alias("at")).select(
+        "family", "pair", F.col("at.class").alias("class"), F.col("at.block").alias("block"))
+    return materialize(
+        sides.join(packed, ["family", "class", "block"]).select("pair", "nodes", "comps", "sizes", "items")
+        .groupBy("pair").applyInArrow(_dense_links(percent), "a long, b long").distinct(), "links")
