@@ -1,55 +1,73 @@
 """Connected components (A12) and density clustering.
 
-Both are iterative DataFrame jobs.  Each round is a join plus a partial
-(map-side combined) ``min`` aggregate, so a hub node's offers are combined
-before they meet; its own edges are one join key, which adaptive execution
-splits.  Lineage is cut every round with ``checkpoint()`` into the shared
-checkpoint folder.  All that reaches the driver per round is whether a label
-changed.
+Components are found by contraction: in every round each vertex moves to the
+smallest of its neighbours (in an order drawn anew for the round), and to that
+one's own choice; the edges are then renamed and thinned out.  About a third of
+the vertices of a chain remain, fewer elsewhere, so the rounds grow with the
+logarithm of the longest path and each reads only what the last one left.  At
+the end the moves are followed back.
+
+A hub's offers are combined in the map tasks (``min_by``).  What is joined to
+the edges or to the moves is always a written table: adaptive execution splits
+the other side where a hub makes it skewed, which it cannot do for a join whose
+side is an aggregate.  Every round's tables are written to the shared folder,
+which cuts the lineage; the driver learns only whether edges are left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litgraph.operators.graph import dense_ids, undirected
-from litgraph.session import checkpoint
+from litgraph.session import checkpoint, materialize
+
+
+def _contract(edges: DataFrame, rank) -> tuple[DataFrame, DataFrame]:
+    """One round over ``(src, dst)``: the moves ``(id, to)`` of all vertices and
+    the edges between where they moved."""
+    near = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    best = near.groupBy(F.col("src").alias("id")).agg(
+        F.min(rank(F.col("dst"))).alias("_r"), F.min_by("dst", rank(F.col("dst"))).alias("_n"))
+    step = materialize(best.select("id", F.when(F.col("_r") < rank(F.col("id")), F.col("_n")).otherwise(F.col("id")).alias("to")), "step")
+    moves = materialize(step.alias("a").join(step.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", "b.to"), "moves")
+    left = moves.select(F.col("id").alias("src"), F.col("to").alias("_a"))
+    right = moves.select(F.col("id").alias("dst"), F.col("to").alias("_b"))
+    renamed = edges.join(left, "src").join(right, "dst").where(F.col("_a") != F.col("_b"))
+    return moves, materialize(renamed.select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst")).distinct(), "edges")
 
-SPREAD = 16  # join keys for the vertices of one label
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``(id, component)``, component = smallest id in the component.
 
-    Min-label propagation with pointer jumping: every round a vertex takes
-    the smallest label among itself and its neighbours, then the label of
-    that label.  Labels only decrease and always name a vertex of the same
-    component, so the fixpoint is the component minimum.  Runs until no
-    label changes (no round cap).  ``vertices`` (column ``id``) adds
-    isolated vertices as their own components.
+    Edges ``(src, dst)`` may be given in any direction and repeatedly; a vertex
+    of loops only, and one of ``vertices`` (column ``id``) without an edge, is
+    its own component.  Rounds go on until no edge is left (no cap).
     """
-    sym = checkpoint(undirected(edges))  # read by every round: materialise once
-    verts = sym.select(F.col("src").alias("id"))
+    ends = edges.select("src", "dst")
+    verts = ends.select(F.col("src").alias("id")).unionByName(ends.select(F.col("dst").alias("id")))
     if vertices is not None:
         verts = verts.unionByName(vertices.select("id"))
-    labels = checkpoint(verts.distinct().select("id", F.col("id").alias("label")))
-    while True:
-        offers = sym.join(labels, sym.src == labels.id).select(
-            F.col("dst").alias("id"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("_old"))
-        own = labels.select("id", "label", F.col("label").alias("_old"))
-        best = checkpoint(own.unionByName(offers).groupBy("id").agg(
-            F.min("label").alias("label"), F.max("_old").alias("_old")))
-        if best.where(F.col("label") < F.col("_old")).isEmpty():
-            return best.select("id", F.col("label").alias("component"))
-        # Labels that have a smaller label themselves; a label's vertices are
-        # spread over SPREAD keys, so a large component is no single task's.
-        hops = (best.select(F.col("label").alias("_l")).distinct()
-                .join(best.select(F.col("id").alias("_l"), F.col("label").alias("_ll")), "_l")
-                .where(F.col("_ll") < F.col("_l"))
-                .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))))
-        spread = best.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int"))
-        labels = checkpoint(spread.join(hops, (F.col("label") == F.col("_l")) & (spread["_s"] == hops["_s"]), "left")
-                            .select("id", F.coalesce("_ll", "label").alias("label")))
+    left = materialize(ends.where("src <> dst").select(
+        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        n = len(rounds)
+
+        def rank(v: Column, n: int = n) -> Column:
+            return F.xxhash64(v, F.lit(n))
+        moves, left = _contract(left, rank)
+        rounds.append(moves)
+    verts = verts.distinct()
+    if not rounds:
+        return verts.select("id", F.col("id").alias("component"))
+    ended = rounds[-1]
+    for moves in reversed(rounds[:-1]):
+        later = ended.select(F.col("id").alias("_id"), F.col("to").alias("_to"))
+        ended = materialize(moves.join(later, moves["to"] == later["_id"], "left").select("id", F.coalesce("_to", "to").alias("to")), "ended")
+    least = materialize(ended.groupBy("to").agg(F.min("id").alias("component")), "least")
+    named = ended.join(least, "to").select("id", "component")
+    return verts.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def dbscan(points: DataFrame, neighbor_pairs: DataFrame, min_samples: int = 2) -> DataFrame:

@@ -1,11 +1,14 @@
 """Similarity join (J6, J7, LSH) and clustering (A11, A12) against
 brute-force numpy / pure-Python versions."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from litgraph.operators import cluster, similarity
+from litgraph.session import checkpoint
 
 
 def _vectors(spark, n=120, d=8, seed=7):
@@ -140,3 +143,59 @@ def test_empty_inputs(spark):
     assert cluster.connected_components(no_pairs).count() == 0
     seeds = spark.createDataFrame([(1, 1)], "seed long, node_id long")
     assert [(r.node_id, r.hop) for r in khop_neighbors(no_pairs, seeds, 2).collect()] == [(1, 0)]
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A chain of 100,000 vertices in random order of ids."""
+    n, rounds = 100_000, []
+    step = cluster._contract
+    monkeypatch.setattr(cluster, "_contract", lambda e, r: rounds.append(1) or step(e, r))
+    order = spark.range(n).select((F.col("id") * 7919 % n).alias("src"), ((F.col("id") + 1) * 7919 % n).alias("dst"))
+    got = cluster.connected_components(order.where(f"src <> {(n - 1) * 7919 % n}"))
+    assert got.count() == n and got.where("component <> 0").isEmpty()
+    assert len(rounds) <= 20
+
+
+def test_components_equal_union_find(spark):
+    rnd = random.Random(5)
+    pairs = [(rnd.randrange(600), rnd.randrange(600)) for _ in range(420)] + [(700, 700), (3, 3)] + [(1, i) for i in range(800, 900)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    for kind in ("long", "string"):
+        edges = spark.createDataFrame(pairs * 2, "src long, dst long").select(
+            F.lpad(F.col("src").cast("string"), 4, "0").alias("src") if kind == "string" else "src",
+            F.lpad(F.col("dst").cast("string"), 4, "0").alias("dst") if kind == "string" else "dst")
+        got = {int(r.id): int(r.component) for r in cluster.connected_components(edges).collect()}
+        assert got == {v: find(v) for v in root}
+
+
+def test_a_hub_is_split_by_adaptive_execution(spark):
+    """The edges of one vertex end up in several tasks of the renaming join."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        hub = spark.range(1, 60_000, numPartitions=8).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+        edges = checkpoint(hub.union(spark.range(1, 2000).select(F.col("id") + 100_000, F.col("id") + 200_000)))
+        moves = checkpoint(edges.select(F.col("dst").alias("id")).union(edges.select("src")).distinct().select("id", F.col("id").alias("to")))
+        plan = _final_plan(edges.join(moves.select(F.col("id").alias("src"), "to"), "src"))
+        assert "skew=true" in plan
+        assert cluster.connected_components(edges).where("component = 0").count() == 60_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
