@@ -1,11 +1,11 @@
 """Connected components over links, by alternating large-star and small-star
 steps (Kiveris et al., "Connected Components in MapReduce and Beyond").
 
-Hubs are pre-aggregated before each shuffle (``min``).  Their minima are written
-first and then joined back: a join with an aggregate right below it would keep
-all links of a hub in one task, one with a written table is split by adaptive
-execution where it is skewed.  Every round is written to the shared folder;
-only a checksum reaches the driver.
+Hubs are pre-aggregated before each shuffle (``min``).  The minima are joined
+back right above their aggregate, so the links of one hub meet in one task;
+writing the minima first would let adaptive execution split them, at the price
+of three more jobs a round.  Every round is written to the shared folder; only
+a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ from litgraph.llm.common import materialize
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima")
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (both.join(low, "u").where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "minima")
+    low = down.groupBy("u").agg(F.min("v").alias("m"))
     joined = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -36,7 +36,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     last = None
     while True:
-        e = materialize(_small_star(materialize(_large_star(e), "large")), "components")
+        e = materialize(_small_star(_large_star(e)), "components")
         sign = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == last or sign[0] == 0:
             break
