@@ -25,7 +25,7 @@ def test_topk_is_take_ordered(spark):
 def test_similarity_has_no_cross_join(spark):
     p = _plan(Q.sim_edges(spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    assert "FlatMapGroupsInPandas" in p
+    assert "MapInArrow" in p
 
 
 def test_no_python_udf_in_relational_operators(spark):

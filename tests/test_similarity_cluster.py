@@ -59,14 +59,45 @@ def test_far_blocks_never_meet(spark):
     base = rng.normal(size=(8, 16))
     x = base[np.arange(400) % 8] + 0.02 * rng.normal(size=(400, 16))
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, embedding array<double>")
-    keyed = similarity.block_pairs(df, 0.9, block_rows=20, pivots=8).cache()
-    blocks = keyed.select("_blk").distinct().count()
-    met = keyed.groupBy("_bi", "_bj").agg(F.count_distinct("_blk").alias("n")).where("_bi = _bj or n = 2").count()
-    assert blocks > 8 and met < blocks * (blocks + 1) // 2 * 0.7
+    blocks, sample = similarity.packed_blocks(df, 0.9, block_rows=20, pivots=8)
+    n = blocks.count()
+    met = similarity.meetings(blocks, 0.9, 8).count()
+    assert n > 8 and met < n * (n + 1) // 2 * 0.7
     got = {(r.src, r.dst) for r in similarity.similarity_edges(df, 0.9, block_rows=20).collect()}
     assert got == set(_brute(x, 0.9))
 
 
+def test_main_directions_save_products(spark):
+    """Vectors near a plane of few dimensions: most pairs end after few numbers."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 4)) @ rng.normal(size=(4, 64)) + 0.05 * rng.normal(size=(900, 64))
+    directions = similarity.Directions(x[:300], 0.9)
+    assert 0 < directions.first <= 8
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    turned = unit @ directions.rotation
+    p = directions.first
+    rest = np.linalg.norm(turned[:, p:], axis=1)
+    multiplied = (turned[:, :p] @ turned[:, :p].T + np.outer(rest, rest) >= 0.9).mean()
+    assert p + 64 * multiplied < 64 / 2
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, embedding array<double>")
+    got = {(r.src, r.dst): r.similarity for r in similarity.similarity_edges(df, 0.9, block_rows=100).collect()}
+    want = _brute(x, 0.9)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # unrelated vectors at a low threshold: multiplied at once
+    assert similarity.Directions(rng.normal(size=(300, 64)), 0.3).first == 0
+
+
+def test_blocks_are_shipped_once_a_row(spark):
+    """Far fewer copies of a block than there are blocks."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(f"v{i}", [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(2000, 8)))],
+                               "id string, embedding array<float>")
+    blocks, sample = similarity.packed_blocks(df, 0.2, block_rows=5, pivots=2)
+    n, copies = blocks.count(), similarity.meetings(blocks, 0.2, 2).count()
+    assert n >= 400 and copies < n * n / 10
+    assert sum(r["n"] for r in blocks.select(F.size("ids").alias("n")).collect()) == 2000
+
+
 def test_zero_null_and_no_vectors(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None)], "id long, embedding array<double>")
     assert similarity.similarity_edges(df, 0.1).collect() == []
