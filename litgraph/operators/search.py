@@ -194,6 +194,47 @@ def expand_synonyms(topics: DataFrame, thesaurus: DataFrame, topic_col: str = "t
     return both.select("topic", "concept_pos", F.row_number().over(w).alias("term_pos"), "term", "kind")
 
 
+def expand_phrases(topics: DataFrame, thesaurus: DataFrame, topic_col: str = "topic") -> DataFrame:
+    """R2 with thesaurus entries of several words: a topic is covered from left
+    to right by the longest entry that begins at each place, or the word there;
+    what covers it are its concepts (each once), with their synonyms.  Output as
+    ``expand_synonyms``.
+
+    Entries and topics are compared by their words.  Every run of words of a
+    topic, up to the longest entry's number, is joined to the entries; the cover
+    is folded over a topic's matches in order.
+    """
+    def phrase(words: Column) -> Column:
+        return F.array_join(words, " ")
+    entries = thesaurus.select(phrase(tokenize("term")).alias("phrase"), F.size(tokenize("term")).alias("_n"),
+                               F.lower("synonym").alias("synonym")).where("_n > 0")
+    longest = entries.agg(F.max("_n")).first()[0] or 1
+    words = topics.select(F.col(topic_col).alias("topic"), tokenize(topic_col).alias("_t")).distinct().where(F.size("_t") > 0)
+    starts = words.select("topic", "_t", F.explode(F.sequence(F.lit(0), F.size("_t") - 1)).alias("start"))
+    runs = starts.select("topic", "start", "_t", F.explode(F.sequence(
+        F.lit(1), F.least(F.lit(longest), F.size("_t") - F.col("start")))).alias("len"))
+    runs = runs.select("topic", "start", "len", phrase(F.slice("_t", F.col("start") + 1, F.col("len"))).alias("phrase"))
+    known = entries.select("phrase", F.lit(True).alias("_known")).distinct()
+    hits = runs.join(known, "phrase", "left").where(F.col("_known") | (F.col("len") == 1))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,phrase:string>>").alias("kept"))
+
+    def cover(done: Column, hit: Column) -> Column:
+        longer = F.struct((hit["start"] - hit["shorter"]).alias("end"),
+                          F.array_append(done["kept"], F.struct(hit["start"].alias("start"), hit["phrase"].alias("phrase"))).alias("kept"))
+        return F.when(hit["start"] >= done["end"], longer).otherwise(done)
+    # longest first among those that begin at one place
+    found = hits.groupBy("topic").agg(F.array_sort(F.collect_list(
+        F.struct("start", (-F.col("len")).alias("shorter"), "phrase"))).alias("_h"))
+    covered = found.select("topic", F.explode(F.aggregate("_h", none, cover)["kept"]).alias("c"))
+    first = covered.groupBy("topic", F.col("c.phrase").alias("phrase")).agg(F.min("c.start").alias("start"))
+    concepts = first.withColumn("concept_pos", F.row_number().over(Window.partitionBy("topic").orderBy("start")))
+    own = concepts.select("topic", "concept_pos", F.col("phrase").alias("term"), F.lit("tiab").alias("kind"), F.lit(0).alias("_o"))
+    others = concepts.join(entries.select("phrase", "synonym").distinct(), "phrase").where("synonym <> phrase").select(
+        "topic", "concept_pos", F.col("synonym").alias("term"), F.lit("all").alias("kind"), F.lit(1).alias("_o"))
+    w = Window.partitionBy("topic", "concept_pos").orderBy("_o", "term")
+    return own.unionByName(others).select("topic", "concept_pos", F.row_number().over(w).alias("term_pos"), "term", "kind")
+
+
 def concept_groups(terms: DataFrame) -> DataFrame:
     """R2 -> P10: ``(topic, concept_pos, terms array)`` for boolean search."""
     return terms.groupBy("topic", "concept_pos").agg(
@@ -201,5 +242,5 @@ def concept_groups(terms: DataFrame) -> DataFrame:
 
 
 __all__ = ["tokenize", "bm25_scores", "search_bm25", "search_bm25_per_topic", "boolean_search", "search_composed",
-           "compose_query", "expand_synonyms", "concept_groups", "topk_per_group", "parse_term",
+           "compose_query", "expand_synonyms", "expand_phrases", "concept_groups", "topk_per_group", "parse_term",
            "check_top_k"]

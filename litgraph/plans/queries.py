@@ -344,25 +344,17 @@ def sql_tokens(x: str) -> str:
     return TOKENS_SQL.format(x=x)
 
 
-def sql_term(spec: str) -> str:
-    from litgraph.functions.predicates import DEFAULT_FIELDS, parse_term, term_pattern
-    t = parse_term(spec)
-    cols = [c for c in DEFAULT_FIELDS.get(t.tag, ()) if c in ("Title", "page_content", "Published")]
-    cols = cols or ["Title", "page_content"]
-    return f"regexp_matches(lower(concat_ws(' ', {', '.join(cols)})), '{term_pattern(t)}')"
-
+EDGE = "[^\\p{L}\\p{N}]"
+LETTER = "[\\p{L}\\p{N}]"
 
-def sql_boolean(groups, exclude=()) -> str:
-    pred = " AND ".join("(" + " OR ".join(sql_term(t) for t in g) + ")" for g in groups)
-    if exclude:
-        pred += " AND NOT (" + " OR ".join(sql_term(t) for t in exclude) + ")"
-    return pred
 
+def sql_words(columns: str, alternatives: str) -> str:
+    """One of the words (a regular expression) as a whole word of the columns."""
+    return f"regexp_matches(lower(concat_ws(' ', {columns})), '(^|{EDGE})({alternatives})({EDGE}|$)')"
 
-def _boolean_query(name, groups, exclude=()):
-    sql = fx.with_views(f"SELECT uid, Title FROM papers WHERE {sql_boolean(groups, exclude)}")
 
-    @query(name, sql)
+def _boolean_query(name, where, groups, exclude=()):
+    @query(name, fx.with_views(f"SELECT uid, Title FROM papers WHERE {where}"))
     def run(spark, sf):
         from litgraph.operators.search import boolean_search
         return boolean_search(fx.papers(spark, sf), groups, exclude).select("uid", "Title")
@@ -370,10 +362,17 @@ def _boolean_query(name, groups, exclude=()):
 
 
 BOOL_GROUPS = [["thtion", "thing"], ["erat", "ertion", "attion"]]
-_boolean_query("boolean_search", BOOL_GROUPS)
-_boolean_query("boolean_search_not", BOOL_GROUPS, ["de", "que"])
-_boolean_query("term_wildcard_search", [["thth*", '"of the"'], ["er?n"]])
-_boolean_query("field_search", [["thon[Title]", "erin[Title]"], ["thre*[All Fields]"]], ["la[Abstract]"])
+BOTH = "Title, page_content"
+BOOL_SQL = f"{sql_words(BOTH, 'thtion|thing')} AND {sql_words(BOTH, 'erat|ertion|attion')}"
+_boolean_query("boolean_search", BOOL_SQL, BOOL_GROUPS)
+_boolean_query("boolean_search_not", f"{BOOL_SQL} AND NOT {sql_words(BOTH, 'de|que')}", BOOL_GROUPS, ["de", "que"])
+_boolean_query("term_wildcard_search",
+               f"({sql_words(BOTH, f'thth{LETTER}*')} OR {sql_words(BOTH, f'of{EDGE}+the')}) AND {sql_words(BOTH, f'er{LETTER}n')}",
+               [["thth*", '"of the"'], ["er?n"]])
+_boolean_query("field_search",
+               f"{sql_words('Title', 'thon|erin')} AND {sql_words('Title, page_content, Published', f'thre{LETTER}*')} "
+               f"AND NOT {sql_words('page_content', 'la')}",
+               [["thon[Title]", "erin[Title]"], ["thre*[All Fields]"]], ["la[Abstract]"])
 
 BM25_SQL = """docs AS (SELECT uid, {toks} AS toks FROM papers),
 stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(toks)) AS avgdl FROM docs),
@@ -435,7 +434,6 @@ def q_search_indexed(spark, sf):
 
 
 COMPOSED_GROUPS = [["thtion[Title/Abstract]", "thing[All Fields]"], ["erat", "ertion", "thre*"]]
-EDGE = "[^\\p{L}\\p{N}]"
 
 
 @query("search_composed", _bm25_sql(
@@ -755,9 +753,12 @@ def q_attach_vectors(spark, sf):
                      r6(vector_digest("embedding")).alias("digest"))
 
 
+EDGE_TITLE_SQL = ("'Edge from ''' || a.label || ''' to ''' || b.label || '''. Similarity: ' || printf('%.2f', p.similarity)")
+
+
 @query("edge_titles", graph_sql(
     f"""SELECT p.src, p.dst, round(p.similarity, 6) AS similarity, a.label AS src_label, b.label AS dst_label,
-       CAST(0.1 AS DOUBLE) AS value, '#a6a6a6' AS color
+       {EDGE_TITLE_SQL} AS title, CAST(0.1 AS DOUBLE) AS value, '#a6a6a6' AS color
 FROM node_pairs p JOIN nodes a ON a.node_id = p.src JOIN nodes b ON b.node_id = p.dst
 WHERE p.similarity >= {SIM_T}""", NODE_VEC_CTES))
 def q_edge_titles(spark, sf):
@@ -765,7 +766,7 @@ def q_edge_titles(spark, sf):
     nodes, edges = node_graph(spark, sf)
     df = edge_titles(edges, nodes)
     return df.select("src", "dst", r6("similarity").alias("similarity"), "src_label", "dst_label",
-                     "value", "color")
+                     "title", "value", "color")
 
 
 COMPONENT_CTES = [
@@ -943,3 +944,73 @@ def q_similarity_network(spark, sf):
                                   threshold=SIM_T, vectors_df=fx.vectors(spark, sf), eps=NETWORK_EPS,
                                   missing="drop")
     return nodes.select("node_id", "label", "n_authors", r6("size").alias("size"), "cluster")
+
+
+@query("similarity_network_edges", graph_sql(
+    f"""SELECT p.src, p.dst, round(p.similarity, 6) AS similarity, {EDGE_TITLE_SQL} AS title
+FROM node_pairs p JOIN nodes a ON a.node_id = p.src JOIN nodes b ON b.node_id = p.dst
+WHERE p.similarity >= {SIM_T}""", NODE_VEC_CTES))
+def q_similarity_network_edges(spark, sf):
+    from litgraph.plans.pipeline import similarity_network
+    _, edges = similarity_network(merged(spark, sf), fx.papers(spark, sf), main_authors_df(spark, sf),
+                                  threshold=SIM_T, vectors_df=fx.vectors(spark, sf), eps=NETWORK_EPS,
+                                  missing="drop")
+    return edges.select("src", "dst", r6("similarity").alias("similarity"), "title")
+
+
+@query("author_profiles", author_sql(
+    "SELECT forename, lastname, affiliation, pubmedid, country, city, round(latitude, 6) AS latitude, "
+    "round(longitude, 6) AS longitude FROM merged").replace(
+        fx.ORACLE_VIEWS["affiliated"], fx.ORACLE_VIEWS["affiliated"] + " AND pubmedid IN (SELECT uid FROM papers)"))
+def q_author_profiles(spark, sf):
+    """M5 from records: those of the papers, exploded, placed and merged."""
+    from litgraph.plans.pipeline import author_profiles
+    return merged_scalar(author_profiles(fx.records(spark, sf), fx.papers(spark, sf), fx.iso(spark), fx.gazetteer(spark)))
+
+
+def order_topics(spark, sf):
+    """A topic per order: the names of its parts, one after the other."""
+    li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    named = li.join(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    lists = named.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))).alias("p"))
+    return lists.select(F.array_join("p.p_name", ", ").alias("topic")).distinct()
+
+
+def phrase_thesaurus(spark, sf):
+    """Entries of two words (names of parts, also turned round) and of one."""
+    part = fx.table(spark, sf, "part")
+    one, two = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    return (part.select(F.col("p_name").alias("term"), F.col("p_type").alias("synonym"))
+            .union(part.where("p_size < 10").select(F.concat(two, F.lit("  "), F.upper(one)), "p_brand"))
+            .union(part.where("p_size > 40").select(one, F.concat(F.lit("very "), one)))).distinct()
+
+
+PHRASE_SQL = [
+    ("topics", """SELECT DISTINCT topic FROM (
+  SELECT string_agg(p_name, ', ' ORDER BY l_linenumber, l_partkey, p_name) AS topic
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"""),
+    ("thes", """SELECT DISTINCT lower(p_name) AS phrase, lower(p_type) AS synonym FROM part
+UNION SELECT lower(split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)), lower(p_brand) FROM part WHERE p_size < 10
+UNION SELECT lower(split_part(p_name, ' ', 1)), 'very ' || lower(split_part(p_name, ' ', 1)) FROM part WHERE p_size > 40"""),
+    ("toks", f"SELECT topic, {sql_tokens('topic')} AS t FROM topics"),
+    ("hits", """SELECT topic, i, n, array_to_string(t[i:i + n - 1], ' ') AS phrase
+FROM toks, unnest(range(1, len(t) + 1)) AS a(i), (SELECT unnest([1, 2]) AS n)
+WHERE i + n - 1 <= len(t) AND (n = 1 OR array_to_string(t[i:i + n - 1], ' ') IN (SELECT phrase FROM thes))"""),
+    ("longest", "SELECT topic, i, max(n) AS n, arg_max(phrase, n) AS phrase FROM hits GROUP BY ALL"),
+    ("walk", """SELECT topic, i, n, phrase FROM longest WHERE i = 1
+UNION ALL SELECT l.topic, l.i, l.n, l.phrase FROM walk w JOIN longest l ON l.topic = w.topic AND l.i = w.i + w.n"""),
+    ("concepts", """SELECT topic, phrase, row_number() OVER (PARTITION BY topic ORDER BY begins) AS concept_pos
+FROM (SELECT topic, phrase, min(i) AS begins FROM walk GROUP BY ALL)"""),
+    ("terms", """SELECT topic, concept_pos, phrase AS term, 'tiab' AS kind, 0 AS o FROM concepts
+UNION ALL SELECT topic, concept_pos, synonym, 'all', 1 FROM concepts JOIN (SELECT DISTINCT phrase, synonym FROM thes) USING (phrase)
+WHERE synonym <> phrase"""),
+]
+
+
+@query("expand_phrases", fx.with_views(
+    "SELECT topic, concept_pos, row_number() OVER (PARTITION BY topic, concept_pos ORDER BY o, term) AS term_pos, term, kind "
+    "FROM terms", PHRASE_SQL, recursive=True))
+def q_expand_phrases(spark, sf):
+    from litgraph.operators.search import expand_phrases
+    df = expand_phrases(order_topics(spark, sf), phrase_thesaurus(spark, sf))
+    return df.select("topic", *_bigint("concept_pos", "term_pos"), "term", "kind")

@@ -129,3 +129,29 @@ def test_bm25_reads_the_documents_once(spark):
     # the part before the outer plan's first, not yet adapted version
     assert final[0].count("FileScan parquet") == 1
     assert "ReusedExchange" in final[0] + final[1]
+
+
+def test_expand_phrases_takes_the_longest_entry_from_the_left(spark):
+    from litgraph.operators.search import expand_phrases
+    thesaurus = spark.createDataFrame([
+        ("Heart attack", "myocardial infarction"), ("heart", "cor"), ("attack rate", "incidence"),
+        ("heart-attack risk score", "HARS"), ("drug", "agent"), ("drug", "DRUG"), ("!", "nothing"), ("a b", "x"), ("b c", "y")],
+        "term string, synonym string")
+    topics = spark.createDataFrame([
+        ("Heart attack rate",), ("heart attack risk score drug",), ("the heart, the attack rate; heart",), ("a b c",),
+        ("heart attack and heart attack",), ("",), (None,)], "topic string")
+    got = {}
+    for r in expand_phrases(topics, thesaurus).orderBy("topic", "concept_pos", "term_pos").collect():
+        got.setdefault(r.topic, {}).setdefault(r.concept_pos, []).append((r.term, r.kind))
+    tiab, all_ = "tiab", "all"
+    assert got == {
+        "Heart attack rate": {1: [("heart attack", tiab), ("myocardial infarction", all_)], 2: [("rate", tiab)]},
+        "heart attack risk score drug": {1: [("heart attack risk score", tiab), ("hars", all_)],
+                                         2: [("drug", tiab), ("agent", all_)]},
+        "the heart, the attack rate; heart": {1: [("the", tiab)], 2: [("heart", tiab), ("cor", all_)],
+                                              3: [("attack rate", tiab), ("incidence", all_)]},
+        "a b c": {1: [("a b", tiab), ("x", all_)], 2: [("c", tiab)]},
+        "heart attack and heart attack": {1: [("heart attack", tiab), ("myocardial infarction", all_)], 2: [("and", tiab)]},
+    }
+    empty = thesaurus.where("false")
+    assert [r.term for r in expand_phrases(topics.where("topic = 'a b c'"), empty).orderBy("concept_pos").collect()] == ["a", "b", "c"]
