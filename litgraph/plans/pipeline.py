@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from litgraph.operators import authors as au
 from litgraph.operators import cluster, graph, places, search, similarity, tables, vectors
 from litgraph.sources import records as rec
-from litgraph.session import checkpoint
+from litgraph.session import checkpoint, materialize
+from litgraph.sources import versions
 from litgraph.sources.records import flatten_documents  # noqa: F401  (M3)
 
 DEFAULT_THRESHOLD = 0.4
@@ -76,6 +77,38 @@ def author_profiles(records: DataFrame, papers: DataFrame, iso: DataFrame, gazet
     return au.merge_authors(placed, paper_order(rows))
 
 
+def publish_authors(records: DataFrame, iso: DataFrame, gazetteer: DataFrame, path: str) -> int:
+    """Author profiles of all records, kept as a version (S9): the tables
+    ``placed`` (authorship rows with places) and ``authors``."""
+    spark = records.sparkSession
+    placed = materialize(au.add_places(au.explode_authorship(records), iso, gazetteer), "placed")
+    authors = au.merge_authors(placed, paper_order(placed))
+    return versions.publish(spark, {"placed": placed, "authors": authors}, path)
+
+
+def refresh_authors(changed: DataFrame, iso: DataFrame, gazetteer: DataFrame, path: str,
+                    removed: DataFrame | None = None) -> int:
+    """The next version after some records were added or changed, or removed
+    (``removed``: column ``uid``).  Only names that an old or a new row of those
+    records carries are merged again; the result is that of ``publish_authors``
+    over all records as they are now."""
+    spark = changed.sparkSession
+    old = versions.load_version(spark, path)
+    fresh = materialize(au.add_places(au.explode_authorship(changed), iso, gazetteer), "fresh")
+    ids = changed.select(F.col("MedlineCitation.PMID._VALUE").alias("pubmedid"))
+    if removed is not None:
+        ids = ids.union(removed.select(F.col("uid").cast("string")))
+    ids = materialize(ids.distinct(), "ids")
+    gone = old["placed"].join(ids, "pubmedid", "left_semi")
+    names = materialize(gone.select("forename", "lastname").union(fresh.select("forename", "lastname"))
+                        .where("forename is not null and lastname is not null").distinct(), "names")
+    placed = materialize(old["placed"].join(ids, "pubmedid", "left_anti").unionByName(fresh), "placed")
+    touched = placed.join(names, ["forename", "lastname"], "left_semi")
+    authors = old["authors"].join(names, ["forename", "lastname"], "left_anti").unionByName(
+        au.merge_authors(touched, paper_order(touched)))
+    return versions.publish(spark, {"placed": placed, "authors": authors}, path)
+
+
 def author_table(authors: DataFrame) -> DataFrame:
     """M6."""
     return tables.author_table(authors)

@@ -54,6 +54,12 @@ def sql_city(aff: str) -> str:
     return sql_strip(f"string_split({aff}, ',')[-2]")
 
 
+def sql_plain_place(city: str, country: str) -> str:
+    def plain(x):
+        return f"nullif(trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '')"
+    return f"{plain(city)} || ', ' || {plain(country)}"
+
+
 PLACED_SQL = f"""SELECT a.*, coalesce(i.name, c.country0) AS country, c.city, g.latitude, g.longitude
 FROM (SELECT *, {sql_country('affiliation')} AS country0, {sql_city('affiliation')} AS city FROM affiliated) c
 JOIN affiliated a USING (pubmedid, author_pos, aff_pos)
@@ -849,6 +855,14 @@ def q_khop_neighbors(spark, sf):
     return df.select("seed", "node_id", F.col("hop").cast("bigint").alias("hop"))
 
 
+@query("khop_bitmaps", ORACLE["khop_neighbors"])
+def q_khop_bitmaps(spark, sf):
+    from litgraph.operators.graph import khop_bitmaps, undirected
+    edges = sim_edges(spark, sf)
+    seeds = undirected(edges).select(F.col("src").alias("seed"), F.col("src").alias("node_id")).distinct()
+    return khop_bitmaps(edges, seeds, KHOP).select("seed", "node_id", F.col("hop").cast("bigint").alias("hop"))
+
+
 BANDS = [4, 5]
 
 
@@ -968,6 +982,54 @@ def q_author_profiles(spark, sf):
     return merged_scalar(author_profiles(fx.records(spark, sf), fx.papers(spark, sf), fx.iso(spark), fx.gazetteer(spark)))
 
 
+@query("refreshed_authors", ORACLE["merge_authors"])
+def q_refreshed_authors(spark, sf):
+    """All records in two arrivals: those of finished orders are published, the
+    others come in a refresh."""
+    from litgraph.operators.authors import records_by_id
+    from litgraph.plans.pipeline import publish_authors, refresh_authors
+    from litgraph.session import scratch_path
+    from litgraph.sources.versions import load_version
+    path = scratch_path(spark, "profiles")
+    finished = F.col("o_orderstatus") == "F"
+    orders = fx.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("uid"), finished.alias("done"))
+    records = fx.records(spark, sf)
+    publish_authors(records_by_id(records, orders.where("done")), fx.iso(spark), fx.gazetteer(spark), path)
+    refresh_authors(records_by_id(records, orders.where("not done")), fx.iso(spark), fx.gazetteer(spark), path)
+    return merged_scalar(load_version(spark, path)["authors"])
+
+
+def misspelled(df):
+    """Authorship rows whose city and country are written in different ways."""
+    way = F.col("author_pos") % 5
+    return df.select("pubmedid", "author_pos", F.when(way == 1, F.upper("city")).when(way == 2, F.concat("city", F.lit("e")))
+                     .when(way == 3, F.concat(F.substring("city", 1, 1), F.expr("substring(city, 3)"))).otherwise(F.col("city")).alias("city"),
+                     F.when(way == 4, F.concat(F.lit("x"), "country")).when(way == 3, F.concat("country", F.lit("-")))
+                     .otherwise(F.col("country")).alias("country"))
+
+
+@query("geocode_similar", author_sql("""SELECT r.pubmedid, r.author_pos, r.city, r.country, m.latitude, m.longitude, m.distance
+FROM rows_in r LEFT JOIN best m ON m.city IS NOT DISTINCT FROM r.city AND m.country IS NOT DISTINCT FROM r.country""", [
+    ("rows_in", """SELECT pubmedid, author_pos, CASE author_pos % 5 WHEN 1 THEN upper(city) WHEN 2 THEN city || 'e'
+            WHEN 3 THEN substr(city, 1, 1) || substr(city, 3) ELSE city END AS city,
+       CASE author_pos % 5 WHEN 4 THEN 'x' || country WHEN 3 THEN country || '-' ELSE country END AS country FROM placed"""),
+    ("texts", f"""SELECT DISTINCT city, country, {sql_plain_place('city', 'country')} AS name FROM rows_in"""),
+    ("entries", f"SELECT *, {sql_plain_place('city', 'country')} AS name FROM gazetteer"),
+    ("near", """SELECT t.city, t.country, g.latitude, g.longitude, g.name,
+       CASE WHEN t.city = g.city AND t.country = g.country THEN 0 ELSE levenshtein(t.name, g.name) END AS distance,
+       t.city = g.city AND t.country = g.country AS same
+FROM texts t JOIN entries g ON (t.city = g.city AND t.country = g.country)
+  OR levenshtein(t.name, g.name) <= least(2, least(len(t.name), len(g.name)) // 4)"""),
+    ("best", """SELECT city, country, latitude, longitude, CAST(distance AS BIGINT) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY city, country ORDER BY same DESC, distance, name, latitude, longitude) AS r FROM near)
+WHERE r = 1""")]))
+def q_geocode_similar(spark, sf):
+    from litgraph.operators.placenames import geocode_similar
+    df = geocode_similar(misspelled(placed(spark, sf)), fx.gazetteer(spark))
+    return df.select("pubmedid", "author_pos", "city", "country", "latitude", "longitude",
+                     F.col("place_distance").cast("bigint").alias("distance"))
+
+
 def order_topics(spark, sf):
     """A topic per order: the names of its parts, one after the other."""
     li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")

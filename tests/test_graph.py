@@ -75,3 +75,29 @@ def test_compat_rule_loses_multi_paper_authors(spark):
     assert sorted((r.forename, r.pubmedid) for r in fixed.collect()) == [("Ann", "1"), ("Ann", "2"), ("Bo", "1")]
     assert sorted((r.forename, r.pubmedid) for r in literal.collect()) == [("Bo", "1")]
     assert g.fuse_by_research(authors, papers, compat=True).count() == 1
+
+
+def test_bitmaps_equal_khop_neighbors(spark):
+    """More than 64 seeds, seeds with several starts and outside the graph."""
+    import random
+    rnd = random.Random(8)
+    pairs = [(rnd.randrange(150), rnd.randrange(150)) for _ in range(190)]
+    edges = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "src long, dst long")
+    seeds = spark.createDataFrame([(f"s{i:03d}", i) for i in range(150)] + [("s003", 77), ("far", 999), ("s003", 3)],
+                                  "seed string, node_id long")
+    for k in (0, 1, 3):
+        want = {tuple(r) for r in g.khop_neighbors(edges, seeds.distinct(), k).select("seed", "node_id", "hop").collect()}
+        got = [tuple(r) for r in g.khop_bitmaps(edges, seeds, k).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_bitmap_rounds_have_a_row_a_node_and_word(spark, monkeypatch):
+    n = 128
+    edges = spark.range(n).crossJoin(spark.range(4).select((F.col("id") + 1).alias("d"))).select(
+        F.col("id").alias("src"), ((F.col("id") + F.col("d")) % n).alias("dst"))
+    seeds = spark.range(n).select(F.col("id").alias("seed"), F.col("id").alias("node_id"))
+    rows, keep = [], g.materialize
+    monkeypatch.setattr(g, "materialize", lambda df, name: (lambda out: rows.append((name, out.count())) or out)(keep(df, name)))
+    pairs = g.khop_bitmaps(edges, seeds, 3).groupBy("hop").count().collect()
+    most = max(r["count"] for r in pairs)
+    assert most > 900 and max(c for name, c in rows if name == "reached") <= 2 * n
