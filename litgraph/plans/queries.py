@@ -350,6 +350,8 @@ def sql_tokens(x: str) -> str:
     return TOKENS_SQL.format(x=x)
 
 
+BLANK_SQL = "' '"
+TEXT_ALL = "concat_ws(' ', Title, page_content, Published)"
 EDGE = "[^\\p{L}\\p{N}]"
 LETTER = "[\\p{L}\\p{N}]"
 
@@ -1030,6 +1032,35 @@ def q_geocode_similar(spark, sf):
                      F.col("place_distance").cast("bigint").alias("distance"))
 
 
+def benchmark_terms(spark, sf):
+    """Composed queries of the benchmark texts: every word is a concept; the word
+    after it, and that word with the next, stand in for it as synonyms."""
+    from litgraph.operators.search import expand_synonyms, tokenize
+    texts = fx.table(spark, sf, "benchmark").select(F.col("text").alias("topic"), tokenize("text").alias("t"))
+    after = texts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.struct(
+        F.get("t", i - 1).alias("term"), F.get("t", i).alias("one"), F.concat_ws(" ", F.get("t", i), F.get("t", i + 1)).alias("two")))).alias("x"))
+    thesaurus = after.select("x.term", F.explode(F.array("x.one", "x.two")).alias("synonym"))
+    return expand_synonyms(texts.select("topic").distinct(), thesaurus)
+
+
+@query("search_query_table", fx.with_views(
+    """SELECT topic, uid FROM hits JOIN sizes USING (topic) GROUP BY topic, uid, n HAVING count(DISTINCT word) = n""", [
+        ("bench", f"SELECT DISTINCT text AS topic, {sql_tokens('text')} AS t FROM benchmark"),
+        ("words", "SELECT DISTINCT topic, unnest(t) AS word FROM bench"),
+        ("sizes", "SELECT topic, count(*) AS n FROM words GROUP BY topic"),
+        ("thes", """SELECT DISTINCT t[i] AS word, t[i + 1] AS one, t[i + 2] AS two
+FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM bench)"""),
+        ("near", f"SELECT DISTINCT uid, unnest({sql_tokens(f'concat_ws({BLANK_SQL}, {BOTH})')}) AS w FROM papers"),
+        ("far", f"""SELECT DISTINCT uid, t[i] AS w, t[i + 1] AS after
+FROM (SELECT uid, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT uid, {sql_tokens(TEXT_ALL)} AS t FROM papers))"""),
+        ("hits", """SELECT DISTINCT topic, word, uid FROM words JOIN near ON w = word
+UNION SELECT topic, word, uid FROM words JOIN thes USING (word) JOIN far ON w = one
+UNION SELECT topic, word, uid FROM words JOIN thes USING (word) JOIN far ON w = one AND after = two""")]))
+def q_search_query_table(spark, sf):
+    from litgraph.operators.querytable import search_query_table
+    return search_query_table(fx.papers(spark, sf), benchmark_terms(spark, sf))
+
+
 def order_topics(spark, sf):
     """A topic per order: the names of its parts, one after the other."""
     li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
