@@ -59,11 +59,19 @@ def paper_link(uid) -> Column:
     return F.concat(F.lit(PAPER_LINK_PREFIX), _c(uid), F.lit("/"))
 
 
+def escape_html(text) -> Column:
+    """Text that shows as it is inside markup."""
+    out = _c(text)
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
 def popup_text(fore, last, affiliation) -> Column:
     """F8: ``<b>fore last</b>: affiliation`` (null parts print as 'None', as
-    Python formatting does)."""
+    Python formatting does).  The parts' own ``& < >`` are escaped."""
     def txt(c):
-        return F.coalesce(_c(c).cast("string"), F.lit("None"))
+        return escape_html(F.coalesce(_c(c).cast("string"), F.lit("None")))
     return F.concat(F.lit("<b>"), txt(fore), F.lit(" "), txt(last), F.lit("</b>: "), txt(affiliation))
 
 

@@ -13,7 +13,7 @@ from litgraph.functions.strings import LINK_HEADER, capitalize_header, paper_lin
 def require_rows(df: DataFrame, what: str = "documents") -> DataFrame:
     """An empty result is an error, not an empty table (one-row probe)."""
     if df.isEmpty():
-        raise ValueError(f"No {what} found. Please check your input and try again.")
+        raise ValueError(f"the result has no {what}")
     return df
 
 

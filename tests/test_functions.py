@@ -76,3 +76,10 @@ def test_country_codes_of_any_case_and_shape(spark):
     assert spark.sql(f"SELECT {_sql_string(chr(39) + 'a' + chr(92))} AS v").first().v == "'a\\"
     codes = {r.alpha3: r.name for r in country_codes(spark).collect()}
     assert len(codes) > 240 and codes["KOR"] == "South Korea" and codes["DEU"] == "Germany"
+
+
+def test_popups_are_escaped(spark):
+    from litgraph.functions.strings import popup_text
+    df = spark.createDataFrame([("A<b>", "O&M", "x > y & z"), (None, "B", None)], "f string, l string, a string")
+    got = [r.p for r in df.select(popup_text("f", "l", "a").alias("p")).collect()]
+    assert got == ["<b>A&lt;b&gt; O&amp;M</b>: x &gt; y &amp; z", "<b>None B</b>: None"]
