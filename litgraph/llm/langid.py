@@ -45,16 +45,48 @@ EFFECTIVE = 40
 #: Pages that a suffix's or host's prior is worth before its own pages count more.
 STRENGTH = 5.0
 
-_HIDDEN = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_HIDING = re.compile(r"<(script|style|noscript)\b|<!--", re.I)
+_HIDDEN_ENDS = {kind: re.compile(rf"</{kind}\s*>", re.I) for kind in ("script", "style", "noscript")} | {"": re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
 _ENTITY = re.compile(r"&#?\w+;")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+_ROOT = re.compile(r"<html\b", re.I)
+_DECLARED = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
+def _shown(html: str) -> str:
+    """A page without scripts, styles and comments.  An element that is never
+    closed hides nothing; its kind's end is looked for only once more."""
+    out, at, open_kinds = [], 0, set()
+    for m in _HIDING.finditer(html):
+        kind = (m[1] or "").lower()
+        if m.start() < at or kind in open_kinds:
+            continue
+        end = _HIDDEN_ENDS[kind].search(html, m.end())
+        if end is None:
+            open_kinds.add(kind)
+        else:
+            out += [html[at:m.start()], " "]
+            at = end.end()
+    return "".join([*out, html[at:]])
+
+
 def visible(html: str) -> str:
-    """Text of a page without markup, scripts and styles."""
-    return _ENTITY.sub(" ", _TAG.sub(" ", _HIDDEN.sub(" ", html)))
+    """Text of a page without markup, scripts and styles, in linear time."""
+    text = _shown(html)
+    tags = text.rfind(">") + 1      # behind it no tag can end
+    return _ENTITY.sub(" ", _TAG.sub(" ", text[:tags]) + text[tags:])
+
+
+def declared_language(html: str) -> str | None:
+    """The language that an ``html`` tag declares."""
+    at = 0
+    while m := _ROOT.search(html, at):
+        at = html.find(">", m.end())
+        at = len(html) if at < 0 else at
+        if found := _DECLARED.search(html, m.end(), at):
+            return found[1]
+    return None
 
 
 def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -113,7 +145,7 @@ def page_evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             html = ["" if h is None else h for h in batch.column(2).to_pylist()]
-            declared = [m[1].lower() if (m := _DECLARED.search(h)) else "" for h in html]
+            declared = [(declared_language(h) or "").lower() for h in html]
             hosts = [m[1].lower() if u and (m := _HOST.match(u)) else "" for u in batch.column(1).to_pylist()]
             ll = []
             for bucket, row, n in grams(pa.array([visible(h) for h in html], pa.large_string())):
