@@ -266,13 +266,26 @@ LEFT JOIN authorship a ON a.pubmedid = CAST(o.o_orderkey AS VARCHAR)
 WHERE CAST(o.o_orderkey AS VARCHAR) IN (SELECT uid FROM papers)
 GROUP BY ALL"""))
 def q_records_by_id(spark, sf):
-    recs = au.records_by_id(fx.records(spark, sf), fx.papers(spark, sf), "uid")
+    return record_heads(au.records_by_id(fx.records(spark, sf), fx.papers(spark, sf), "uid"))
+
+
+def record_heads(recs):
     return recs.select(
         F.col("MedlineCitation.PMID._VALUE").alias("pubmedid"),
         F.col("MedlineCitation.Article.ArticleTitle").alias("title"),
         F.size("MedlineCitation.Article.AuthorList.Author").cast("bigint").alias("n_authors"))
 
 
+@query("records_of_store", ORACLE["records_by_id"])
+def q_records_of_store(spark, sf):
+    """The records written to a store, and those of the papers read from it."""
+    from litgraph.session import scratch_path
+    from litgraph.sources.recordstore import records_of, save_records
+    path = scratch_path(spark, "records")
+    save_records(fx.records(spark, sf), path)
+    return record_heads(records_of(spark, path, fx.papers(spark, sf)))
+
+
 @query("dedupe_authors_first", author_sql(
     f"""SELECT forename, lastname, arg_min(affiliation, {SEQ_SQL}) AS affiliation,
        arg_min(pubmedid, {SEQ_SQL}) AS pubmedid, arg_min(country, {SEQ_SQL}) AS country,
