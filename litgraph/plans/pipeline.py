@@ -158,7 +158,7 @@ def similarity_network(authors: DataFrame, papers: DataFrame, mains: DataFrame,
     n_nodes = nodes.select(F.count(F.lit(1)).cast("double")).scalar()
     out_nodes = (nodes.join(clusters.withColumnRenamed("id", "node_id"), "node_id", "left")
                  .withColumn("color", graph.gradient_color(F.col("node_id"), n_nodes)))
-    return out_nodes, graph.edge_titles(graph_edges, out_nodes)
+    return out_nodes, graph.edge_titles(graph_edges, nodes)
 
 
 def run_all(documents_papers: DataFrame, records: DataFrame, iso: DataFrame, gazetteer: DataFrame,
