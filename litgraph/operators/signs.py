@@ -11,6 +11,12 @@ The sign of a random projection differs for two vectors with probability
   for a stated loss, are candidates;
 * candidates are checked by their exact cosine, so there are no false edges.
 
+Keys are not looked up row by row.  The vectors of a table with the same first
+bits of their keys are packed, a row for each batch of vectors, and compared in
+one task: sorted by the other bits, which are flipped there.  Only for the flips
+of a first bit a vector is sent to a second place, and the number of first bits
+keeps a place at about ``GROUP`` vectors.
+
 ``sign_tables`` chooses width and number from the threshold, the number of
 vectors and the wished recall, so that the rows shuffled and the pairs met are
 fewest.  A width grows with the logarithm of the number of vectors: at high
@@ -27,15 +33,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litgraph.functions.vectors import as_double, cosine_similarity
-from litgraph.session import checkpoint
-
 FILTER = 256            # bits compared for every pair that meets
 WORDS = FILTER // 64
 MAX_TABLES = 2000
+GROUP = 1 << 18         # vectors compared in one place, about
+_CHUNK = 1 << 19        # pairs whose bits are counted at once
 
 
 class SignTables(NamedTuple):
@@ -71,8 +78,21 @@ def sign_tables(n: int, threshold: float, recall: float) -> SignTables:
     return SignTables(best[1], best[2], distance)
 
 
-def _signatures(plan: SignTables, seed: int):
-    """Batches (id, vector) -> (id, four numbers of filter bits, keys)."""
+def _slices(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of each value of ``place``."""
+    order = np.argsort(place, kind="stable")
+    cuts = np.flatnonzero(np.diff(place[order])) + 1
+    for rows in np.split(order, cuts):
+        if len(rows):
+            yield int(place[rows[0]]), rows
+
+
+def _packed_keys(plan: SignTables, first: int, seed: int):
+    """Batches (id, vector) -> a row for each table and value of the keys'
+    first bits: ids, other bits, filter bits.  Rows that are not ``own`` have
+    one of the first bits flipped (to 1, so a pair meets once)."""
+    rest = plan.width - first
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions = None
         place = np.int64(1) << np.arange(plan.width, dtype=np.int64)
@@ -84,34 +104,102 @@ def _signatures(plan: SignTables, seed: int):
                 rng = np.random.default_rng(seed)
                 directions = rng.standard_normal((x.shape[1], FILTER + plan.width * plan.tables))
             bits = x @ directions > 0
-            words = np.packbits(bits[:, :FILTER], axis=1).view(np.int64)
+            words = np.packbits(bits[:, :FILTER], axis=1)
             keys = bits[:, FILTER:].reshape(len(x), plan.tables, plan.width) @ place
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(words[:, i]) for i in range(WORDS)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * plan.tables, pa.int32()), pa.array(keys.reshape(-1)))],
-                names=["id", *(f"s{i}" for i in range(WORDS)), "keys"])
+            for table in range(plan.tables):
+                high, low = keys[:, table] >> rest, keys[:, table] & ((1 << rest) - 1)
+                at = [(part, True, rows) for part, rows in _slices(high)]
+                flips = [np.flatnonzero(high >> i & 1 == 0) for i in range(first)]
+                sent = np.concatenate([np.zeros(0, np.int64), *flips])
+                to = np.concatenate([np.zeros(0, np.int64), *(high[f] | 1 << i for i, f in enumerate(flips))])
+                at += [(part, False, sent[rows]) for part, rows in _slices(to)]
+                index = np.concatenate([rows for _, _, rows in at])
+                offsets = pa.array(np.cumsum([0, *(len(rows) for _, _, rows in at)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([table] * len(at), pa.int32()), pa.array([p for p, _, _ in at], pa.int64()), pa.array([o for _, o, _ in at]),
+                     pa.ListArray.from_arrays(offsets, batch.column(0).take(pa.array(index))),
+                     pa.array([low[rows].tobytes() for _, _, rows in at], pa.binary()),
+                     pa.array([words[rows].tobytes() for _, _, rows in at], pa.binary())],
+                    names=["table", "part", "own", "ids", "keys", "words"])
+    return run
+
+
+def _ranges(left: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ``left[i]`` and the numbers from ``lo[i]`` to before ``hi[i]``, some at a time."""
+    counts = hi - lo
+    left, lo, counts = left[counts > 0], lo[counts > 0], counts[counts > 0]
+    total = np.cumsum(counts)
+    start = 0
+    while start < len(left):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + _CHUNK, "right")))
+        n = counts[start:end]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(left[start:end], n), np.repeat(lo[start:end], n) + inside
+        start = end
+
+
+def _met(plan: SignTables, first: int, limit: int):
+    """Rows of one table and part after the other, own ones first -> pairs that
+    meet there and differ in ``limit`` bits at most."""
+    rest = plan.width - first
+
+    def pairs(ids: pa.Array, keys: np.ndarray, words: np.ndarray, own: int) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(keys[:own], kind="stable")
+        k, probes = keys[order], np.arange(own, len(keys))
+        here = np.arange(own)
+        meetings = [(order, here + 1, np.searchsorted(k, k, "right")),
+                    (probes, np.searchsorted(k, keys[probes], "left"), np.searchsorted(k, keys[probes], "right"))]
+        for i in range(rest):
+            low = here[k >> i & 1 == 0]
+            other = k[low] | 1 << i
+            meetings.append((order[low], np.searchsorted(k, other, "left"), np.searchsorted(k, other, "right")))
+        for left, lo, hi in meetings:
+            for a, b in _ranges(left, lo, hi):
+                b = order[b]
+                differ = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int32)
+                near = differ <= limit
+                x, y = ids.take(pa.array(a[near])), ids.take(pa.array(b[near]))
+                before = pa.compute.less(x, y)
+                out = pa.RecordBatch.from_arrays(
+                    [pa.compute.if_else(before, x, y), pa.compute.if_else(before, y, x), pa.array(differ[near])],
+                    names=["src", "dst", "differ"])
+                yield out.filter(pa.compute.not_equal(x, y))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if any(own for own, *_ in held):
+                own = sum(len(ids) for is_own, ids, _, _ in held if is_own)
+                yield from pairs(pa.concat_arrays([ids for _, ids, _, _ in held]), np.concatenate([k for _, _, k, _ in held]),
+                                 np.concatenate([w for _, _, _, w in held]), own)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                here = (batch.column(0)[r].as_py(), batch.column(1)[r].as_py())
+                if here != at:
+                    yield from ended()
+                    at, held = here, []
+                held.append((batch.column(2)[r].as_py(), batch.column(3)[r].values,
+                             np.frombuffer(batch.column(4)[r].as_buffer(), np.int64),
+                             np.frombuffer(batch.column(5)[r].as_buffer(), np.int64).reshape(-1, WORDS)))
+        yield from ended()
     return run
 
 
 def sign_candidates(vectors: DataFrame, plan: SignTables, id_col: str = "id", vec_col: str = "embedding",
-                    seed: int = 42) -> tuple[DataFrame, DataFrame]:
+                    seed: int = 42, first: int = 0) -> tuple[DataFrame, DataFrame]:
     """``(met, candidates)``: pairs ``src < dst`` in the tables where they meet
     with their number of different bits, and the distinct ones within the
-    distance.  Vectors must be of one length and not zero."""
+    distance.  Vectors must be of one length and not zero.  ``first``: bits of a
+    key that name the place where it is compared."""
     kind = vectors.schema[id_col].dataType.simpleString()
-    signed = checkpoint(vectors.select(F.col(id_col).alias("id"), as_double(vec_col).alias("v")).mapInArrow(
-        _signatures(plan, seed), f"id {kind}, {', '.join(f's{i} long' for i in range(WORDS))}, keys array<long>"))
-    words = [f"s{i}" for i in range(WORDS)]
-    keyed = signed.select("id", *words, F.posexplode("keys").alias("table", "key"))
-    flipped = F.transform(F.sequence(F.lit(0), F.lit(plan.width - 1)),
-                          lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    a = keyed.select(F.col("id").alias("src"), *[F.col(w).alias(f"a{w}") for w in words], "table",
-                     F.explode(F.concat(F.array("key"), flipped)).alias("key"))
-    b = keyed.select(F.col("id").alias("dst"), *[F.col(w).alias(f"b{w}") for w in words], "table", "key")
-    differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words[1:]),
-                 F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
-    met = a.join(b, ["table", "key"]).where("src < dst").select("src", "dst", differ.alias("differ"))
-    return met, met.where(F.col("differ") <= plan.distance).select("src", "dst").distinct()
+    packed = vectors.select(F.col(id_col).alias("id"), as_double(vec_col).alias("v")).mapInArrow(
+        _packed_keys(plan, first, seed), f"table int, part long, own boolean, ids array<{kind}>, keys binary, words binary")
+    placed = packed.repartition("table", "part").sortWithinPartitions("table", "part", F.col("own").desc())
+
+    def met(limit: int) -> DataFrame:
+        return placed.mapInArrow(_met(plan, first, limit), f"src {kind}, dst {kind}, differ int")
+    return met(FILTER), met(plan.distance).select("src", "dst").distinct()
 
 
 def similarity_edges_signs(vectors: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding",
@@ -127,8 +215,10 @@ def similarity_edges_signs(vectors: DataFrame, threshold: float, id_col: str = "
         raise ValueError("the threshold must be between 0 and 1")
     usable = vectors.select(F.col(id_col).alias("id"), as_double(vec_col).alias("v")).where(
         F.exists("v", lambda x: x != 0))
-    plan = sign_tables(usable.count(), threshold, recall)
-    _, candidates = sign_candidates(usable, plan, "id", "v", seed)
+    n = usable.count()
+    plan = sign_tables(n, threshold, recall)
+    first = min(plan.width, max(0, math.ceil(math.log2(max(1, n) / GROUP))))
+    _, candidates = sign_candidates(usable, plan, "id", "v", seed, first)
     a = usable.select(F.col("id").alias("src"), F.col("v").alias("va"))
     b = usable.select(F.col("id").alias("dst"), F.col("v").alias("vb"))
     checked = candidates.join(a, "src").join(b, "dst").select("src", "dst", cosine_similarity("va", "vb").alias("similarity"))

@@ -16,6 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litgraph.operators.search import TOKEN_SPLIT, tokenize
+from litgraph.session import materialize
+
+
+def _dealt_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(_id, _t)``: tokens of texts dealt out by id, so that whatever is then
+    grouped by the id (and more) needs no other shuffle."""
+    dealt = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).repartition("_id")
+    return dealt.select("_id", tokenize("_t").alias("_t"))
 
 
 def tfidf_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -24,12 +32,16 @@ def tfidf_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Terms that stand in every document have weight 0 and no row, so a document
     of such terms only, or without a token, has none either.  Ids are unique.
+
+    Texts are dealt out by id, to count terms and to weigh them.  Rarities are a written table, a
+    row a term: where Spark can broadcast it, terms are weighed and lengths
+    added up in the tasks that hold the document.
     """
-    tf = (df.select(F.col(id_col).alias("_id"), F.explode(tokenize(text_col)).alias("term"))
+    tf = (_dealt_tokens(df, id_col, text_col).select("_id", F.explode("_t").alias("term"))
           .groupBy("_id", "term").agg(F.count(F.lit(1)).alias("_tf")))
     n_docs = df.select(F.count(F.lit(1)).cast("double")).scalar()
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).select(
-        "term", F.log((n_docs + 1) / (F.col("_df") + 1)).alias("_idf"))
+    idf = materialize(tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).select(
+        "term", F.log((n_docs + 1) / (F.col("_df") + 1)).alias("_idf")), "idf")
     raw = tf.join(idf, "term").withColumn("_w", F.col("_tf") * F.col("_idf")).where(F.col("_w") > 0)
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_id")))
     return raw.select(F.col("_id").alias(id_col), "term", (F.col("_w") / length).alias("weight"))
@@ -74,7 +86,7 @@ def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dims: int = 128) -
     """Dense vectors ``(<id_col>, embedding)`` of ``dims`` numbers without a
     vocabulary: a term adds ``1 + ln(tf)`` at a place and with a sign that its
     MD5 names.  Documents without tokens have no row."""
-    tf = (df.select(F.col(id_col).alias("_id"), F.explode(tokenize(text_col)).alias("_t"))
+    tf = (_dealt_tokens(df, id_col, text_col).select("_id", F.explode("_t").alias("_t"))
           .groupBy("_id", "_t").agg(F.count(F.lit(1)).alias("_tf")))
     name = F.md5(F.col("_t").cast("binary"))
     place = F.conv(F.substring(name, 1, 4), 16, 10).cast("int") % dims
