@@ -9,7 +9,10 @@ would find it.
 A pass over the documents per topic is not needed.  Every term is keyed by its
 rarest word, and every topic by its concept of the fewest papers: only papers
 that hold a key word of that concept are looked at, once for each topic, and
-only they are matched with the patterns of all concepts.
+only they are matched with the patterns of all concepts.  Topics go by a number;
+papers asked for are joined to their texts first and to the patterns, of which
+there is a row a topic, last, so nothing that is broadcast holds patterns or
+topic texts once for every paper.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litgraph.functions.predicates import NON_WORD
+from litgraph.operators.graph import dense_ids
 from litgraph.operators.search import tokenize
 from litgraph.session import materialize
 
@@ -50,7 +54,9 @@ def search_query_table(docs: DataFrame, terms: DataFrame, id_col: str = "uid") -
     has_mesh = "mesh" in docs.columns
     kind = F.when(F.col("kind").isin("all", "mesh"), F.col("kind")).otherwise("tiab")
     terms = materialize(terms.select("topic", "concept_pos", "term", kind.alias("kind"), F.array_distinct(tokenize("term")).alias("words"))
-                        .distinct(), "terms")
+                        .where("topic is not null").distinct(), "terms")
+    topics = materialize(dense_ids(terms.select("topic").distinct(), "topic", "n"), "topics")
+    terms = materialize(terms.join(topics, "topic").drop("topic"), "numbered")
     usable = terms.where(F.size("words") > 0)
     usable = usable if has_mesh else usable.where("kind <> 'mesh'")
     parts = [F.col(c).cast("string") for c in FIELDS["all"] if c in docs.columns]
@@ -60,18 +66,18 @@ def search_query_table(docs: DataFrame, terms: DataFrame, id_col: str = "uid") -
     held = materialize(docs.select(id_col, F.explode(F.array_distinct(tokenize(F.concat_ws(" ", *parts)))).alias("word"))
                        .join(vocab, "word", "left_semi"), "held")
     df = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    worded = usable.select("topic", "concept_pos", "term", "kind", F.explode("words").alias("word")).join(df, "word", "left").select(
-        "topic", "concept_pos", "term", "kind", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word").alias("key"))
-    keyed = worded.groupBy("topic", "concept_pos", "term", "kind").agg(F.min("key").alias("key"))
+    worded = usable.select("n", "concept_pos", "term", "kind", F.explode("words").alias("word")).join(df, "word", "left").select(
+        "n", "concept_pos", "term", "kind", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word").alias("key"))
+    keyed = worded.groupBy("n", "concept_pos", "term", "kind").agg(F.min("key").alias("key"))
     # a topic with a concept that has no usable term finds nothing
-    concepts = terms.select("topic", "concept_pos").distinct().join(
-        keyed.groupBy("topic", "concept_pos").agg(F.sum("key.df").alias("papers"), F.collect_set("key.word").alias("keys")),
-        ["topic", "concept_pos"], "left").fillna(0, ["papers"])
-    first = F.row_number().over(Window.partitionBy("topic").orderBy("papers", "concept_pos"))
-    rarest = concepts.withColumn("n", first).where("n = 1 and papers > 0").select("topic", F.explode("keys").alias("word"))
-    asked = materialize(rarest.join(held, "word").select("topic", id_col).distinct(), "asked")
-    patterns = (usable.groupBy("topic", "concept_pos").agg(*[_alternatives(k).alias(k) for k in ("tiab", "all", "mesh")])
-                .groupBy("topic").agg(F.collect_list(F.struct("tiab", "all", "mesh")).alias("concepts")))
+    concepts = terms.select("n", "concept_pos").distinct().join(
+        keyed.groupBy("n", "concept_pos").agg(F.sum("key.df").alias("papers"), F.collect_set("key.word").alias("keys")),
+        ["n", "concept_pos"], "left").fillna(0, ["papers"])
+    first = F.row_number().over(Window.partitionBy("n").orderBy("papers", "concept_pos"))
+    rarest = concepts.withColumn("_first", first).where("_first = 1 and papers > 0").select("n", F.explode("keys").alias("word"))
+    asked = materialize(rarest.join(held, "word").select("n", id_col).distinct(), "asked")
+    patterns = (usable.groupBy("n", "concept_pos").agg(*[_alternatives(k).alias(k) for k in ("tiab", "all", "mesh")])
+                .groupBy("n").agg(F.collect_list(F.struct("tiab", "all", "mesh")).alias("concepts")))
     texts = docs.select(id_col, *[F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in cols if c in docs.columns])).alias(f"_{k}")
                                   for k, cols in FIELDS.items()], *([F.col("mesh").alias("_mesh")] if has_mesh else []))
 
@@ -83,4 +89,5 @@ def search_query_table(docs: DataFrame, terms: DataFrame, id_col: str = "uid") -
         for h in hits[1:]:
             out = out | h
         return out
-    return asked.join(patterns, "topic").join(texts, id_col).where(F.forall("concepts", met)).select("topic", id_col)
+    found = asked.join(texts, id_col).join(patterns, "n").where(F.forall("concepts", met)).select("n", id_col)
+    return found.join(topics, "n").select("topic", id_col)
