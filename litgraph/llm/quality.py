@@ -4,7 +4,7 @@ The verdict is a hashed n-gram log-likelihood ratio.  N-grams are the lower-
 case words (n = 1) and the pairs of neighbouring word endings of three
 characters (n = 2), each hashed into ``BUCKETS`` buckets.  Two multinomials
 are counted: the raw corpus, over all documents, and the trusted target, over
-a bounded sample of the documents labelled good.  A document's score is the
+all documents labelled good but those held out.  A document's score is the
 mean over its n-grams of log P(target) - log P(raw), so length does not
 matter.
 
@@ -29,11 +29,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litgraph.llm.common import materialize
+from litgraph.llm.common import materialize, numbered
 
 BUCKETS = 1 << 13
-#: Bound on the trusted documents (those of the lowest id hashes).
-TRUSTED = 20_000
 KEEP = 0.995
 SMOOTH = 1.0
 SYMBOLS = "#*$%&|<>"
@@ -99,20 +97,20 @@ def _grams(words: str) -> str:
             substring({words}[i], -3, 3), substring({words}[i + 1], -3, 3)), {BUCKETS}L)) ELSE {NONE} END)"""
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """``(doc_id, held)`` of the trusted documents, ``bound`` at most; a quarter
-    is held out of the target counts."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """``(doc_id, held)`` of all trusted documents; a quarter is held out of the
+    target counts."""
     return (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
             .where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-            .where("q = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-            .select("doc_id", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0).alias("held")))
+            .where("q = 1").select("doc_id", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0).alias("held")))
 
 
 def weights(rows: DataFrame, trusted: DataFrame) -> list[float] | None:
     """log P(target) - log P(raw) of each bucket; None without a target."""
     target = trusted.where("not held").select(F.col("doc_id"), F.lit(1).alias("t"))
-    grams = rows.select("doc_id", "words").join(F.broadcast(target), "doc_id", "left").select(
-        F.coalesce("t", F.lit(0)).alias("t"), F.explode(F.expr(_grams("words"))).alias("b"))
+    # texts are joined, not the longer words
+    marked = rows.select("doc_id", "text").join(target, "doc_id", "left").withColumn("words", words_of(F.col("text")))
+    grams = marked.select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(F.expr(_grams("words"))).alias("b"))
     got = grams.groupBy("b").agg(F.count("*").alias("r"), F.sum("t").alias("t")).collect()  # 2 * BUCKETS at most
     raw, good = [0] * (2 * BUCKETS), [0] * (2 * BUCKETS)
     for x in got:
@@ -139,15 +137,27 @@ def with_score(rows: DataFrame, table: list[float] | None) -> DataFrame:
     return rows.withColumn("score", F.round(total / n, 9))
 
 
+def exact_percentile(scores: DataFrame, share: float) -> float | None:
+    """The percentile of all ``score`` values, between neighbours by their
+    distance; values are ranged over tasks, two of them reach the driver."""
+    ranked = numbered(scores, F.col("score"))
+    n = ranked.count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    low, high = math.floor(at), math.ceil(at)
+    ends = {r["n"]: r["score"] for r in ranked.where(F.col("n").isin(low + 1, high + 1)).select("n", "score").collect()}
+    return ends[low + 1] if low == high else (high - at) * ends[low + 1] + (at - low) * ends[high + 1]
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_words``, base measures, ``base_failed, kept, score`` per row."""
     rows = with_words(docs)
     trusted = materialize(trusted_ids(labels), "trusted")
     scored = materialize(with_score(measure(rows), weights(rows, trusted)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"), "quality")
-    held = scored.join(F.broadcast(trusted.where("held")), "doc_id").where("score is not null and n_words > 0")
-    # TRUSTED / 4 rows or so, and never above TRUSTED: the percentile is exact
-    limit = held.agg(F.expr(f"percentile(score, {1 - KEEP})")).first()[0]
+    held = scored.join(trusted.where("held"), "doc_id").where("score is not null and n_words > 0")
+    limit = exact_percentile(held.select("score"), 1 - KEEP)
     good = F.lit(True) if limit is None else F.coalesce(F.col("score") >= F.lit(float(limit)), F.lit(True))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select(
