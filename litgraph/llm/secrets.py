@@ -15,9 +15,9 @@ the Wald-Wolfowitz runs test around the middle value, and the lag-1 serial
 correlation.  The score is the sum of the squared standardised statistics (of
 chi-squared the upper side only): about 2.5 for random strings.
 
-**False-discovery control by length.**  Every document gives one stretch of
-ordinary letters per length stratum, at a place chosen by its hash, scored in
-the same way: the null sample of that stratum.  The share of nulls among the
+**False-discovery control by length.**  The letters of every whole document are
+cut into stretches of the strata's lengths in turn, scored in the same way: the
+nulls of each stratum.  The share of nulls among the
 candidates is estimated from those with scores above ``TAIL`` (Storey's
 estimate), and the largest score bound is taken at which the estimated false-
 discovery rate is at most ``FDR``; short strings, which words resemble, thus
@@ -29,7 +29,7 @@ Positions are code points, the end exclusive.
 
 Defined results: a null text is an empty one, without spans.  Rows with null
 ids and repeated rows are scanned like others; other columns are ignored.  An
-empty table gives no rows; with too few documents for a null sample nothing is
+empty table gives no rows; with too few letters for nulls nothing is
 accepted beyond the base kinds.
 """
 
@@ -183,13 +183,73 @@ def tested_runs(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(RUN)), F.filter(spans, lambda r: r["enc"].isNotNull())).otherwise(none)
 
 
-def null_scores(text: Column) -> Column:
-    """Score of a stretch of the text's letters for each stratum (null: too short)."""
-    place = F.pmod(F.xxhash64(text), F.greatest(F.length(text), F.lit(1))).cast("int") + 1
-    letters = F.lower(F.regexp_replace(F.substring(text, place, F.lit(2 * STRATA[-1])), "[^A-Za-z]", ""))
-    return let(letters, lambda s: F.transform(
-        F.array(*[F.lit(x) for x in STRATA]),
-        lambda n: F.when(F.length(s) >= n, F.round(let(_values(F.substring(s, F.lit(1), n), "word"), lambda u: battery(u)), 6))))
+def _letter_score(n: int, s: Column, u: Column, following: Column) -> Column:
+    """``battery`` of ``n`` lower-case letters ``s`` with codes ``u`` and products
+    of neighbouring codes: by counts of what is left when letters are taken out,
+    and by sums, as whole texts pass through here."""
+    k = 16 if n >= 64 else 8 if n >= 32 else 4
+    signs = ALPHABETS["hex"][:k]
+    groups = "".join(signs[int((i + 0.5) / 26 * k)] for i in range(26))
+    without = lambda t, c: F.length(F.replace(t, F.lit(c)))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+
+    def chi(t: Column) -> Column:
+        taken = [n - without(t, c) for c in signs]
+        squares = sum((F.pow(x.cast("double"), F.lit(2.0)) for x in taken), F.lit(0.0))
+        return F.pow(F.greatest((squares * k / n - n - k + 1) / F.sqrt(F.lit(2.0 * (k - 1))), F.lit(0.0)), F.lit(2.0))
+
+    def runs(t: Column) -> Column:
+        turns = (2 * n - without(t, "lh") - without(t, "hl")) / 2
+
+        def of(high: Column) -> Column:
+            mean = 2 * high * (n - high) / n + 1
+            var = (mean - 1) * (mean - 2) / (n - 1)
+            return F.when(var > 0, F.pow(turns + 1 - mean, F.lit(2.0)) / var).otherwise(F.lit(float(n)))
+        return let((n - without(t, "h")).cast("double"), of)
+
+    def serial(x: Column) -> Column:
+        def of(whole: Column) -> Column:
+            mean = whole / n
+            around = F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y) - whole * mean
+            both = total(following) - mean * (2 * whole - F.get(x, F.lit(0)) - F.get(x, F.lit(n - 1))) + (n - 1) * mean * mean
+            # codes are whole numbers: below this all letters are the same
+            return F.when(around > 1e-6, F.pow(both / around, F.lit(2.0)) * n).otherwise(F.lit(float(n)))
+        return let(total(x), of)
+
+    return (let(F.translate(s, ALPHABETS["word"], groups), chi)
+            + let(F.translate(s, ALPHABETS["word"], "l" * 13 + "h" * 13), runs) + let(u, serial))
+
+
+def _bin(score: Column) -> Column:
+    return F.least(F.floor(score / WIDTH), F.lit(BINS - 1)).cast("int")
+
+
+def null_bins(text: Column) -> Column:
+    """``stratum * BINS + bin`` of all stretches that the text's letters are cut
+    into, of the strata's lengths in turn; what is left at the end is too short
+    for its stratum."""
+    letters = F.lower(F.regexp_replace(text, "[^A-Za-z]+", ""))
+
+    def of(s: Column, codes: Column, products: Column) -> Column:
+        def turn(i: Column) -> Column:
+            out, at = [], 0
+            for stratum, n in enumerate(STRATA):
+                place = i * sum(STRATA) + at
+                here = _letter_score(n, F.substring(s, place + 1, F.lit(n)), F.slice(codes, place + 1, F.lit(n)),
+                                     F.slice(products, place + 1, F.lit(n - 1)))
+                out.append(F.when(F.length(s) >= place + n, F.lit(stratum * BINS) + _bin(F.round(here, 6))))
+                at += n
+            return F.array_compact(F.array(*out))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.length(s) / sum(STRATA)).cast("int")), turn))
+
+    def with_products(s: Column, codes: Column) -> Column:
+        products = F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda x, y: x * y)
+        return let(products, lambda p: of(s, codes, p))
+
+    def with_codes(s: Column) -> Column:
+        codes = F.transform(F.array_remove(F.split(s, ""), ""), lambda c: (F.ascii(c) - 97).cast("double"))
+        return let(codes, lambda c: with_products(s, c))
+    return let(letters, with_codes)
 
 
 def _stratum(length: Column) -> Column:
@@ -199,11 +259,10 @@ def _stratum(length: Column) -> Column:
 def bounds(found: DataFrame) -> list[float]:
     """Score bound of each length stratum (below 0: nothing is accepted), from
     the columns ``runs`` and ``nulls`` of all documents."""
-    binned = lambda x: F.least(F.floor(x / WIDTH), F.lit(BINS - 1)).cast("int").alias("bin")
     cands = found.select(F.explode("runs").alias("r")).select(
-        _stratum(F.col("r.end") - F.col("r.start")).alias("stratum"), F.lit(False).alias("null"), binned(F.col("r.score")))
-    nulls = found.select(F.posexplode("nulls").alias("stratum", "x")).where("x is not null").select(
-        "stratum", F.lit(True).alias("null"), binned(F.col("x")))
+        _stratum(F.col("r.end") - F.col("r.start")).alias("stratum"), F.lit(False).alias("null"), _bin(F.col("r.score")).alias("bin"))
+    nulls = found.select(F.explode("nulls").alias("x")).select(
+        F.floor(F.col("x") / BINS).cast("int").alias("stratum"), F.lit(True).alias("null"), (F.col("x") % BINS).alias("bin"))
     seen = {(x["stratum"], x["null"], x["bin"]): x["n"] for x in cands.union(nulls).groupBy(
         "stratum", "null", "bin").agg(F.count("*").alias("n")).collect()}
     out = []
@@ -256,7 +315,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id", base_spans(F.col("text")).alias("base"), tested_runs(F.col("text")).alias("runs"),
-        null_scores(F.col("text")).alias("nulls"))
+        null_bins(F.col("text")).alias("nulls"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
