@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litgraph.functions.predicates import DEFAULT_FIELDS, boolean_predicate, parse_term
+from litgraph.session import materialize
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 K1 = 1.2
@@ -202,19 +203,23 @@ def expand_phrases(topics: DataFrame, thesaurus: DataFrame, topic_col: str = "to
 
     Entries and topics are compared by their words.  Every run of words of a
     topic, up to the longest entry's number, is joined to the entries; the cover
-    is folded over a topic's matches in order.
+    is folded over a topic's matches in order.  Topics are dealt out once: the
+    entries are a written table, a row a phrase, so where Spark can broadcast it
+    all later steps stay in the tasks that hold the topic.
     """
     def phrase(words: Column) -> Column:
         return F.array_join(words, " ")
     entries = thesaurus.select(phrase(tokenize("term")).alias("phrase"), F.size(tokenize("term")).alias("_n"),
                                F.lower("synonym").alias("synonym")).where("_n > 0")
+    entries = materialize(entries.groupBy("phrase").agg(
+        F.max("_n").alias("_n"), F.array_sort(F.collect_set("synonym")).alias("_s")), "entries")
     longest = entries.agg(F.max("_n")).first()[0] or 1
-    words = topics.select(F.col(topic_col).alias("topic"), tokenize(topic_col).alias("_t")).distinct().where(F.size("_t") > 0)
+    words = topics.select(F.col(topic_col).alias("topic")).distinct().select("topic", tokenize("topic").alias("_t")).where(F.size("_t") > 0)
     starts = words.select("topic", "_t", F.explode(F.sequence(F.lit(0), F.size("_t") - 1)).alias("start"))
     runs = starts.select("topic", "start", "_t", F.explode(F.sequence(
         F.lit(1), F.least(F.lit(longest), F.size("_t") - F.col("start")))).alias("len"))
     runs = runs.select("topic", "start", "len", phrase(F.slice("_t", F.col("start") + 1, F.col("len"))).alias("phrase"))
-    known = entries.select("phrase", F.lit(True).alias("_known")).distinct()
+    known = entries.select("phrase", F.lit(True).alias("_known"))
     hits = runs.join(known, "phrase", "left").where(F.col("_known") | (F.col("len") == 1))
     none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,phrase:string>>").alias("kept"))
 
@@ -228,11 +233,12 @@ def expand_phrases(topics: DataFrame, thesaurus: DataFrame, topic_col: str = "to
     covered = found.select("topic", F.explode(F.aggregate("_h", none, cover)["kept"]).alias("c"))
     first = covered.groupBy("topic", F.col("c.phrase").alias("phrase")).agg(F.min("c.start").alias("start"))
     concepts = first.withColumn("concept_pos", F.row_number().over(Window.partitionBy("topic").orderBy("start")))
-    own = concepts.select("topic", "concept_pos", F.col("phrase").alias("term"), F.lit("tiab").alias("kind"), F.lit(0).alias("_o"))
-    others = concepts.join(entries.select("phrase", "synonym").distinct(), "phrase").where("synonym <> phrase").select(
-        "topic", "concept_pos", F.col("synonym").alias("term"), F.lit("all").alias("kind"), F.lit(1).alias("_o"))
-    w = Window.partitionBy("topic", "concept_pos").orderBy("_o", "term")
-    return own.unionByName(others).select("topic", "concept_pos", F.row_number().over(w).alias("term_pos"), "term", "kind")
+    named = concepts.join(entries.select("phrase", "_s"), "phrase", "left")
+    term = lambda t, kind: F.struct(t.alias("term"), F.lit(kind).alias("kind"))
+    others = F.filter(F.coalesce("_s", F.array().cast("array<string>")), lambda s: s != F.col("phrase"))
+    terms = F.concat(F.array(term(F.col("phrase"), "tiab")), F.transform(others, lambda s: term(s, "all")))
+    return named.select("topic", "concept_pos", F.posexplode(terms).alias("_i", "x")).select(
+        "topic", "concept_pos", (F.col("_i") + 1).alias("term_pos"), "x.term", "x.kind")
 
 
 def concept_groups(terms: DataFrame) -> DataFrame:
