@@ -45,9 +45,10 @@ def read_records_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_records_xml(records: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write records back as XML (the shape the reader expects)."""
+    """Write records back as XML (the shape the reader expects), compressed: tags
+    and indentation are most of the text."""
     (records.write.format("xml").option("rowTag", ROW_TAG).option("rootTag", ROOT_TAG)
-     .mode(mode).save(path))
+     .option("compression", "gzip").mode(mode).save(path))
 
 
 def build_records(authorship: DataFrame, paper_ids: DataFrame,
