@@ -44,12 +44,12 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     of loops only, and one of ``vertices`` (column ``id``) without an edge, is
     its own component.  Rounds go on until no edge is left (no cap).
     """
-    ends = edges.select("src", "dst")
+    # written as given: repeated edges cost less than a shuffle to find them
+    ends = materialize(edges.select("src", "dst"), "edges")
     verts = ends.select(F.col("src").alias("id")).unionByName(ends.select(F.col("dst").alias("id")))
     if vertices is not None:
         verts = verts.unionByName(vertices.select("id"))
-    left = materialize(ends.where("src <> dst").select(
-        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
+    left = ends.where("src <> dst")
     rounds: list[DataFrame] = []
     while not left.isEmpty():
         n = len(rounds)
@@ -88,7 +88,7 @@ def dbscan(points: DataFrame, neighbor_pairs: DataFrame, min_samples: int = 2) -
     core = pts.filter(F.col("_deg") + 1 >= min_samples).select("id")
     core_edges = (sym.join(core.withColumnRenamed("id", "src"), "src", "left_semi")
                   .join(core.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    comp = connected_components(core_edges, core)
+    comp = connected_components(core_edges.where("src < dst"), core)  # each edge is there both ways
     numbers = dense_ids(comp.select("component").distinct(), "component", "cluster")
     core_cluster = comp.join(numbers, "component").select("id", "cluster")
     border = (sym.join(core.withColumnRenamed("id", "src"), "src", "left_anti")
