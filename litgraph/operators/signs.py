@@ -181,7 +181,7 @@ def _met(plan: SignTables, first: int, limit: int):
                     at, held = here, []
                 held.append((batch.column(2)[r].as_py(), batch.column(3)[r].values,
                              np.frombuffer(batch.column(4)[r].as_buffer(), np.int64),
-                             np.frombuffer(batch.column(5)[r].as_buffer(), np.int64).reshape(-1, WORDS)))
+                             np.frombuffer(batch.column(5)[r].as_buffer(), np.uint64).reshape(-1, WORDS)))
         yield from ended()
     return run
 
