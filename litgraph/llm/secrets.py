@@ -36,6 +36,7 @@ accepted beyond the base kinds.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,10 +184,9 @@ def tested_runs(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(RUN)), F.filter(spans, lambda r: r["enc"].isNotNull())).otherwise(none)
 
 
-def _letter_score(n: int, s: Column, u: Column, following: Column) -> Column:
-    """``battery`` of ``n`` lower-case letters ``s`` with codes ``u`` and products
-    of neighbouring codes: by counts of what is left when letters are taken out,
-    and by sums, as whole texts pass through here."""
+def _letter_score(n: int, s: Column) -> Column:
+    """``battery`` of ``n`` lower-case letters, by counts of what is left when
+    letters are taken out: whole texts pass through here."""
     k = 16 if n >= 64 else 8 if n >= 32 else 4
     signs = ALPHABETS["hex"][:k]
     groups = "".join(signs[int((i + 0.5) / 26 * k)] for i in range(26))
@@ -207,17 +207,16 @@ def _letter_score(n: int, s: Column, u: Column, following: Column) -> Column:
             return F.when(var > 0, F.pow(turns + 1 - mean, F.lit(2.0)) / var).otherwise(F.lit(float(n)))
         return let((n - without(t, "h")).cast("double"), of)
 
-    def serial(x: Column) -> Column:
-        def of(whole: Column) -> Column:
-            mean = whole / n
-            around = F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y) - whole * mean
-            both = total(following) - mean * (2 * whole - F.get(x, F.lit(0)) - F.get(x, F.lit(n - 1))) + (n - 1) * mean * mean
-            # codes are whole numbers: below this all letters are the same
-            return F.when(around > 1e-6, F.pow(both / around, F.lit(2.0)) * n).otherwise(F.lit(float(n)))
-        return let(total(x), of)
+    def serial(u: Column) -> Column:
+        def of(mean: Column) -> Column:
+            around = F.aggregate(u, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+            both = total(F.zip_with(F.slice(u, 1, n - 1), F.slice(u, 2, n - 1), lambda x, y: (x - mean) * (y - mean)))
+            return F.when(around > 0, F.pow(both / around, F.lit(2.0)) * n).otherwise(F.lit(float(n)))
+        return let(total(u) / n, of)
 
+    codes = F.transform(F.array_remove(F.split(s, ""), ""), lambda c: F.ascii(c).cast("double"))
     return (let(F.translate(s, ALPHABETS["word"], groups), chi)
-            + let(F.translate(s, ALPHABETS["word"], "l" * 13 + "h" * 13), runs) + let(u, serial))
+            + let(F.translate(s, ALPHABETS["word"], "l" * 13 + "h" * 13), runs) + let(codes, serial))
 
 
 def _bin(score: Column) -> Column:
@@ -230,26 +229,19 @@ def null_bins(text: Column) -> Column:
     for its stratum."""
     letters = F.lower(F.regexp_replace(text, "[^A-Za-z]+", ""))
 
-    def of(s: Column, codes: Column, products: Column) -> Column:
+    scored = [partial(_letter_score, n) for n in STRATA]
+
+    def of(s: Column) -> Column:
         def turn(i: Column) -> Column:
             out, at = [], 0
             for stratum, n in enumerate(STRATA):
                 place = i * sum(STRATA) + at
-                here = _letter_score(n, F.substring(s, place + 1, F.lit(n)), F.slice(codes, place + 1, F.lit(n)),
-                                     F.slice(products, place + 1, F.lit(n - 1)))
+                here = let(F.substring(s, place + 1, F.lit(n)), scored[stratum])
                 out.append(F.when(F.length(s) >= place + n, F.lit(stratum * BINS) + _bin(F.round(here, 6))))
                 at += n
             return F.array_compact(F.array(*out))
         return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.length(s) / sum(STRATA)).cast("int")), turn))
-
-    def with_products(s: Column, codes: Column) -> Column:
-        products = F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda x, y: x * y)
-        return let(products, lambda p: of(s, codes, p))
-
-    def with_codes(s: Column) -> Column:
-        codes = F.transform(F.array_remove(F.split(s, ""), ""), lambda c: (F.ascii(c) - 97).cast("double"))
-        return let(codes, lambda c: with_products(s, c))
-    return let(letters, with_codes)
+    return let(letters, of)
 
 
 def _stratum(length: Column) -> Column:
