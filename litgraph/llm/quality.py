@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from litgraph.llm.common import materialize, numbered
 
 BUCKETS = 1 << 13
+#: Words of 64 bits of the filter of trusted ids: 2 MB, whatever the input.
+FILTER_WORDS = 1 << 18
 KEEP = 0.995
 SMOOTH = 1.0
 SYMBOLS = "#*$%&|<>"
@@ -105,12 +107,34 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
             .where("q = 1").select("doc_id", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0).alias("held")))
 
 
+def _place(doc_id: Column) -> tuple[Column, Column]:
+    """Word and bit of an id in the filter."""
+    h = F.xxhash64(F.lit("filter"), doc_id)
+    return F.pmod(h, F.lit(FILTER_WORDS)), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+
+
+def marked(rows: DataFrame, target: DataFrame) -> DataFrame:
+    """``(t, text)`` per row: t is 1 for the ids in ``target`` (each once), else 0.
+
+    A bitmap of fixed size, with a bit set for each id, goes to all tasks.  Rows
+    whose bit is not set are surely not in the target and stay where they are;
+    the texts of the others are dealt out by id and joined, at any size."""
+    word, bit = _place(F.col("doc_id"))
+    own = target.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("x"))
+    every = target.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("x"))
+    bits = materialize(own.union(every).groupBy("w").agg(F.bit_or("x").alias("bits")), "filter")
+    placed = rows.select("doc_id", "text", word.alias("w"), bit.alias("b")).join(F.broadcast(bits), "w")
+    maybe = F.getbit("bits", F.col("b")) == 1
+    found = placed.where(maybe).select("doc_id", "text").join(
+        target.select("doc_id", F.lit(1).alias("t")).hint("merge"), "doc_id", "left")
+    return placed.where(~maybe).select(F.lit(0).alias("t"), "text").union(
+        found.select(F.coalesce("t", F.lit(0)).alias("t"), "text"))
+
+
 def weights(rows: DataFrame, trusted: DataFrame) -> list[float] | None:
     """log P(target) - log P(raw) of each bucket; None without a target."""
-    target = trusted.where("not held").select(F.col("doc_id"), F.lit(1).alias("t"))
-    # texts are joined, not the longer words
-    marked = rows.select("doc_id", "text").join(target, "doc_id", "left").withColumn("words", words_of(F.col("text")))
-    grams = marked.select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(F.expr(_grams("words"))).alias("b"))
+    each = marked(rows, trusted.where("not held").select("doc_id")).withColumn("words", words_of(F.col("text")))
+    grams = each.select("t", F.explode(F.expr(_grams("words"))).alias("b"))
     got = grams.groupBy("b").agg(F.count("*").alias("r"), F.sum("t").alias("t")).collect()  # 2 * BUCKETS at most
     raw, good = [0] * (2 * BUCKETS), [0] * (2 * BUCKETS)
     for x in got:
