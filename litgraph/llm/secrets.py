@@ -35,8 +35,8 @@ accepted beyond the base kinds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
+from collections.abc import Callable, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +67,8 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
     "word": "abcdefghijklmnopqrstuvwxyz",
 }
+#: The lowest bit of each byte of a number.
+BYTES = 0x0101010101010101
 SPANS = "array<struct<start:int,end:int,kind:string,hit:string>>"
 
 
@@ -75,6 +77,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def number(values: list[Column], body: Callable[..., Column]) -> Column:
+    """``let`` of several values for a double.  A fold does not look through its
+    body's types for each row, as Spark does for nested ``let``."""
+    return F.aggregate(F.array(F.array(*values)), F.lit(0.0),
+                       lambda _, x: body(*[F.get(x, F.lit(i)) for i in range(len(values))]))
+
+
 def _none() -> Column:
     return F.array().cast(SPANS)
 
@@ -184,39 +193,74 @@ def tested_runs(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(RUN)), F.filter(spans, lambda r: r["enc"].isNotNull())).otherwise(none)
 
 
-def _letter_score(n: int, s: Column) -> Column:
-    """``battery`` of ``n`` lower-case letters, by counts of what is left when
-    letters are taken out: whole texts pass through here."""
+def _at_least(planes: Sequence[Column], t: int) -> Column:
+    """The letters whose code, held in bit planes, is ``t`` (above 0) or more."""
+    out = None
+    for j, plane in enumerate(planes):
+        if t >> j & 1:
+            out = plane if out is None else plane.bitwiseAND(out)
+        elif out is not None:
+            out = plane.bitwiseOR(out)
+    return out
+
+
+def _letter_score(n: int, *word: Column) -> Column:
+    """``battery`` of ``n`` letters, given as codes from 1 in the bytes of
+    ``word``.  Whole texts pass through here, so letters are not looked at one
+    by one: bit ``j`` of all codes is gathered in one number, plane ``j`` (letter
+    ``8 i + p`` at bit ``8 (7 - p) + i``), and counts and sums are sums of bit
+    counts of planes."""
     k = 16 if n >= 64 else 8 if n >= 32 else 4
-    signs = ALPHABETS["hex"][:k]
-    groups = "".join(signs[int((i + 0.5) / 26 * k)] for i in range(26))
-    without = lambda t, c: F.length(F.replace(t, F.lit(c)))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    both = lambda a, b: F.bit_count(a.bitwiseAND(b))
+    add = lambda parts: reduce(Column.__add__, parts)
 
-    def chi(t: Column) -> Column:
-        taken = [n - without(t, c) for c in signs]
-        squares = sum((F.pow(x.cast("double"), F.lit(2.0)) for x in taken), F.lit(0.0))
-        return F.pow(F.greatest((squares * k / n - n - k + 1) / F.sqrt(F.lit(2.0 * (k - 1))), F.lit(0.0)), F.lit(2.0))
+    def plane(j: int) -> Column:
+        bits = [F.shiftright(w, j).bitwiseAND(F.lit(BYTES)) for w in word]
+        return reduce(Column.bitwiseOR, [bits[0], *(F.shiftleft(x, i) for i, x in enumerate(bits) if i)])
 
-    def runs(t: Column) -> Column:
-        turns = (2 * n - without(t, "lh") - without(t, "hl")) / 2
+    def chi(planes: Sequence[Column]) -> Column:
+        firsts = [next(i for i in range(26) if int((i + 0.5) / 26 * k) >= g) for g in range(1, k)]
+        above = [F.lit(n), *[F.bit_count(_at_least(planes, i + 1)) for i in firsts], F.lit(0)]
+
+        def of(*a: Column) -> Column:
+            squares = add([F.pow((a[g] - a[g + 1]).cast("double"), F.lit(2.0)) for g in range(k)])
+            return F.pow(F.greatest((squares * k / n - n - k + 1) / F.sqrt(F.lit(2.0 * (k - 1))), F.lit(0.0)), F.lit(2.0))
+        return number(above, of)
+
+    def following(plane: Column) -> Column:
+        """The plane of the letters that follow; 0 after the last."""
+        return F.shiftleft(plane, 8).bitwiseOR(F.shiftrightunsigned(plane, 57))
+
+    def runs(high: Column) -> Column:
+        # all but the last letter, which nothing follows
+        pairs = [8 * (7 - i % 8) + i // 8 for i in range(n - 1)]
+        mask = sum(1 << x for x in pairs)
+        turns = both(high.bitwiseXOR(following(high)), F.lit(mask - (mask >> 63 << 64)))
 
         def of(high: Column) -> Column:
             mean = 2 * high * (n - high) / n + 1
             var = (mean - 1) * (mean - 2) / (n - 1)
             return F.when(var > 0, F.pow(turns + 1 - mean, F.lit(2.0)) / var).otherwise(F.lit(float(n)))
-        return let((n - without(t, "h")).cast("double"), of)
+        return number([F.bit_count(high).cast("double")], of)
 
-    def serial(u: Column) -> Column:
-        def of(mean: Column) -> Column:
-            around = F.aggregate(u, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-            both = total(F.zip_with(F.slice(u, 1, n - 1), F.slice(u, 2, n - 1), lambda x, y: (x - mean) * (y - mean)))
-            return F.when(around > 0, F.pow(both / around, F.lit(2.0)) * n).otherwise(F.lit(float(n)))
-        return let(total(u) / n, of)
+    def serial(planes: Sequence[Column], after: Sequence[Column]) -> Column:
+        bits = range(len(planes))
+        total = add([F.bit_count(planes[j]) * (1 << j) for j in bits])
+        squares = add([both(planes[j], planes[i]) * (1 << i + j + (i < j)) for j in bits for i in range(j + 1)])
+        products = add([both(planes[j], after[i]) * (1 << i + j) for j in bits for i in bits])
+        ends = (F.shiftright(word[0], 56) + word[-1].bitwiseAND(F.lit(31)))
 
-    codes = F.transform(F.array_remove(F.split(s, ""), ""), lambda c: F.ascii(c).cast("double"))
-    return (let(F.translate(s, ALPHABETS["word"], groups), chi)
-            + let(F.translate(s, ALPHABETS["word"], "l" * 13 + "h" * 13), runs) + let(codes, serial))
+        def of(total: Column, squares: Column) -> Column:
+            # whole numbers: n times the squares, n * n times the products, both around the mean
+            around = squares * n - total * total
+            near = products * (n * n) - total * n * (total * 2 - ends) + total * total * (n - 1)
+            return number([around], lambda x: F.when(x > 0, F.pow(near / (x * n), F.lit(2.0)) * n).otherwise(F.lit(float(n))))
+        return number([total.cast("long"), squares.cast("long")], of)
+
+    def of(*planes: Column) -> Column:
+        return (chi(planes) + number([_at_least(planes, 14)], runs)
+                + number([following(x) for x in planes], lambda *after: serial(planes, after)))
+    return number([plane(j) for j in range(5)], of)
 
 
 def _bin(score: Column) -> Column:
@@ -228,20 +272,22 @@ def null_bins(text: Column) -> Column:
     into, of the strata's lengths in turn; what is left at the end is too short
     for its stratum."""
     letters = F.lower(F.regexp_replace(text, "[^A-Za-z]+", ""))
+    # eight letters a number, a byte each: the strata's lengths are multiples of eight
+    words = F.transform(F.regexp_extract_all(F.hex(letters), F.lit("[0-9A-F]{16}"), F.lit(0)),
+                        lambda x: F.conv(x, 16, 10).cast("long").bitwiseAND(F.lit(31 * BYTES)))
+    step = sum(STRATA) // 8
 
-    scored = [partial(_letter_score, n) for n in STRATA]
-
-    def of(s: Column) -> Column:
+    def of(w: Column) -> Column:
         def turn(i: Column) -> Column:
             out, at = [], 0
             for stratum, n in enumerate(STRATA):
-                place = i * sum(STRATA) + at
-                here = let(F.substring(s, place + 1, F.lit(n)), scored[stratum])
-                out.append(F.when(F.length(s) >= place + n, F.lit(stratum * BINS) + _bin(F.round(here, 6))))
-                at += n
+                place = i * step + at
+                here = number([F.get(w, place + j) for j in range(n // 8)], partial(_letter_score, n))
+                out.append(F.when(F.size(w) >= place + n // 8, F.lit(stratum * BINS) + _bin(F.round(here, 6))))
+                at += n // 8
             return F.array_compact(F.array(*out))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.length(s) / sum(STRATA)).cast("int")), turn))
-    return let(letters, of)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / step).cast("int")), turn))
+    return let(words, of)
 
 
 def _stratum(length: Column) -> Column:
