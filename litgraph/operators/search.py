@@ -20,6 +20,7 @@ and then by id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +34,7 @@ K1 = 1.2
 B = 0.75
 RANK_DIGITS = 9
 DEFAULT_TOP_K = 3          # the reference's default; its UI allows 3-30
+PAIRS = 1_000_000          # (posting, topic) pairs of a task, about
 
 
 def tokenize(text) -> Column:
@@ -41,6 +43,12 @@ def tokenize(text) -> Column:
     return F.array_remove(F.split(F.lower(c), TOKEN_SPLIT), "")
 
 
+def spaced_tokens(text: Column) -> Column:
+    """The tokens of ``tokenize`` as one text, a blank between them (one may
+    also stand at either end): half the work of an array of them."""
+    return F.regexp_replace(F.lower(text), TOKEN_SPLIT, " ")
+
+
 def check_top_k(k: int, upper: int | None = None) -> int:
     """The UI allows 3-30.  The library keeps the lower bound and lets
     callers lift the upper one (``upper=None``)."""
@@ -53,6 +61,30 @@ def _doc_text(docs: DataFrame, text_cols: Sequence[str]) -> Column:
     return F.concat_ws(" ", *[F.col(c) for c in text_cols])
 
 
+def term_counts(docs: DataFrame, terms: DataFrame, id_col: str, text_cols: Sequence[str]) -> DataFrame:
+    """``(_id, dl, term, tf)`` of the documents' words that are in ``terms``,
+    and of one empty term per document."""
+    toks = docs.select(F.col(id_col).alias("_id"), tokenize(_doc_text(docs, text_cols)).alias("_t"))
+    own = docs.sparkSession.range(1).select(F.lit("").alias("term"))
+    vocab = terms.select("term").union(own).distinct()
+    return (toks.select("_id", F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
+            .join(vocab, "term", "left_semi")
+            .groupBy("_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def _weights(tf: DataFrame, k1: float, b: float) -> tuple[DataFrame, Column]:
+    """``(term, df, idf)``, and the score part of a row of ``tf`` with its idf."""
+    rows = F.when(F.col("term") == "", F.col("tf"))
+    stats = tf.select(F.struct(F.sum(rows).cast("double").alias("n"),
+                               (F.sum(rows * F.col("dl")) / F.sum(rows)).alias("avgdl"))).scalar()
+    n_docs, avgdl = stats.getField("n"), stats.getField("avgdl")
+    idf = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df")).select(
+        "term", "df", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (
+        F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    return idf, weight
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "uid",
                 text_cols: Sequence[str] = ("Title", "page_content"),
                 k1: float = K1, b: float = B) -> DataFrame:
@@ -61,23 +93,11 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "uid",
     ``queries``: ``(qid, term)`` rows, one per distinct query term.
     Returns ``(qid, <id_col>, score)``.
     """
-    toks = docs.select(F.col(id_col).alias("_id"), tokenize(_doc_text(docs, text_cols)).alias("_t"))
-    own = docs.sparkSession.range(1).select(F.lit("").alias("term"))
-    vocab = queries.select("term").union(own).distinct()
-    tf = (toks.select("_id", F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
-          .join(vocab, "term", "left_semi")
-          .groupBy("_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = term_counts(docs, queries, id_col, text_cols)
     # Each reader of tf uses all its columns and filters none of them, so that
     # the plans below stay equal and the shuffle is reused.
-    rows = F.when(F.col("term") == "", F.col("tf"))
-    stats = tf.select(F.struct(F.sum(rows).cast("double").alias("n"),
-                               (F.sum(rows * F.col("dl")) / F.sum(rows)).alias("avgdl"))).scalar()
-    n_docs, avgdl = stats.getField("n"), stats.getField("avgdl")
-    idf = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df")).select(
-        "term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scored = tf.join(idf, "term").join(queries.select("qid", "term").distinct(), "term")
+    idf, weight = _weights(tf, k1, b)
+    scored = tf.join(idf.drop("df"), "term").join(queries.select("qid", "term").distinct(), "term")
     return scored.groupBy("qid", "_id").agg(F.sum(weight).alias("score")).withColumnRenamed("_id", id_col)
 
 
@@ -90,6 +110,22 @@ def topk_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Col
     return df.withColumn(rank_col, rank).filter(F.col(rank_col) <= k)
 
 
+def scores_by_document(postings: DataFrame, asked: DataFrame, part: Column, pairs: int, id_col: str,
+                       keep: Column | None = None) -> DataFrame:
+    """``(qid, <id_col>, score)``: the sums of ``part`` over the rows of
+    ``postings`` (``<id_col>, term``, ...) joined to ``asked`` (``qid, term``,
+    ...) on the term.
+
+    Postings are dealt out by document, each once, to as many tasks as ``pairs``
+    (the number of joined rows, about) needs.  Where Spark can broadcast the
+    topics' terms, pairs are made and summed within a task and never shuffled,
+    and a limit per topic leaves few rows of each task."""
+    placed = postings.repartition(max(1, math.ceil(pairs / PAIRS)), id_col)
+    both = placed.join(asked, "term")
+    both = both if keep is None else both.where(keep)
+    return both.groupBy("qid", id_col).agg(F.sum(part).alias("score"))
+
+
 def _rank_order(id_col: str) -> list[Column]:
     return [F.round("score", RANK_DIGITS).desc(), F.col(id_col).asc()]
 
@@ -112,9 +148,13 @@ def search_bm25_per_topic(docs: DataFrame, topics: DataFrame, k: int = DEFAULT_T
     """Top-k documents for every topic of a topic table (whole topic
     texts are the queries)."""
     check_top_k(k)
-    q = topics.select(F.col(topic_id).alias("qid"),
-                      F.explode(F.array_distinct(tokenize(F.col(topic_text)))).alias("term"))
-    scores = bm25_scores(docs, q, id_col, text_cols)
+    q = materialize(topics.select(F.col(topic_id).alias("qid"),
+                                  F.explode(F.array_distinct(tokenize(F.col(topic_text)))).alias("term")).distinct(), "asked")
+    tf = materialize(term_counts(docs, q, id_col, text_cols), "tf")
+    idf, weight = _weights(tf, K1, B)
+    asked = materialize(q.join(idf, "term"), "weights")
+    pairs = asked.agg(F.sum("df")).first()[0] or 0
+    scores = scores_by_document(tf.where("term <> ''"), asked, weight, pairs, "_id").withColumnRenamed("_id", id_col)
     ranked = topk_per_group(scores, ["qid"], _rank_order(id_col), k)
     return ranked.select(F.col("qid").alias(topic_id), id_col, "score", "rank")
 
