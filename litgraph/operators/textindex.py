@@ -3,7 +3,8 @@
 ``append_to_index`` splits documents once and adds their postings to a Parquet
 table: a row is a *block*, up to ``BLOCK`` postings of one term as arrays of
 document id, term frequency and document length, with the block's largest
-frequency and smallest length beside them.  Rows are ranged and sorted by term
+frequency and smallest length beside them.  Blocks are made within batches of
+documents and joined with their neighbours after the shuffle.  Rows are ranged and sorted by term
 and frequency, so a hot term is spread over many tasks and files, and lie in
 folders by a hash of the term (``shard``).  The empty term has a posting for
 every document; the number of documents and the mean length come from it.
@@ -43,8 +44,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litgraph.operators.search import B, DEFAULT_TOP_K, K1, _doc_text, _rank_order, check_top_k, tokenize, topk_per_group
-from litgraph.session import checkpoint
+from litgraph.operators.search import (
+    B, DEFAULT_TOP_K, K1, _doc_text, _rank_order, check_top_k, scores_by_document, spaced_tokens, tokenize,
+    topk_per_group)
+from litgraph.session import materialize
 
 BLOCK = 128
 SHARDS = 64
@@ -55,50 +58,83 @@ def _shard(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, term, id, tf, dl), sorted, to blocks."""
+_BLOCK_COLUMNS = ["n", "max_tf", "min_dl", "sum_dl", "ids", "tfs", "dls"]
+
+
+def _blocks(group: np.ndarray, ids: pa.Array, tf: np.ndarray, dl: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Postings to blocks, each group (a term) by frequency: the group of each
+    block, and its columns."""
+    order = np.lexsort((dl, -tf, group))
+    group, tf, dl = group[order], tf[order].astype(np.int32), dl[order].astype(np.int32)
+    n = len(group)
+    at = np.arange(n)
+    into = at - np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], at, 0))
+    cut = np.flatnonzero(into % BLOCK == 0)
+    offsets = pa.array(np.append(cut, n), pa.int32())
+    return group[cut], [
+        pa.array(np.diff(np.append(cut, n)), pa.int64()), pa.array(np.maximum.reduceat(tf, cut)),
+        pa.array(np.minimum.reduceat(dl, cut)), pa.array(np.add.reduceat(dl.astype(np.int64), cut)),
+        *(pa.ListArray.from_arrays(offsets, x) for x in (ids.take(pa.array(order)), pa.array(tf), pa.array(dl)))]
+
+
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, spaced tokens) to the blocks of each batch of documents."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
+        split = pa.compute.split_pattern(batch.column(1), " ")
+        flat, of = split.flatten(), pa.compute.list_parent_indices(split).to_numpy(zero_copy_only=False)
+        full = pa.compute.not_equal(flat, "")
+        words, of = flat.filter(full).dictionary_encode(), of[full.to_numpy(zero_copy_only=False)]
+        dl = np.bincount(of, minlength=n)
+        key = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + of
+        key.sort()
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+        tf = np.diff(np.append(at, len(key)))
+        word, row = np.divmod(key[at], n)
+        # the empty term stands for the document itself
+        word, row = np.append(word, np.full(n, len(words.dictionary))), np.append(row, np.arange(n))
+        terms = pa.concat_arrays([words.dictionary, pa.array([""], words.dictionary.type)])
+        of, columns = _blocks(word, batch.column(0).take(pa.array(row)), np.append(tf, np.ones(n, tf.dtype)), dl[row])
+        yield pa.RecordBatch.from_arrays([terms.take(pa.array(of)), *columns], names=["term", *_BLOCK_COLUMNS])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (shard, term, ...), sorted by term: those of one term are joined
+    and cut anew, so that rare terms get few blocks."""
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
         term = batch.column(1)
-        same = np.zeros(n, bool)
-        same[1:] = pa.compute.equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        at = np.arange(n)
-        into = at - np.maximum.accumulate(np.where(same, 0, at))
-        cut = np.flatnonzero(into % BLOCK == 0)
-        offsets = pa.array(np.append(cut, n), pa.int32())
-        tf, dl = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(cut)), term.take(pa.array(cut)),
-             pa.array(np.diff(np.append(cut, n)), pa.int64()), pa.array(np.maximum.reduceat(tf, cut), pa.int32()),
-             pa.array(np.minimum.reduceat(dl, cut), pa.int32()),
-             pa.array(np.add.reduceat(dl.astype(np.int64), cut), pa.int64()),
-             *(pa.ListArray.from_arrays(offsets, batch.column(i)) for i in (2, 3, 4))],
-            names=["shard", "term", "n", "max_tf", "min_dl", "sum_dl", "ids", "tfs", "dls"])
+        new = np.ones(rows, bool)
+        new[1:] = pa.compute.not_equal(term.slice(1), term.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(new)
+        group = np.repeat(np.cumsum(new) - 1, batch.column(2).to_numpy(zero_copy_only=False))
+        tf, dl = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (7, 8))
+        of, columns = _blocks(group, batch.column(6).flatten(), tf, dl)
+        heads = pa.array(first[of])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(heads), term.take(heads), *columns],
+                                         names=["shard", "term", *_BLOCK_COLUMNS])
 
 
 def append_to_index(docs: DataFrame, path: str, id_col: str = "uid",
                     text_cols: Sequence[str] = ("Title", "page_content")) -> None:
     """Write the documents' postings to the index at ``path``, beside those
-    that are there.  Ids must be unique and new; null texts have no words."""
-    text = _doc_text(docs, text_cols)
-    toks = docs.select(F.col(id_col).alias("id"), F.sort_array(F.concat(F.array(F.lit("")), tokenize(text))).alias("t"))
-    # the places where a term's run begins: neighbours of the sorted tokens differ
-    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    runs = toks.select("id", "t", (F.size("t") - 1).alias("dl"), starts.alias("s"))
-    rows = runs.select("id", "dl", F.explode(F.transform("s", lambda p, i: F.struct(
-        F.get("t", p).alias("term"), (F.coalesce(F.get("s", i + 1), F.size("t")) - p).alias("tf")))).alias("x"))
-    order = ["shard", "term", F.col("tf").desc(), "dl", "id"]
+    that are there.  Ids must be unique and new; null texts have no words.
+
+    Texts are split once: each batch of documents becomes blocks, which are
+    written, ranged and sorted by term, and joined with their neighbours."""
+    toks = docs.select(F.col(id_col).alias("id"), spaced_tokens(_doc_text(docs, text_cols)).alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    sorted_rows = (rows.select(_shard(F.col("x.term")).alias("shard"), "x.term", "id", "x.tf", "dl")
-                   .repartitionByRange(*order).sortWithinPartitions(*order))
-    blocks = sorted_rows.mapInArrow(
-        _pack, "shard int, term string, n long, max_tf int, min_dl int, sum_dl long, "
+    columns = ("term string, n long, max_tf int, min_dl int, sum_dl long, "
                f"ids array<{kind}>, tfs array<int>, dls array<int>")
+    order = ["shard", "term", F.col("max_tf").desc(), "min_dl"]
+    parts = materialize(toks.mapInArrow(_invert, columns).select(_shard(F.col("term")).alias("shard"), "*"), "blocks")
+    blocks = parts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_merge, f"shard int, {columns}")
     # the order is stated again, for the writer to see that shards are in order
-    blocks.sortWithinPartitions("shard", "term", F.col("max_tf").desc(), "min_dl").write.mode("append").partitionBy(
-        "shard").parquet(path)
+    blocks.sortWithinPartitions(*order).write.mode("append").partitionBy("shard").parquet(path)
 
 
 def _part(tf: Column, dl: Column, avgdl: Column | float, k1: float, b: float) -> Column:
@@ -206,10 +242,10 @@ def search_index_per_topic(index: DataFrame, topics: DataFrame, k: int = DEFAULT
     stats = own.select(F.struct(F.sum("n").cast("double").alias("n"), (F.sum("sum_dl") / F.sum("n")).alias("avgdl"))).scalar()
     bound = _part(F.col("max_tf"), F.col("min_dl"), stats.getField("avgdl"), k1, b)
     wanted = topics.select(F.col(topic_id).alias("qid"), F.explode(F.array_distinct(tokenize(F.col(topic_text)))).alias("term"))
-    wanted = checkpoint(wanted.distinct().withColumn("shard", _shard(F.col("term"))))
+    wanted = materialize(wanted.distinct().withColumn("shard", _shard(F.col("term"))), "wanted")
     vocab = wanted.select("shard", "term").distinct()
     # 1: a row a term
-    heads = index.join(vocab, ["shard", "term"], "left_semi").select("shard", "term", "n", bound.alias("part"))
+    heads = materialize(index.join(vocab, ["shard", "term"], "left_semi").select("shard", "term", "n", bound.alias("part")), "heads")
     terms = heads.groupBy("shard", "term").agg(F.sum("n").alias("df"), F.max("part").alias("most"))
     before = F.sum("n").over(Window.partitionBy("shard", "term").orderBy(F.col("part").desc())
                              .rowsBetween(Window.unboundedPreceding, -1))
@@ -217,18 +253,25 @@ def search_index_per_topic(index: DataFrame, topics: DataFrame, k: int = DEFAULT
               .where(F.col("held") < k).groupBy("shard", "term").agg(F.min("part").alias("floor")))
     idf = _idf(stats.getField("n"), F.col("df"))
     rest = F.sum(F.col("idf") * F.col("most")).over(Window.partitionBy("qid")) - F.col("idf") * F.col("most")
-    asked = checkpoint(wanted.join(terms, ["shard", "term"]).join(floors, ["shard", "term"])
-                       .select("qid", "shard", "term", "most", "floor", idf.alias("idf")).withColumn("rest", rest))
+    asked = materialize(wanted.join(terms, ["shard", "term"]).join(floors, ["shard", "term"])
+                        .select("qid", "shard", "term", "most", "floor", idf.alias("idf")).withColumn("rest", rest), "asked")
     part = F.col("idf") * _part(F.col("tf"), F.col("dl"), stats.getField("avgdl"), k1, b)
 
-    def scored(keep: Column, asked: DataFrame) -> DataFrame:
-        some = index.join(asked, ["shard", "term"]).where(keep).select("qid", "idf", "ids", "tfs", "dls")
-        return _each(some).groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    def scored(asked: DataFrame, least: Column, keep: Column) -> DataFrame:
+        """Scores by the blocks whose bound is ``least`` for a topic; a block's
+        postings are dealt out once, whatever the number of its topics."""
+        limits = materialize(asked.groupBy("shard", "term").agg(F.min(least).alias("least"), F.count("*").alias("topics")), "limits")
+        pairs = heads.join(limits, ["shard", "term"]).where("part >= least").agg(F.sum(F.col("n") * F.col("topics"))).first()[0]
+        blocks = index.join(limits, ["shard", "term"]).withColumn("bound", bound).where("bound >= least")
+        postings = _each(blocks.select("term", "bound", "ids", "tfs", "dls"))
+        return scores_by_document(postings, asked.drop("shard"), part, pairs or 0, "id", keep)
     # 2: a bound a topic
-    partial = topk_per_group(scored(bound >= F.col("floor") - 1e-12, asked), ["qid"], [F.col("score").desc()], k)
-    needed = checkpoint(partial.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("needed")))
+    some = scored(asked, F.col("floor") - 1e-12, F.lit(True))
+    partial = topk_per_group(some, ["qid"], [F.col("score").desc()], k)
+    needed = materialize(partial.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("needed")), "needed")
     # 3
-    asked = asked.join(needed, "qid")
-    found = scored(F.col("idf") * bound + F.col("rest") >= F.col("needed") - _SLACK, asked).withColumnRenamed("id", id_col)
+    asked = materialize(asked.join(needed, "qid"), "asked")
+    found = scored(asked, (F.col("needed") - _SLACK - F.col("rest")) / F.col("idf") - _SLACK,
+                   F.col("idf") * F.col("bound") + F.col("rest") >= F.col("needed") - _SLACK).withColumnRenamed("id", id_col)
     ranked = topk_per_group(found, ["qid"], _rank_order(id_col), k)
     return ranked.select(F.col("qid").alias(topic_id), id_col, "score", "rank")
