@@ -1003,12 +1003,12 @@ def q_refreshed_authors(spark, sf):
     others come in a refresh."""
     from litgraph.operators.authors import records_by_id
     from litgraph.plans.pipeline import publish_authors, refresh_authors
-    from litgraph.session import scratch_path
+    from litgraph.session import materialize, scratch_path
     from litgraph.sources.versions import load_version
     path = scratch_path(spark, "profiles")
     finished = F.col("o_orderstatus") == "F"
     orders = fx.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("uid"), finished.alias("done"))
-    records = fx.records(spark, sf)
+    records = materialize(fx.records(spark, sf), "records")  # read by both arrivals, twice by the second
     publish_authors(records_by_id(records, orders.where("done")), fx.iso(spark), fx.gazetteer(spark), path)
     refresh_authors(records_by_id(records, orders.where("not done")), fx.iso(spark), fx.gazetteer(spark), path)
     return merged_scalar(load_version(spark, path)["authors"])
