@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litgraph.llm import mixing, near_dedup, packing, secrets, toxicity
-from litgraph.llm.common import documents, materialize
+from litgraph.llm.common import documents, materialize, split_by_ids
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,19 +25,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (operator 1 on five words): the one of the
     smallest id.  Of rows that repeat an id one stays, the one of the smallest
-    text; rows without an id cannot be named and stay."""
+    text; rows without an id cannot be named and stay.  Texts are shuffled only
+    of documents that may go, at any size of the tables."""
     found = near_dedup.near_duplicates(docs, k=5, percent=80)
     known = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(
         F.max("kept").alias("__kept"), F.count("*").alias("__rows")), "kept")
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    drop = known.select(F.col("doc_id").alias("__id"), "__kept", "__rows")
-    keyed = docs.join(drop, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    drop = known.where("not __kept or __rows > 1").select(F.col("doc_id").alias("__id"), "__kept", "__rows")
+    stay, others = split_by_ids(docs, drop.select(F.col("__id").alias("id")))
+    keyed = others.join(drop.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
     out = keyed.where(F.coalesce(F.col("__kept"), F.lit(True)) & (F.coalesce(F.col("__rows"), F.lit(1)) == 1))
     if known.where("__rows > 1").isEmpty():
-        return out.select(cols)
+        return stay.union(out.select(cols))
     order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     many = keyed.where("__kept and __rows > 1").withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return out.select(cols).union(many.select(cols))
+    return stay.union(out.select(cols)).union(many.select(cols))
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
