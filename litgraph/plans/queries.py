@@ -731,8 +731,8 @@ def q_similarity_edges_signs(spark, sf):
     """Near documents by vectors of their words, through sign signatures."""
     from litgraph.operators.signs import similarity_edges_signs
     from litgraph.operators.vectors import hashed_vectors
-    from litgraph.session import checkpoint
-    vectors = checkpoint(hashed_vectors(fx.papers(spark, sf), "uid", "page_content", HASHED_DIMS))
+    from litgraph.session import materialize
+    vectors = materialize(hashed_vectors(fx.papers(spark, sf), "uid", "page_content", HASHED_DIMS), "hashed")
     df = similarity_edges_signs(vectors, NEAR_T, "uid", recall=NEAR_RECALL)
     return df.select("src", "dst", r6("similarity").alias("similarity"))
 
