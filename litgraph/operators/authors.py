@@ -191,26 +191,26 @@ def merge_authors(df: DataFrame, order: Sequence, keep: Sequence[str] = PLACE_CO
 
     Homonyms are merged: grouping is by name only, as in the reference.
 
-    Plan: every row is split into two tagged values (affiliation, paper id)
-    and de-duplicated on ``(name, tag, value)`` with the first position; the
-    map-side partial aggregate collapses repeats before the shuffle, so a hot
-    name only ships its distinct values.  A paper value also carries the
-    row's ``keep`` columns in its key, so the group's first row (smallest
-    position of all paper values) brings its place along.  A second aggregate
-    on the name orders the distinct values by first position.
+    Plan: rows are dealt out by name, each once; all else happens in the tasks
+    that hold a name.  There every row is split into two tagged values
+    (affiliation, paper id), which are de-duplicated on ``(name, tag, value)``
+    with the first position, so that lists hold distinct values only.  A paper
+    value also carries the row's ``keep`` columns in its key, so the group's
+    first row (smallest position of all paper values) brings its place along.  A
+    second aggregate on the name orders the distinct values by first position.
 
     ``order`` of one integral column (e.g. a packed rank) keeps both
     aggregates hash-based: the only aggregation buffer is that number.  A
     multi-column order is compared as a struct (sort-based aggregate).
     """
-    keyed = df.filter(F.col("forename").isNotNull() & F.col("lastname").isNotNull()).select(
-        *NAME_KEY, _order_key(order).alias("_seq"),
-        F.explode(F.array(
-            F.struct(F.lit("a").alias("tag"), F.col("affiliation").cast("string").alias("value"),
-                     F.lit(None).cast(df.select(F.struct(*keep)).schema[0].dataType).alias("keep")),
-            F.struct(F.lit("p").alias("tag"), F.col("pubmedid").cast("string").alias("value"),
-                     F.struct(*keep).alias("keep")),
-        )).alias("_tv"))
+    dealt = df.filter(F.col("forename").isNotNull() & F.col("lastname").isNotNull()).select(
+        *NAME_KEY, _order_key(order).alias("_seq"), F.col("affiliation").cast("string").alias("_aff"),
+        F.col("pubmedid").cast("string").alias("_paper"), F.struct(*keep).alias("_keep")).repartition(*NAME_KEY)
+    keyed = dealt.select(*NAME_KEY, "_seq", F.explode(F.array(
+        F.struct(F.lit("a").alias("tag"), F.col("_aff").alias("value"),
+                 F.lit(None).cast(dealt.schema["_keep"].dataType).alias("keep")),
+        F.struct(F.lit("p").alias("tag"), F.col("_paper").alias("value"), F.col("_keep").alias("keep")),
+    )).alias("_tv"))
     distinct_values = keyed.groupBy(*NAME_KEY, "_tv").agg(F.min("_seq").alias("_s"))
     # Second aggregate: only collect_list (object hash aggregate, no lambdas):
     # affiliations and paper ids in separate lists; the paper list carries the
