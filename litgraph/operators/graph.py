@@ -46,14 +46,16 @@ def fuse_by_research(authors: DataFrame, papers: DataFrame, compat: bool = False
     paper position) order:
 
         research, forename (', '), lastname (', '), affiliation ('; '),
-        pubmedid (first), n_authors (row count), members array<struct>
+        pubmedid (first), n_authors (row count), members array<struct>,
+        _node (digest of the text, the node's key)
 
     Names are not de-duplicated, as in the reference.  Plan: what is joined and
     grouped are names, paper ids and digests of the texts; these narrow nodes
     are written.  An author's affiliations (one long text for all papers) are
     told apart by their order within the name, so members sort without them.
     Texts and affiliations are joined by the digest at the end, each crossing
-    the network once; as these joins are left ones to unique keys, Spark leaves
+    the network once, an author's affiliations one after the other, which
+    compresses them; as these joins are left ones to unique keys, Spark leaves
     out those whose columns are not asked for.
     """
     whole = compat or "paper_ids" not in authors.columns
@@ -75,7 +77,8 @@ def fuse_by_research(authors: DataFrame, papers: DataFrame, compat: bool = False
                       "affiliation").hint("merge")
     x = F.col("_x")
     same = x["forename"].eqNullSafe(F.col("_f")) & x["lastname"].eqNullSafe(F.col("_l")) & (x["_nth"] == F.col("_n"))
-    affiliations = each.join(own, same).groupBy("_text").agg(
+    told = each.join(own, same).select("_text", "_pos", "affiliation").repartition("_text")
+    affiliations = told.groupBy("_text").agg(
         F.array_sort(F.collect_list(F.struct("_pos", "affiliation")))["affiliation"].alias("_a"))
     text = texts.groupBy("_text").agg(F.first("research").alias("research"))
     m = F.col("_m")
@@ -89,6 +92,7 @@ def fuse_by_research(authors: DataFrame, papers: DataFrame, compat: bool = False
         F.zip_with("_m", "_a", lambda x, a: F.struct(
             x["forename"].alias("forename"), x["lastname"].alias("lastname"), x["paper_idx"].alias("paper_idx"),
             a.alias("affiliation"), x["pubmedid"].alias("pubmedid"))).alias("members"),
+        F.col("_text").alias("_node"),
     )
 
 
@@ -147,9 +151,12 @@ def node_table(fused: DataFrame, main_authors: DataFrame) -> DataFrame:
     it is reduced to one row per id first (a dict keeps one value per key).
     """
     firsts = main_authors.groupBy(F.col("uid").alias("_uid")).agg(F.max("first_author").alias("_fa"))
-    # only keys are numbered; what else a caller asks for is joined to them
-    ids = materialize(dense_ids(fused.select("pubmedid"), "pubmedid"), "ids")
-    nodes = fused.join(ids, "pubmedid").join(firsts, F.col("pubmedid") == firsts._uid, "left")
+    # only keys are numbered; what else a caller asks for is joined to them, by
+    # the key that texts and affiliations are already dealt out by
+    key = "_node" if "_node" in fused.columns else "pubmedid"
+    ids = materialize(dense_ids(fused.select(*{key: 0, "pubmedid": 0}), "pubmedid"), "ids")
+    heads = ids.join(firsts, F.col("pubmedid") == firsts._uid, "left").select(key, "node_id", "_fa")
+    nodes = fused.join(heads, key)
     return nodes.select(
         "node_id", "pubmedid",
         node_label(F.col("_fa")).alias("label"),

@@ -49,13 +49,14 @@ def authorship(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     codes = F.broadcast(iso(spark))  # bounded: one row per country code
+    known = (li.l_suppkey % 25) == codes.k
     pos = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    # Position first (on the narrow joined rows), text columns after the
-    # shuffle: the string work then runs in the shuffle's parallel tasks, not
+    # Position first (on the narrow joined rows), country and text columns after
+    # the shuffle: the string work then runs in the shuffle's parallel tasks, not
     # in the scan task(s).
-    joined = li.join(part, li.l_partkey == part.p_partkey).join(
-        codes, (li.l_suppkey % 25) == codes.k).withColumn("author_pos", F.row_number().over(pos))
+    joined = li.join(codes, known, "left_semi").join(part, li.l_partkey == part.p_partkey).withColumn(
+        "author_pos", F.row_number().over(pos)).join(codes, known)
     affiliation = (
         F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
         .when(F.col("l_linenumber") == 6, F.lit("Independent Researcher"))
@@ -76,9 +77,11 @@ def authorship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def affiliated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Authorship rows with an affiliation: what record explosion (N1) yields."""
-    return authorship(spark, sf_dir).filter(F.col("affiliation").isNotNull())
+def affiliated(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Authorship rows with an affiliation: what record explosion (N1) yields.
+    ``rows``: the authorship rows, where they are written already."""
+    rows = authorship(spark, sf_dir) if rows is None else rows
+    return rows.filter(F.col("affiliation").isNotNull())
 
 
 def paper_order(df: DataFrame) -> list:

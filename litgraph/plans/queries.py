@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from litgraph.operators import authors as au
 from litgraph.operators import places as pl
 from litgraph.plans import fixtures as fx
+from litgraph.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,12 +95,18 @@ def author_sql(body: str, extra: list[tuple[str, str]] | None = None, recursive:
 
 # ------------------------------------------------------------- shared plans
 
-def placed(spark: SparkSession, sf: str) -> DataFrame:
-    return au.add_places(fx.affiliated(spark, sf), fx.iso(spark), fx.gazetteer(spark))
+def placed(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    return au.add_places(fx.affiliated(spark, sf, rows), fx.iso(spark), fx.gazetteer(spark))
 
 
-def merged(spark: SparkSession, sf: str) -> DataFrame:
-    return au.merge_authors(placed(spark, sf), fx.paper_order(None))
+def merged(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    return au.merge_authors(placed(spark, sf, rows), fx.paper_order(None))
+
+
+def authorship_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Authorship written once, for the graph queries: its shuffles are released
+    before the merge, and first authors read it too."""
+    return materialize(fx.authorship(spark, sf), "authorship")
 
 
 MERGED_COLS = ["forename", "lastname", "affiliation", "pubmedid", "country", "city"]
@@ -578,20 +585,22 @@ def graph_sql(body: str, extra: list[tuple[str, str]] | None = None, recursive:
     return author_sql(body, GRAPH_CTES + list(extra or []), recursive=recursive)
 
 
-def main_authors_df(spark, sf):
+def main_authors_df(rows):
     """First authors for node labels, straight from the authorship rows
     (the records-based path is the ``main_authors`` query)."""
-    return au.main_authors_from_rows(fx.authorship(spark, sf))
+    return au.main_authors_from_rows(rows)
 
 
-def fused_df(spark, sf):
+def fused_df(spark, sf, rows=None):
     from litgraph.operators.graph import fuse_by_research
-    return fuse_by_research(merged(spark, sf), fx.papers(spark, sf))
+    rows = authorship_rows(spark, sf) if rows is None else rows
+    return fuse_by_research(merged(spark, sf, rows), fx.papers(spark, sf))
 
 
 def nodes_df(spark, sf):
     from litgraph.operators.graph import node_table
-    return node_table(fused_df(spark, sf), main_authors_df(spark, sf))
+    rows = authorship_rows(spark, sf)
+    return node_table(fused_df(spark, sf, rows), main_authors_df(rows))
 
 
 @query("authors_join_papers", graph_sql("SELECT forename, lastname, pubmedid, paper_idx, Title FROM joined"))
@@ -731,7 +740,6 @@ def q_similarity_edges_signs(spark, sf):
     """Near documents by vectors of their words, through sign signatures."""
     from litgraph.operators.signs import similarity_edges_signs
     from litgraph.operators.vectors import hashed_vectors
-    from litgraph.session import materialize
     vectors = materialize(hashed_vectors(fx.papers(spark, sf), "uid", "page_content", HASHED_DIMS), "hashed")
     df = similarity_edges_signs(vectors, NEAR_T, "uid", recall=NEAR_RECALL)
     return df.select("src", "dst", r6("similarity").alias("similarity"))
@@ -969,7 +977,8 @@ NETWORK_EPS = 0.6
     recursive=True))
 def q_similarity_network(spark, sf):
     from litgraph.plans.pipeline import similarity_network
-    nodes, _ = similarity_network(merged(spark, sf), fx.papers(spark, sf), main_authors_df(spark, sf),
+    rows = authorship_rows(spark, sf)
+    nodes, _ = similarity_network(merged(spark, sf, rows), fx.papers(spark, sf), main_authors_df(rows),
                                   threshold=SIM_T, vectors_df=fx.vectors(spark, sf), eps=NETWORK_EPS,
                                   missing="drop")
     return nodes.select("node_id", "label", "n_authors", r6("size").alias("size"), "cluster")
@@ -981,7 +990,8 @@ FROM node_pairs p JOIN nodes a ON a.node_id = p.src JOIN nodes b ON b.node_id =
 WHERE p.similarity >= {SIM_T}""", NODE_VEC_CTES))
 def q_similarity_network_edges(spark, sf):
     from litgraph.plans.pipeline import similarity_network
-    _, edges = similarity_network(merged(spark, sf), fx.papers(spark, sf), main_authors_df(spark, sf),
+    rows = authorship_rows(spark, sf)
+    _, edges = similarity_network(merged(spark, sf, rows), fx.papers(spark, sf), main_authors_df(rows),
                                   threshold=SIM_T, vectors_df=fx.vectors(spark, sf), eps=NETWORK_EPS,
                                   missing="drop")
     return edges.select("src", "dst", r6("similarity").alias("similarity"), "title")
