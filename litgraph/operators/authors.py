@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litgraph.functions.strings import (
@@ -200,12 +200,14 @@ def merge_authors(df: DataFrame, order: Sequence, keep: Sequence[str] = PLACE_CO
     second aggregate on the name orders the distinct values by first position.
 
     ``order`` of one integral column (e.g. a packed rank) keeps both
-    aggregates hash-based: the only aggregation buffer is that number.  A
-    multi-column order is compared as a struct (sort-based aggregate).
+    aggregates hash-based: the only aggregation buffer is that number.  Rows of
+    a multi-column order get their rank within the name as that number.
     """
     dealt = df.filter(F.col("forename").isNotNull() & F.col("lastname").isNotNull()).select(
         *NAME_KEY, _order_key(order).alias("_seq"), F.col("affiliation").cast("string").alias("_aff"),
         F.col("pubmedid").cast("string").alias("_paper"), F.struct(*keep).alias("_keep")).repartition(*NAME_KEY)
+    if len(order) > 1:
+        dealt = dealt.withColumn("_seq", F.rank().over(Window.partitionBy(*NAME_KEY).orderBy("_seq")))
     keyed = dealt.select(*NAME_KEY, "_seq", F.explode(F.array(
         F.struct(F.lit("a").alias("tag"), F.col("_aff").alias("value"),
                  F.lit(None).cast(dealt.schema["_keep"].dataType).alias("keep")),
@@ -223,8 +225,8 @@ def merge_authors(df: DataFrame, order: Sequence, keep: Sequence[str] = PLACE_CO
                                                    F.col("_tv.keep").alias("k")))).alias("_p"))
     out = grouped.select(
         *NAME_KEY,
-        F.array_sort("_a")["v"].alias("affiliations"),
-        F.array_sort("_p").alias("_p"),
+        F.sort_array("_a")["v"].alias("affiliations"),
+        F.sort_array("_p").alias("_p"),
     ).select(
         *NAME_KEY, "affiliations",
         # one entry per (paper, place): keep each paper at its first position

@@ -70,7 +70,7 @@ def fuse_by_research(authors: DataFrame, papers: DataFrame, compat: bool = False
     texts = texts.withColumn("_text", F.unhex(F.sha2("research", 256)))
     member = F.struct("forename", "lastname", "paper_idx", "_nth", "pubmedid")
     nodes = materialize(links.join(texts.select("pubmedid", "_text"), "pubmedid").groupBy("_text").agg(
-        F.array_sort(F.collect_list(member)).alias("_m")), "fused")
+        F.sort_array(F.collect_list(member)).alias("_m")), "fused")
     each = nodes.select("_text", F.posexplode("_m").alias("_pos", "_x"))
     # sorted and merged: in memory this table is many times its files
     own = rows.select(F.col("forename").alias("_f"), F.col("lastname").alias("_l"), F.col("_nth").alias("_n"),
@@ -79,7 +79,7 @@ def fuse_by_research(authors: DataFrame, papers: DataFrame, compat: bool = False
     same = x["forename"].eqNullSafe(F.col("_f")) & x["lastname"].eqNullSafe(F.col("_l")) & (x["_nth"] == F.col("_n"))
     told = each.join(own, same).select("_text", "_pos", "affiliation").repartition("_text")
     affiliations = told.groupBy("_text").agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "affiliation")))["affiliation"].alias("_a"))
+        F.sort_array(F.collect_list(F.struct("_pos", "affiliation")))["affiliation"].alias("_a"))
     text = texts.groupBy("_text").agg(F.first("research").alias("research"))
     m = F.col("_m")
     return nodes.join(text, "_text", "left").join(affiliations, "_text", "left").select(

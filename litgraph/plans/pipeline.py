@@ -81,9 +81,9 @@ def publish_authors(records: DataFrame, iso: DataFrame, gazetteer: DataFrame, pa
     """Author profiles of all records, kept as a version (S9): the tables
     ``placed`` (authorship rows with places) and ``authors``."""
     spark = records.sparkSession
-    placed = materialize(au.add_places(au.explode_authorship(records), iso, gazetteer), "placed")
-    authors = au.merge_authors(placed, paper_order(placed))
-    return versions.publish(spark, {"placed": placed, "authors": authors}, path)
+    placed = au.add_places(au.explode_authorship(records), iso, gazetteer)
+    return versions.publish(spark, {
+        "placed": placed, "authors": lambda now: au.merge_authors(now["placed"], paper_order(now["placed"]))}, path)
 
 
 def refresh_authors(changed: DataFrame, iso: DataFrame, gazetteer: DataFrame, path: str,
@@ -102,10 +102,12 @@ def refresh_authors(changed: DataFrame, iso: DataFrame, gazetteer: DataFrame, pa
     gone = old["placed"].join(ids, "pubmedid", "left_semi")
     names = materialize(gone.select("forename", "lastname").union(fresh.select("forename", "lastname"))
                         .where("forename is not null and lastname is not null").distinct(), "names")
-    placed = materialize(old["placed"].join(ids, "pubmedid", "left_anti").unionByName(fresh), "placed")
-    touched = placed.join(names, ["forename", "lastname"], "left_semi")
-    authors = old["authors"].join(names, ["forename", "lastname"], "left_anti").unionByName(
-        au.merge_authors(touched, paper_order(touched)))
+    placed = old["placed"].join(ids, "pubmedid", "left_anti").unionByName(fresh)
+
+    def authors(now: dict[str, DataFrame]) -> DataFrame:
+        touched = now["placed"].join(names, ["forename", "lastname"], "left_semi")
+        return old["authors"].join(names, ["forename", "lastname"], "left_anti").unionByName(
+            au.merge_authors(touched, paper_order(touched)))
     return versions.publish(spark, {"placed": placed, "authors": authors}, path)
 
 

@@ -66,13 +66,13 @@ def build_records(authorship: DataFrame, paper_ids: DataFrame,
     """
     by_paper = authorship.repartition("pubmedid")
     info = F.when(F.col("affiliation").isNotNull(), F.struct(F.col("affiliation").alias("Affiliation")))
-    per_author = by_paper.groupBy("pubmedid", "author_pos").agg(F.array_sort(F.collect_list(
+    per_author = by_paper.groupBy("pubmedid", "author_pos").agg(F.sort_array(F.collect_list(
         F.struct("aff_pos", "forename", "lastname", info.alias("info")))).alias("_r"))
     head = F.element_at("_r", 1)
     author = F.struct(head["forename"].alias("ForeName"), head["lastname"].alias("LastName"),
                       F.array_compact(F.col("_r")["info"]).alias("AffiliationInfo"))
     nested = per_author.groupBy("pubmedid").agg(
-        F.array_sort(F.collect_list(F.struct("author_pos", author.alias("a")))).alias("_s"))
+        F.sort_array(F.collect_list(F.struct("author_pos", author.alias("a")))).alias("_s"))
     nested = nested.select("pubmedid", F.col("_s")["a"].alias("_authors"))
     ids = paper_ids.select(F.col("pubmedid").cast("string").alias("pubmedid")).distinct()
     out = ids.join(nested, "pubmedid", "left")

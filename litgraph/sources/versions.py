@@ -9,11 +9,13 @@ folder that nothing points to.  One writer at a time.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litgraph.session import released_shuffles
+
 MANIFEST = "version long, name string, folder string"
 
 
@@ -29,12 +31,17 @@ def current_version(spark: SparkSession, path: str) -> int:
     return _manifest(spark, path).agg(F.max("version")).first()[0] or 0
 
 
-def publish(spark: SparkSession, tables: Mapping[str, DataFrame], path: str) -> int:
-    """Write the tables as the next version and return its number."""
+def publish(spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], path: str) -> int:
+    """Write the tables as the next version and return its number.  A table may
+    be a function of those before it, as they are written."""
     version = current_version(spark, path) + 1
     folder = f"{path}/data/{version}-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{folder}/{name}")
+    written: dict[str, DataFrame] = {}
+    for name, table in tables.items():
+        df = table(written) if callable(table) else table
+        with released_shuffles(spark):
+            df.write.parquet(f"{folder}/{name}")
+        written[name] = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
     rows = [(version, name, f"{folder}/{name}") for name in tables]
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return version
