@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from litgraph.functions.vectors import as_double
 from litgraph.operators.graph import dense_ids
-from litgraph.session import materialize
+from litgraph.session import materialize, setting
 
 FILTER = 256            # bits compared for every pair that meets
 WORDS = FILTER // 64
@@ -56,7 +56,7 @@ GROUP = 1 << 18         # vectors compared in one place, about
 ROUND = 1 << 28         # bytes of keys dealt out at once, at least
 OWN = 1 << 14           # vectors of one place of the exact check
 BATCH = 10_000          # vectors signed at once
-_CHUNK = 1 << 19        # pairs whose bits are counted at once
+_CHUNK = 1 << 17        # pairs whose bits are counted at once
 
 
 class SignTables(NamedTuple):
@@ -245,8 +245,8 @@ def _reach(small: np.ndarray, steps: np.ndarray, a: np.ndarray, b: np.ndarray, t
     """Which pairs may have a cosine of ``threshold``, as far as bytes tell."""
     step, lost = steps.T
     out = np.empty(len(a), bool)
-    for lo in range(0, len(a), _CHUNK >> 6):
-        i, j = a[lo:lo + (_CHUNK >> 6)], b[lo:lo + (_CHUNK >> 6)]
+    for lo in range(0, len(a), _CHUNK >> 4):
+        i, j = a[lo:lo + (_CHUNK >> 4)], b[lo:lo + (_CHUNK >> 4)]
         cosine = np.einsum("ij,ij->i", small[i].astype(np.float64), small[j].astype(np.float64)) * step[i] * step[j]
         out[lo:lo + len(i)] = ~(cosine + lost[i] + lost[j] + 3 * lost[i] * lost[j] + 1e-9 < threshold)
     return out
@@ -296,8 +296,12 @@ def _met(plan: SignTables, first: int, limit: int, tables: range | None = None,
         def ended() -> Iterator[pa.RecordBatch]:
             if any(own for own, *_ in held):
                 own = sum(len(ids) for is_own, ids, *_ in held if is_own)
+                ids = pa.concat_arrays([x[1] for x in held])
                 keys, *more = (np.concatenate(x) for x in list(zip(*held, strict=True))[2:])
-                yield from pairs(at[0], pa.concat_arrays([x[1] for x in held]), own, keys[:, 0], *more)
+                held.clear()
+                yield from pairs(at[0], ids, own, keys[:, 0], *more)
+                del ids, keys, more
+                pa.default_memory_pool().release_unused()
         for batch in batches:
             for r in range(batch.num_rows):
                 here = (batch.column(0)[r].as_py(), batch.column(1)[r].as_py())
@@ -348,8 +352,8 @@ def _cosines(threshold: float):
                 to = np.searchsorted(numbers, asked.flatten().to_numpy())
                 by = np.repeat(np.arange(part.num_rows), asked.value_lengths().to_numpy())
                 y_lengths = np.linalg.norm(y, axis=1)
-                for lo in range(0, len(to), _CHUNK >> 6):
-                    i, j = to[lo:lo + (_CHUNK >> 6)], by[lo:lo + (_CHUNK >> 6)]
+                for lo in range(0, len(to), _CHUNK >> 4):
+                    i, j = to[lo:lo + (_CHUNK >> 4)], by[lo:lo + (_CHUNK >> 4)]
                     cosine = np.einsum("ij,ij->i", x[i], y[j]) / (lengths[i] * y_lengths[j])
                     near = ~(cosine < threshold)
                     a, b, cosine = ids.take(pa.array(i[near])), part.column(3).take(pa.array(j[near])), cosine[near]
@@ -438,5 +442,6 @@ def similarity_edges_signs(vectors: DataFrame, threshold: float, id_col: str = "
         pairs = placed.mapInArrow(_met(plan, first, plan.distance, tables, threshold), "src long, dst long, differ int").select("src", "dst")
         if found:
             pairs = pairs.join(reduce(DataFrame.unionByName, found), ["src", "dst"], "left_anti")
-        found.append(materialize(pairs, "pairs"))
+        with setting(vectors.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "4"):  # rows of many vectors
+            found.append(materialize(pairs, "pairs"))
     return _checked(reduce(DataFrame.unionByName, found), numbered, threshold, kind)
